@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thoughtlog.functions.text import capitalize, min_words, strip
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
-from thoughtlog.sources.scratch import materialize
+from thoughtlog.sources.scratch import materialize, materialize_counted
 
 # Parts of speech that count as verbs, and word limits per kind of clause.
 VERBS = ("VERB", "AUX")
@@ -51,44 +51,39 @@ def clause_seeds(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     )
 
 
-def _has_rows(df: DataFrame) -> bool:
-    return len(df.head(1)) > 0
-
-
 def _seed_sentences(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Slim stored table of the tokens whose sentence holds a seed."""
+    """Slim stored table of the tokens whose sentence holds a seed, with its length."""
     wanted = seeds.select(*_SENTENCE).distinct()
     piece = F.concat(F.col("text"), F.coalesce(F.col("ws"), F.lit("")))
-    return materialize(
-        tokens.select(*_SENTENCE, "tok_no", "head", piece.alias("piece")).join(
-            wanted, _SENTENCE, "left_semi"
-        ),
-        "seed-sentences",
+    rows = tokens.select(*_SENTENCE, "tok_no", "head", piece.alias("piece")).join(
+        wanted, _SENTENCE, "left_semi"
     )
+    length = F.count("*").over(Window.partitionBy(*_SENTENCE))
+    return materialize(rows.withColumn("n_tokens", length), "seed-sentences")
 
 
 def _members(sentences: DataFrame, seeds: DataFrame) -> DataFrame:
-    longest = sentences.groupBy(*_SENTENCE).count().agg(F.max("count")).first()[0] or 0
+    """Rounds of pointer doubling over ``(tok_no, ref)`` rows of two sorts: ``ref`` is the
+    ancestor ``reach`` levels up, or a seed at fewer levels up."""
     up = sentences.where((F.col("head") != 0) & (F.col("head") != F.col("tok_no"))).select(
-        *_SENTENCE, "tok_no", F.col("head").alias("anc")
+        *_SENTENCE, "tok_no", F.col("head").alias("ref"), "n_tokens"
     )
-    found = seeds.select(*_SENTENCE, "seed", F.col("seed").alias("tok_no"))
-    reach = 1
-    while reach < longest and _has_rows(up):
-        above = found.withColumnRenamed("tok_no", "anc")
-        lower = up.join(above, [*_SENTENCE, "anc"]).select(*_SENTENCE, "seed", "tok_no")
-        found = materialize(found.unionByName(lower), "found")
-        further = up.select(
-            *_SENTENCE, F.col("tok_no").alias("anc"), F.col("anc").alias("next")
-        )
-        up = materialize(
-            up.join(further, [*_SENTENCE, "anc"]).select(
-                *_SENTENCE, "tok_no", F.col("next").alias("anc")
-            ),
-            "up",
+    found = seeds.select(*_SENTENCE, F.col("seed").alias("tok_no"), F.col("seed").alias("ref"))
+    reach, climbing = 1, 1
+    while climbing:
+        targets = found.withColumn("is_seed", F.lit(True)).unionByName(
+            up.drop("n_tokens").withColumn("is_seed", F.lit(False))
         )
+        # No path is longer than its sentence, so pointers caught in a cycle end here.
+        steps = up.where(F.col("n_tokens") > reach).withColumnRenamed("ref", "via")
+        further = steps.join(
+            targets.withColumnRenamed("tok_no", "via"), [*_SENTENCE, "via"]
+        ).drop("via")
+        rows, climbing = materialize_counted(further, "climb", ~F.col("is_seed"))
+        found = found.unionByName(rows.where("is_seed").drop("is_seed", "n_tokens"))
+        up = rows.where(~F.col("is_seed")).drop("is_seed")
         reach *= 2
-    return found
+    return found.withColumnRenamed("ref", "seed")
 
 
 def subtree_members(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -97,9 +92,10 @@ def subtree_members(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
     Ancestor pointers are doubled: after k rounds every token knows its ancestor 2^k levels
     up and the seeds less than 2^k levels up. The rounds grow with the logarithm of the
     depth, tokens whose pointer has left the tree drop out, and only sentences with a seed
-    take part. Round tables are written to the shared folder, which cuts the lineage. A
-    cycle in bad input ends with the length of the longest sentence; its tokens may then be
-    listed more than once. ``seeds`` is read several times and should be a stored table.
+    take part. The new rows of a round are written to the shared folder once, which cuts
+    the lineage. A cycle in bad input ends with the length of its sentence; its tokens may
+    then be listed more than once. ``seeds`` is read several times and should be a stored
+    table.
     """
     return _members(_seed_sentences(tokens, seeds), seeds)
 

@@ -43,10 +43,18 @@ def unknown_personas(df: DataFrame, gold: DataFrame) -> DataFrame:
     return counts.join(gold.select("persona"), "persona", "left_anti")
 
 
+def _complete(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows without nulls in the columns. Unlike ``dropna``, a plain condition vanishes
+    from the plan where a column cannot be null, instead of computing it a second time."""
+    for column in columns:
+        df = df.where(F.col(column).isNotNull())
+    return df
+
+
 def valid_pairs(df: DataFrame) -> DataFrame:
     """``expected, predicted`` of the rows that have both."""
     predicted = F.col(prediction_column(df)).alias("predicted")
-    return df.select("expected", predicted).dropna(subset=["expected", "predicted"])
+    return _complete(df.select("expected", predicted), "expected", "predicted")
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -61,13 +69,12 @@ def persona_pair_counts(processed: DataFrame, gold: DataFrame) -> DataFrame:
     """
     predicted = F.col(prediction_column(processed)).alias("predicted")
     counts = (
-        processed.select("persona", predicted)
-        .dropna()
+        _complete(processed.select("persona", predicted), "persona", "predicted")
         .groupBy("persona", "predicted")
         .agg(F.count("*").alias("n"))
     )
     return (
-        counts.join(gold.select("persona", "expected").dropna(), "persona")
+        counts.join(_complete(gold, "persona", "expected"), "persona")
         .groupBy("expected", "predicted")
         .agg(F.sum("n").alias("n"))
     )
@@ -193,11 +200,11 @@ def flow_links(counts: DataFrame, classes: Sequence[str] = CLASSES) -> DataFrame
     Expected classes are the first nodes, predicted ones follow. Pairs with a label outside
     the fixed classes are left out.
     """
-    nodes = F.create_map(*[F.lit(part) for item in zip(classes, range(len(classes))) for part in item])
+    nodes = F.create_map(*[F.lit(part) for i, c in enumerate(classes) for part in (c, i)])
     links = counts.select(
         nodes[F.col("expected")].alias("source"),
         (nodes[F.col("predicted")] + len(classes)).alias("target"),
         F.col("n").alias("value"),
         (F.col("expected") == F.col("predicted")).alias("hit"),
     )
-    return links.dropna(subset=["source", "target"])
+    return _complete(links, "source", "target")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thoughtlog.functions.binding import bind
 from thoughtlog.functions.scores import argmax, confidence, label_of, mean_vector, softmax
 from thoughtlog.functions.windows import (
     OVERLAP,
@@ -92,6 +93,23 @@ def mean_logits_column(
     return mean_vector(vectors, n_classes)
 
 
+def polarity_column(
+    ids: Column,
+    scorer: ColumnScorer,
+    labels: Mapping[int, str],
+    window: int = WINDOW,
+    overlap: int = OVERLAP,
+) -> Column:
+    """Polarity of one entry as an expression of its ids; never null."""
+    winner = bind(
+        F.coalesce(ids, F.array().cast("array<int>")),
+        lambda known: bind(
+            mean_logits_column(known, scorer, len(labels), window, overlap), argmax
+        ),
+    )
+    return label_of(winner, labels)
+
+
 def entry_logits(
     entries: DataFrame,
     scorer: Scorer,
@@ -104,10 +122,13 @@ def entry_logits(
         scores = score_windows(token_windows(entries, window, overlap), scorer)
         return mean_logits(scores, n_classes)
     ids = F.coalesce(F.col("ids"), F.array().cast("array<int>"))
-    return entries.select("entry_id", ids.alias("ids")).select(
+    logits = bind(
+        ids, lambda known: mean_logits_column(known, scorer, n_classes, window, overlap)
+    )
+    return entries.select(
         "entry_id",
-        mean_logits_column(F.col("ids"), scorer, n_classes, window, overlap).alias("logits"),
-        window_count(F.size("ids"), window, overlap).alias("n_windows"),
+        logits.alias("logits"),
+        window_count(F.size(ids), window, overlap).alias("n_windows"),
     )
 
 
@@ -119,6 +140,9 @@ def classify(
     overlap: int = OVERLAP,
 ) -> DataFrame:
     """``entry_id, polarity`` from ``entry_id, ids``."""
+    if isinstance(scorer, ColumnScorer):
+        label = polarity_column(F.col("ids"), scorer, labels, window, overlap)
+        return entries.select("entry_id", label.alias("polarity"))
     scored = entry_logits(entries, scorer, len(labels), window, overlap)
     return scored.select("entry_id", label_of(argmax(F.col("logits")), labels).alias("polarity"))
 

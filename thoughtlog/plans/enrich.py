@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thoughtlog.functions.scores import argmax, label_of
 from thoughtlog.functions.text import default_when_empty, time_anchor
 from thoughtlog.operators.clauses import clauses
 from thoughtlog.operators.keywords import keyword_tokens
@@ -19,7 +18,7 @@ from thoughtlog.operators.records import (
     situation_findings,
     trigger_findings,
 )
-from thoughtlog.operators.scoring import ColumnScorer, Scorer, classify, mean_logits_column
+from thoughtlog.operators.scoring import ColumnScorer, Scorer, classify, polarity_column
 from thoughtlog.schemas import NO_EMOTION, PROCESSED
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
 
@@ -140,8 +139,7 @@ def enrich(
         F.coalesce(ids, F.array().cast("array<int>")).alias("ids"),
     )
     if isinstance(scorer, ColumnScorer):
-        logits = mean_logits_column(F.col("ids"), scorer, len(labels))
-        label = label_of(argmax(logits), labels).alias("polarity")
+        label = polarity_column(F.col("ids"), scorer, labels).alias("polarity")
         base = base.select("entry_id", "persona", "text", "time_anchor", label)
         labelled = attach_results(base, gather_fields(found))
     else:

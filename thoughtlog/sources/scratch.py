@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -40,3 +41,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str, counted: Column) -> tuple[DataFrame, int]:
+    """As :func:`materialize`, with the number of rows that satisfy a condition, counted as
+    they are written."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, F.count_if(counted).alias("n")), name)
+    return stored, seen.get["n"]

@@ -34,6 +34,7 @@ from thoughtlog.sources import corpus
 from thoughtlog.sources.gold import gold_table
 from thoughtlog.sources.lexicons import lexicon_tables
 from thoughtlog.sources.scratch import fresh_path, materialize
+from thoughtlog.sources.spread import spread_if_few
 from thoughtlog.testing import fixture_pack as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,8 +78,13 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work on their texts, over all cores."""
+    return spread_if_few(documents(spark, sf_dir), "entry_id")
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.annotate(documents(spark, sf_dir))
+    return fx.annotate(texts(spark, sf_dir))
 
 
 def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +94,7 @@ def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).withColumn("ids", fx.token_ids(F.col("text")))
+    return texts(spark, sf_dir).withColumn("ids", fx.token_ids(F.col("text")))
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +103,9 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with their polarity, labelled where they lie."""
-    mean = osc.mean_logits_column(F.col("ids"), fx.COLUMN_SCORER, len(fx.LABELS))
-    return with_ids(spark, sf_dir).select(
-        "entry_id", "persona", "text", fs.label_of(fs.argmax(mean), fx.LABELS).alias("polarity")
-    )
+    ids = fx.token_ids(F.col("text"))
+    label = osc.polarity_column(ids, fx.COLUMN_SCORER, fx.LABELS)
+    return texts(spark, sf_dir).withColumn("polarity", label)
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +154,7 @@ def keywords_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(
-        documents(spark, sf_dir),
+        texts(spark, sf_dir),
         stored_tokens(spark, sf_dir),
         fx.token_ids(F.col("text")),
         fx.COLUMN_SCORER,
@@ -210,7 +215,7 @@ def read_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ot.tokenize(documents(spark, sf_dir)).select(
+    return ot.tokenize(texts(spark, sf_dir)).select(
         "entry_id", "sent_no", "tok_no", "text", "lemma"
     )
 
@@ -218,10 +223,10 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def tokenize_with_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lemma table made from the corpus: a form that ends in s and has a twin without it."""
-    forms = ot.tokenize(documents(spark, sf_dir)).select(F.col("lemma").alias("form")).distinct()
+    forms = ot.tokenize(texts(spark, sf_dir)).select(F.col("lemma").alias("form")).distinct()
     singular = forms.select(F.col("form").alias("lemma"), F.concat("form", F.lit("s")).alias("form"))
     lemmas = materialize(singular.join(forms, "form", "left_semi").select("form", "lemma"), "lemmas")
-    rows = ot.tokenize(documents(spark, sf_dir), lemmas)
+    rows = ot.tokenize(texts(spark, sf_dir), lemmas)
     return rows.groupBy("entry_id", "lemma").agg(F.count("*").alias("n"))
 
 
@@ -231,18 +236,18 @@ def tokenize_with_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def time_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchor = ft.time_anchor(F.col("text"), fx.LEXICON.time_words)
-    return documents(spark, sf_dir).select("entry_id", anchor.alias("time_anchor"))
+    return texts(spark, sf_dir).select("entry_id", anchor.alias("time_anchor"))
 
 
 @_query
 def time_anchor_portuguese(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = conversations(spark, sf_dir)
-    return texts.select("conv_id", "turn", ft.time_anchor(F.col("text")).alias("time_anchor"))
+    turns = conversations(spark, sf_dir)
+    return turns.select("conv_id", "turn", ft.time_anchor(F.col("text")).alias("time_anchor"))
 
 
 @_query
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ot.split_sentences(documents(spark, sf_dir))
+    return ot.split_sentences(texts(spark, sf_dir))
 
 
 @_query
@@ -264,18 +269,18 @@ def person_place_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def default_when_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = F.regexp_extract_all(F.col("text"), F.lit(r"\d+"), F.lit(0))
     field = ft.default_when_empty(hits, " | ", "Sem reação.")
-    return documents(spark, sf_dir).select("entry_id", field.alias("field"))
+    return texts(spark, sf_dir).select("entry_id", field.alias("field"))
 
 
 @_query
 def capitalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ot.split_sentences(documents(spark, sf_dir))
+    rows = ot.split_sentences(texts(spark, sf_dir))
     return rows.select("entry_id", "sent_no", ft.capitalize(F.col("sentence")).alias("sentence"))
 
 
 @_query
 def min_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ot.split_sentences(documents(spark, sf_dir))
+    rows = ot.split_sentences(texts(spark, sf_dir))
     return rows.select("entry_id", "sent_no", ft.word_count(F.col("sentence")).alias("n_words")).where(
         F.col("n_words") > oc.THOUGHT_WORDS
     )
@@ -528,7 +533,7 @@ def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def ordered_distinct_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ot.split_sentences(documents(spark, sf_dir))
+    rows = ot.split_sentences(texts(spark, sf_dir))
     pairs_of = F.collect_list(F.struct(F.col("sent_no").alias("ord"), F.col("sentence").alias("value")))
     return rows.groupBy("entry_id").agg(
         F.array_join(ft.ordered_distinct(pairs_of), " | ").alias("sentences")
@@ -624,12 +629,12 @@ def day_number_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the grid whose turn exists in the conversation; the others failed."""
     grid = opr.prompt_grid(_conversation_personas(spark, sf_dir)).drop("request")
-    texts = conversations(spark, sf_dir).select(
+    turns = conversations(spark, sf_dir).select(
         F.col("conv_id").alias("persona_no"),
         (F.col("turn") + 1).alias("day"),
         ft.strip(F.col("text")).alias("text"),
     )
-    return on.assign_ids(grid.join(texts, ["persona_no", "day"], "left"))
+    return on.assign_ids(grid.join(turns, ["persona_no", "day"], "left"))
 
 
 @_query
@@ -671,7 +676,7 @@ def present_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_records(
-        documents(spark, sf_dir), stored_tokens(spark, sf_dir), fx.LEXICON
+        texts(spark, sf_dir), stored_tokens(spark, sf_dir), fx.LEXICON
     )
 
 
@@ -683,7 +688,7 @@ def enriched_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def enriched_corpus_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(
-        documents(spark, sf_dir),
+        texts(spark, sf_dir),
         stored_tokens(spark, sf_dir),
         fx.token_ids(F.col("text")),
         fx.batch_scorer(),
