@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thoughtlog.functions.text import matrix_cell_text, translate_label
 from thoughtlog.schemas import CLASSES, OLD_POLARITY_COLUMN
-from thoughtlog.sources.sizes import broadcast_if_small
+from thoughtlog.sources.sizes import broadcast_if_small, literal_table
 
 _METRICS = ("precision", "recall", "f1")
 
@@ -88,9 +89,8 @@ def label_union(counts: DataFrame) -> DataFrame:
 
 def present_classes(counts: DataFrame, canonical: Sequence[str] = CLASSES) -> DataFrame:
     """``place, label``: the canonical labels that occur, in canonical order."""
-    table = counts.sparkSession.createDataFrame(
-        list(enumerate(canonical)), "place INT, label STRING"
-    )
+    rows = list(enumerate(canonical))
+    table = literal_table(counts.sparkSession, rows, place=pa.int32(), label=pa.string())
     return table.join(label_union(counts), "label", "left_semi").select("place", "label")
 
 
@@ -189,7 +189,7 @@ def weighted_metrics(report: DataFrame) -> DataFrame:
 
 def class_metric_bars(report: DataFrame, classes: Sequence[str] = CLASSES) -> DataFrame:
     """``label, metric, value`` of the fixed classes; a class that is absent has zeros."""
-    table = report.sparkSession.createDataFrame([(c,) for c in classes], "label STRING")
+    table = literal_table(report.sparkSession, [(c,) for c in classes], label=pa.string())
     known = table.join(report, "label", "left").fillna(0.0, subset=list(_METRICS))
     return known.unpivot(["label"], list(_METRICS), "metric", "value")
 

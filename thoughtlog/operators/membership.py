@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thoughtlog.sources.sizes import BROADCAST_ROWS
+from thoughtlog.sources.sizes import literal_table
 
 # Up to this many words the list is a literal set inside the filter expression.
 LITERAL_WORDS = 2_000
 
 
 def _joined(df: DataFrame, key: Column, words: Collection[str], how: str) -> DataFrame:
-    table = df.sparkSession.createDataFrame([(w,) for w in sorted(words)], "_word STRING")
-    if len(words) <= BROADCAST_ROWS:
-        table = F.broadcast(table)
+    rows = [(word,) for word in sorted(words)]
+    table = literal_table(df.sparkSession, rows, _word=pa.string())
     return df.join(table, key == F.col("_word"), how)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of one group that one window partition may hold at most, as order keys are unique.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 
 
 def running_number(
@@ -19,7 +19,7 @@ def running_number(
     Rows are numbered inside chunks of the key range, and the sizes of the earlier chunks of
     the group are added. A chunk holds at most ``chunk`` rows, so one group may be any share
     of the table; the running sum sees one row per chunk. Rows with a null group get no
-    number.
+    number. The rows are shuffled, so number slim rows before wide ones are made.
     """
     keys = [*by, "_chunk"]
     rows = df.withColumn("_chunk", F.expr(f"`{order}` div {chunk}"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thoughtlog.functions.text import default_when_empty
 from thoughtlog.schemas import NO_EMOTION
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
-from thoughtlog.sources.sizes import BROADCAST_ROWS
+from thoughtlog.sources.sizes import literal_table
 
 
 def match_phrases(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
@@ -25,11 +26,15 @@ def match_phrases(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame
         for phrase_no, category, lemmas in lexicon.phrases()
         for place, lemma in enumerate(lemmas)
     ]
-    table = tokens.sparkSession.createDataFrame(
-        places, "phrase_no INT, category STRING, n_lemmas INT, place INT, lemma STRING"
+    table = literal_table(
+        tokens.sparkSession,
+        places,
+        phrase_no=pa.int32(),
+        category=pa.string(),
+        n_lemmas=pa.int32(),
+        place=pa.int32(),
+        lemma=pa.string(),
     )
-    if len(places) <= BROADCAST_ROWS:
-        table = F.broadcast(table)
     votes = tokens.select("entry_id", "tok_no", "lemma").join(table, "lemma")
     counted = votes.groupBy(
         "entry_id",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thoughtlog.sources.sizes import literal_table
+
 # Fixed value: planned days per persona.
 DAYS = 60
 
@@ -52,8 +55,13 @@ PROMPT_END = (
 def persona_table(spark: SparkSession) -> DataFrame:
     """``persona_no, persona, backend, prompt`` of the planned personas, in planned order."""
     rows = [(no, *persona) for no, persona in enumerate(PERSONAS)]
-    return spark.createDataFrame(
-        rows, "persona_no BIGINT, persona STRING, backend STRING, prompt STRING"
+    return literal_table(
+        spark,
+        rows,
+        persona_no=pa.int64(),
+        persona=pa.string(),
+        backend=pa.string(),
+        prompt=pa.string(),
     )
 
 

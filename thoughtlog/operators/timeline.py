@@ -10,6 +10,7 @@ from thoughtlog.functions.scores import polarity_value
 from thoughtlog.functions.text import card_text, percent_text, translate_label
 from thoughtlog.operators.numbering import day_number
 from thoughtlog.schemas import NO_EMOTION
+from thoughtlog.sources.scratch import materialize
 
 _CARDS = ("situations", "emotions", "thoughts", "reactions")
 
@@ -69,12 +70,12 @@ def polarity_summary(processed: DataFrame) -> DataFrame:
 
 def mood_heatmap(calendar: DataFrame) -> DataFrame:
     """``persona, week_no`` and the polarity value of each day of the week, ``d1`` to ``d7``."""
-    days = {f"d{d}": F.max(F.when(F.col("day_of_week") == d, F.col("polarity_value"))) for d in range(1, 8)}
-    return (
-        calendar.where(F.col("day_no").isNotNull())
-        .groupBy("persona", "week_no")
-        .agg(*[value.alias(name) for name, value in days.items()])
-    )
+    days = [
+        F.max(F.when(F.col("day_of_week") == d, F.col("polarity_value"))).alias(f"d{d}")
+        for d in range(1, 8)
+    ]
+    numbered = calendar.where(F.col("day_no").isNotNull())
+    return numbered.groupBy("persona", "week_no").agg(*days)
 
 
 def polarity_series(calendar: DataFrame) -> DataFrame:
@@ -88,12 +89,17 @@ def polarity_series(calendar: DataFrame) -> DataFrame:
     ).orderBy("persona", "day_no")
 
 
-def record_for_day(numbered: DataFrame, day: int, persona: str | None = None) -> DataFrame:
-    """The record of one monitored day, of one persona or of every persona."""
-    rows = numbered.where(F.col("day_no") == day)
+def record_for_day(processed: DataFrame, day: int, persona: str | None = None) -> DataFrame:
+    """The record of one monitored day, of one persona or of every persona.
+
+    Only ids are numbered and shuffled. The ids of the day, one per persona, are stored, so
+    that the join with the wide records is planned by their real size.
+    """
     if persona is not None:
-        rows = rows.where(F.col("persona") == persona)
-    return rows.select(
+        processed = processed.where(F.col("persona") == persona)
+    days = day_number(processed.select("entry_id", "persona"))
+    wanted = materialize(days.where(F.col("day_no") == day).drop("persona"), "day")
+    return processed.join(wanted, "entry_id").select(
         "persona",
         "day_no",
         "polarity",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +89,23 @@ def tokenize(entries: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     )
 
 
+def annotate(
+    entries: DataFrame,
+    annotator: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    partitions: int | None = None,
+) -> DataFrame:
+    """Token table from an annotator in Python, given for ``mapInPandas``.
+
+    It gets frames of ``entry_id, text`` and gives frames in the shape of the token table. It
+    should load its model once, before the first batch. Store the result: every text should
+    be parsed once, however many operators read its tokens.
+    """
+    rows = entries.select("entry_id", F.coalesce("text", F.lit("")).alias("text"))
+    if partitions is not None:
+        rows = rows.repartition(partitions, "entry_id")
+    return rows.mapInPandas(annotator, TOKEN)
+
+
 def text_in_order(order: Column, piece: Column) -> Column:
     """Aggregate that concatenates text pieces by an explicit order."""
     pairs = F.array_sort(F.collect_list(F.struct(order.alias("ord"), piece.alias("piece"))))

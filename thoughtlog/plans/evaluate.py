@@ -16,7 +16,7 @@ def evaluate(processed: DataFrame, gold: DataFrame, key: str = "persona") -> dic
         counts = ev.persona_pair_counts(processed, gold)
     else:
         counts = ev.pair_counts(ev.valid_pairs(ev.attach_gold(processed, gold, key)))
-    counts = materialize(counts.coalesce(1), "pair-counts")
+    counts = materialize(counts, "pair-counts")
     report = ev.per_class_report(counts)
     normalized = ev.confusion_normalized(ev.confusion_matrix(counts))
     return {

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from thoughtlog.sources.sizes import literal_table
+
 # The label expected of each planned persona.
 GOLD = {
     "Persona_A": "POSITIVE",
@@ -19,4 +22,6 @@ GOLD = {
 def gold_table(spark: SparkSession, gold: Mapping[str, str] | None = None) -> DataFrame:
     """Dimension table ``persona, expected``."""
     gold = GOLD if gold is None else gold
-    return spark.createDataFrame(sorted(gold.items()), "persona STRING, expected STRING")
+    return literal_table(
+        spark, sorted(gold.items()), persona=pa.string(), expected=pa.string()
+    )

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from thoughtlog.functions.text import TIME_WORDS_PT
+from thoughtlog.sources.sizes import literal_table
 
 
 @dataclass(frozen=True)
@@ -92,8 +94,12 @@ def lexicon_tables(spark: SparkSession, lexicon: Lexicon = PORTUGUESE) -> dict[s
     }
     words = [(name, word) for name, members in lists.items() for word in sorted(members)]
     return {
-        "words": spark.createDataFrame(words, "list STRING, word STRING"),
-        "phrases": spark.createDataFrame(
-            lexicon.phrases(), "phrase_no INT, category STRING, lemmas ARRAY<STRING>"
+        "words": literal_table(spark, words, list=pa.string(), word=pa.string()),
+        "phrases": literal_table(
+            spark,
+            lexicon.phrases(),
+            phrase_no=pa.int32(),
+            category=pa.string(),
+            lemmas=pa.list_(pa.string()),
         ),
     }

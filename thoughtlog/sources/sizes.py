@@ -1,21 +1,39 @@
-"""Broadcast hints only for tables of checked size."""
+"""Small tables whose size the optimizer knows or that is checked before a broadcast."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A dimension row of a key and a label stays well under 100 bytes, so this bound keeps a
-# broadcast table near 10 MB.
-BROADCAST_ROWS = 100_000
+# Bounds of a table that may be sent whole to every executor.
+BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+
+
+def literal_table(
+    spark: SparkSession, rows: Sequence[tuple], **columns: pa.DataType
+) -> DataFrame:
+    """Table of Python rows that the plan holds with its exact size.
+
+    A join with it is then broadcast or shuffled by that size, without a hint.
+    """
+    values = list(zip(*rows)) or [()] * len(columns)
+    arrays = [pa.array(v, kind) for v, kind in zip(values, columns.values())]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
 
 
-def broadcast_if_small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting at most ``max_rows + 1`` rows of the dimension.
+def broadcast_if_small(
+    dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Hint a broadcast if the dimension table is within the bounds.
 
-    A larger table gets no hint: the optimizer then plans a shuffle join, whose skewed
-    partitions are split at run time.
+    At most ``max_rows + 1`` rows are measured. A larger table gets no hint: the optimizer
+    then plans a shuffle join, whose skewed partitions are split at run time.
     """
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(dim)
-    return dim
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    seen = dim.limit(max_rows + 1).agg(F.count("*").alias("n"), size.alias("size")).first()
+    small = seen["n"] <= max_rows and (seen["size"] or 0) <= max_bytes
+    return F.broadcast(dim) if small else dim

@@ -475,6 +475,7 @@ ORACLES: dict[str, str] = {
     "polarity_shares": sql(f"SELECT persona, total, {SHARES} FROM summ"),
 }
 ORACLES |= {
+    "annotate_python": ORACLES["read_tokens"],
     "score_windows_python": ORACLES["score_windows"],
     "mean_logits_in_place": ORACLES["mean_logits"],
     "classify_python": ORACLES["classify"],

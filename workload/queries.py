@@ -196,7 +196,7 @@ def read_processed_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def word_list_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.broadcast(lexicon_tables(spark, fx.LEXICON)["words"])
+    words = lexicon_tables(spark, fx.LEXICON)["words"]
     hits = tokens(spark, sf_dir).select(F.col("lemma").alias("word")).join(words, "word")
     return hits.groupBy("list", "word").agg(F.count("*").alias("n_tokens"))
 
@@ -213,6 +213,12 @@ def read_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("is_stop")
 
 
+@_query
+def annotate_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tokens from a Python annotator."""
+    return ot.annotate(texts(spark, sf_dir), fx.batch_annotator()).drop("is_stop")
+
+
 @_query
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ot.tokenize(texts(spark, sf_dir)).select(
@@ -657,7 +663,7 @@ def persona_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def record_for_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tl.record_for_day(on.day_number(processed(spark, sf_dir)), 3)
+    return tl.record_for_day(materialize(processed(spark, sf_dir), "processed"), 3)
 
 
 @_query
