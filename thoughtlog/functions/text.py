@@ -40,7 +40,7 @@ def capitalize(col: Column) -> Column:
 
 def word_count(col: Column) -> Column:
     """Number of whitespace-separated words; null for a null text."""
-    return F.size(F.filter(F.split(col, f"{WHITESPACE}+"), lambda word: word != ""))
+    return F.regexp_count(col, F.lit(f"[^{WHITESPACE[1:-1]}]+"))
 
 
 def min_words(col: Column, more_than: int) -> Column:
