@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thoughtlog.functions.text import capitalize, min_words, strip
@@ -51,21 +51,36 @@ def clause_seeds(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     )
 
 
-def _seed_sentences(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Slim stored table of the tokens whose sentence holds a seed, with its length."""
-    wanted = seeds.select(*_SENTENCE).distinct()
+def stored_sentences(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Stored table of the wanted sentences, one row each, with ``words``: an array of
+    ``(tok_no, head, piece)`` in text order, where a piece is a word with its own space.
+
+    ``wanted`` has one row per sentence; its further columns are kept. The whole token table
+    is joined, and at most shuffled, once.
+    """
+    flags = [c for c in wanted.columns if c not in _SENTENCE]
     piece = F.concat(F.col("text"), F.coalesce(F.col("ws"), F.lit("")))
-    rows = tokens.select(*_SENTENCE, "tok_no", "head", piece.alias("piece")).join(
-        wanted, _SENTENCE, "left_semi"
+    words = tokens.select(*_SENTENCE, F.struct("tok_no", "head", piece.alias("piece")).alias("word"))
+    rows = words.join(wanted, _SENTENCE).groupBy(*_SENTENCE, *flags)
+    return materialize(
+        rows.agg(F.array_sort(F.collect_list("word")).alias("words")), "sentences"
     )
-    length = F.count("*").over(Window.partitionBy(*_SENTENCE))
-    return materialize(rows.withColumn("n_tokens", length), "seed-sentences")
+
+
+def sentence_text(words: Column) -> Column:
+    """Text of a stored sentence."""
+    return strip(F.array_join(F.transform(words, lambda word: word["piece"]), ""))
+
+
+def _seed_sentences(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
+    return stored_sentences(tokens, seeds.select(*_SENTENCE).distinct())
 
 
 def _members(sentences: DataFrame, seeds: DataFrame) -> DataFrame:
     """Rounds of pointer doubling over ``(tok_no, ref)`` rows of two sorts: ``ref`` is the
     ancestor ``reach`` levels up, or a seed at fewer levels up."""
-    up = sentences.where((F.col("head") != 0) & (F.col("head") != F.col("tok_no"))).select(
+    words = sentences.select(*_SENTENCE, F.size("words").alias("n_tokens"), F.inline("words"))
+    up = words.where((F.col("head") != 0) & (F.col("head") != F.col("tok_no"))).select(
         *_SENTENCE, "tok_no", F.col("head").alias("ref"), "n_tokens"
     )
     found = seeds.select(*_SENTENCE, F.col("seed").alias("tok_no"), F.col("seed").alias("ref"))
@@ -100,35 +115,33 @@ def subtree_members(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
     return _members(_seed_sentences(tokens, seeds), seeds)
 
 
-def subtree_text(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``entry_id, sent_no, seed, subtree``: own words and spaces of the tokens at or below
-    each seed, in text order, stripped. ``seeds`` should be a stored table."""
-    sentences = _seed_sentences(tokens, seeds)
+def _texts(sentences: DataFrame, seeds: DataFrame) -> DataFrame:
     members = _members(sentences, seeds)
     # A set, as a cycle in bad input may list a token twice.
     pairs = F.array_sort(F.collect_set(F.struct("tok_no", "piece")))
     text = F.array_join(F.transform(pairs, lambda pair: pair["piece"]), "")
     return (
-        sentences.select(*_SENTENCE, "tok_no", "piece")
+        sentences.select(*_SENTENCE, F.inline("words"))
         .join(members, [*_SENTENCE, "tok_no"])
         .groupBy(*_SENTENCE, "seed")
         .agg(strip(text).alias("subtree"))
     )
 
 
+def subtree_text(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``entry_id, sent_no, seed, subtree``: own words and spaces of the tokens at or below
+    each seed, in text order, stripped. ``seeds`` should be a stored table."""
+    return _texts(_seed_sentences(tokens, seeds), seeds)
+
+
 def _clause_order() -> Column:
     """Text order of verbs, then of the complements of one verb."""
     return F.shiftleft(F.col("verb_tok").cast("long"), 32) + F.col("seed")
 
 
-def clauses(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
-    """``entry_id, kind, ord, value``: thoughts and reactions, long enough and capitalised.
-
-    Both kinds share one pass over the trees. A reaction starts with its verb, which does
-    not count as a word of it.
-    """
-    seeds = materialize(clause_seeds(tokens, lexicon), "seeds")
-    texts = subtree_text(tokens, seeds).join(seeds, [*_SENTENCE, "seed"])
+def clause_findings(sentences: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``entry_id, kind, ord, value`` from stored sentences that hold the stored seeds."""
+    texts = _texts(sentences, seeds).join(seeds, [*_SENTENCE, "seed"])
     thought = F.col("kind") == "thought"
     kept = texts.where(
         F.when(thought, min_words(F.col("subtree"), THOUGHT_WORDS)).otherwise(
@@ -141,3 +154,13 @@ def clauses(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     return kept.select(
         "entry_id", "kind", _clause_order().alias("ord"), capitalize(value).alias("value")
     )
+
+
+def clauses(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
+    """``entry_id, kind, ord, value``: thoughts and reactions, long enough and capitalised.
+
+    Both kinds share one pass over the trees. A reaction starts with its verb, which does
+    not count as a word of it.
+    """
+    seeds = materialize(clause_seeds(tokens, lexicon), "seeds")
+    return clause_findings(_seed_sentences(tokens, seeds), seeds)

@@ -43,12 +43,11 @@ PERSONAS = (
     ),
 )
 
-# The prompt of a cell around its day, the planned days and the description.
-PROMPT_START = "Escreva o dia "
-PROMPT_MIDDLE = " do diário de: "
-PROMPT_END = (
-    ". Requisito: Retorne estritamente o texto narrativo em primeira pessoa, com pelo menos "
-    "150 palavras, citando locais e pessoas. Sem aspas ou prefixos."
+# Fixed value: the prompt of a cell, with its day, the planned days and the description.
+PROMPT = (
+    "Escreva o dia %d/%d do diário de: %s. Requisito: Retorne estritamente o texto narrativo em "
+    "primeira pessoa, com pelo menos 150 palavras, citando locais e pessoas. Sem aspas ou "
+    "prefixos."
 )
 
 
@@ -82,13 +81,5 @@ def prompt_grid(personas: DataFrame, days: int = DAYS) -> DataFrame:
         "persona_no",
         "persona",
         "day",
-        F.concat(
-            F.lit(PROMPT_START),
-            F.col("day"),
-            F.lit("/"),
-            F.lit(days),
-            F.lit(PROMPT_MIDDLE),
-            F.col("prompt"),
-            F.lit(PROMPT_END),
-        ).alias("request"),
+        F.format_string(PROMPT, "day", F.lit(days), "prompt").alias("request"),
     )

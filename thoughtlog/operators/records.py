@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from thoughtlog.functions.text import default_when_empty, ordered_distinct
 from thoughtlog.operators.clauses import clauses
 from thoughtlog.operators.tokens import (
-    context_sentences,
     person_place_entities,
     sentence_texts,
+    situation_sentences,
 )
 from thoughtlog.schemas import NO_REACTION, NO_SITUATION, NO_THOUGHT, NO_TRIGGER
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
@@ -29,14 +29,18 @@ def situation_findings(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> Data
 
     The sentences are found first, from few tokens; only their tokens are put together.
     """
-    named = person_place_entities(tokens).select("entry_id", "sent_no")
-    wanted = context_sentences(tokens, lexicon).union(named).distinct()
+    wanted = situation_sentences(tokens, lexicon)
     texts = sentence_texts(tokens.join(wanted, ["entry_id", "sent_no"], "left_semi"))
-    return texts.select(
+    return as_situations(texts, F.col("sentence"))
+
+
+def as_situations(sentences: DataFrame, text: Column) -> DataFrame:
+    """Sentence rows as findings."""
+    return sentences.select(
         "entry_id",
         F.lit("situation").alias("kind"),
         F.col("sent_no").cast("long").alias("ord"),
-        F.col("sentence").alias("value"),
+        text.alias("value"),
     )
 
 

@@ -129,6 +129,15 @@ def context_sentences(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataF
     return hits.select("entry_id", "sent_no").distinct()
 
 
+def situation_sentences(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
+    """``entry_id, sent_no`` of sentences with a context noun, a person or a place."""
+    nouns = keep_members(tokens, F.lower("lemma"), lexicon.context_nouns)
+    named = tokens.where(F.col("ent_label").isin(*PERSON_PLACE))
+    return (
+        nouns.select("entry_id", "sent_no").union(named.select("entry_id", "sent_no")).distinct()
+    )
+
+
 def person_place_entities(tokens: DataFrame) -> DataFrame:
     """``entry_id, sent_no, ent_id, first_tok, entity`` of people and places."""
     parts = tokens.where(F.col("ent_label").isin(*PERSON_PLACE))

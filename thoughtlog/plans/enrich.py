@@ -8,19 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thoughtlog.functions.text import default_when_empty, time_anchor
-from thoughtlog.operators.clauses import clauses
+from thoughtlog.operators.clauses import (
+    clause_findings,
+    clause_seeds,
+    sentence_text,
+    stored_sentences,
+)
 from thoughtlog.operators.keywords import keyword_tokens
 from thoughtlog.operators.phrases import match_phrases
 from thoughtlog.operators.records import (
     FIELDS,
+    as_situations,
     field_text,
     gather,
-    situation_findings,
     trigger_findings,
 )
 from thoughtlog.operators.scoring import ColumnScorer, Scorer, classify, polarity_column
+from thoughtlog.operators.tokens import situation_sentences
 from thoughtlog.schemas import NO_EMOTION, PROCESSED
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
+from thoughtlog.sources.scratch import materialize
 
 RECORD_FIELDS = (
     "time_anchor",
@@ -33,7 +40,24 @@ RECORD_FIELDS = (
 
 
 def findings(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
-    """``entry_id, kind, ord, value``: everything the records are made of, one row each."""
+    """``entry_id, kind, ord, value``: everything the records are made of, one row each.
+
+    Situations and clauses need the tokens of some sentences put together. Those sentences
+    are found first, from few tokens, and fetched from the token table in one join for both.
+    """
+    seeds = materialize(clause_seeds(tokens, lexicon), "seeds")
+    situation = situation_sentences(tokens, lexicon).withColumns(
+        {"is_situation": F.lit(True), "has_seed": F.lit(False)}
+    )
+    seeded = seeds.select(
+        "entry_id", "sent_no", F.lit(False).alias("is_situation"), F.lit(True).alias("has_seed")
+    )
+    wanted = (
+        situation.unionByName(seeded)
+        .groupBy("entry_id", "sent_no")
+        .agg(*[F.bool_or(c).alias(c) for c in ("is_situation", "has_seed")])
+    )
+    sentences = stored_sentences(tokens, wanted)
     emotions = match_phrases(tokens, lexicon).select(
         "entry_id",
         F.lit("emotion").alias("kind"),
@@ -41,9 +65,9 @@ def findings(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
         F.col("category").alias("value"),
     )
     return (
-        situation_findings(tokens, lexicon)
+        as_situations(sentences.where("is_situation"), sentence_text(F.col("words")))
         .unionByName(trigger_findings(tokens))
-        .unionByName(clauses(tokens, lexicon))
+        .unionByName(clause_findings(sentences.where("has_seed"), seeds))
         .unionByName(emotions)
     )
 

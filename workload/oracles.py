@@ -347,7 +347,7 @@ ORACLES: dict[str, str] = {
     ),
     "prompt_grid": sql(
         f"""SELECT persona_no * 60 + day - 1 AS grid_no, persona_no, persona, day,
-            '{pr.PROMPT_START}' || day || '/60{pr.PROMPT_MIDDLE}' || prompt || '{pr.PROMPT_END}' AS request
+            printf('{pr.PROMPT}', day, 60, prompt) AS request
             FROM personas CROSS JOIN generate_series(1, 60) AS d(day)"""
     ),
     "token_window_rows": sql(
