@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from workload import queries
 from workload.compare import check, database
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -16,6 +17,16 @@ def con():
     return database(SF_DIR)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_token_table(spark):
+    """Store the token table once for all tests."""
+    stored = queries.stored_tokens(spark, SF_DIR)
+    patch = pytest.MonkeyPatch()
+    patch.setattr(queries, "stored_tokens", lambda *_: stored)
+    yield
+    patch.undo()
+
+
 def test_every_query_has_sql():
     assert set(contract.oracle_sql()) == set(QUERIES)
 

@@ -102,6 +102,13 @@ def test_model_input_is_framed(spark):
     assert osc.score_windows(token_windows(df), scorer).first().logits == [4.0, 0.0, 2.0]
 
 
+def test_classes_without_a_label_are_neutral(spark):
+    df = spark.createDataFrame([(1, [2, 5, 8]), (2, [3])], "entry_id bigint, ids array<int>")
+    for scorer in (fx.COLUMN_SCORER, fx.batch_scorer()):
+        rows = osc.classify(df, scorer, {0: "negative"}, n_classes=3).collect()
+        assert {r.entry_id: r.polarity for r in rows} == {1: "NEUTRAL", 2: "NEGATIVE"}
+
+
 def test_batch_scorer_may_be_spread(spark):
     _, df = entries(spark)
     spread = osc.BatchScorer(fx.batch_scorer().score, partitions=3)

@@ -93,18 +93,28 @@ def mean_logits_column(
     return mean_vector(vectors, n_classes)
 
 
+def _class_count(labels: Mapping[int, str], n_classes: int | None) -> int:
+    """Length of the score vectors: as given, or up to the last labelled class."""
+    return max(labels) + 1 if n_classes is None else n_classes
+
+
 def polarity_column(
     ids: Column,
     scorer: ColumnScorer,
     labels: Mapping[int, str],
     window: int = WINDOW,
     overlap: int = OVERLAP,
+    n_classes: int | None = None,
 ) -> Column:
-    """Polarity of one entry as an expression of its ids; never null."""
+    """Polarity of one entry as an expression of its ids; never null.
+
+    ``n_classes`` is needed if the last classes of the scorer have no label.
+    """
+    size = _class_count(labels, n_classes)
     winner = bind(
         F.coalesce(ids, F.array().cast("array<int>")),
         lambda known: bind(
-            mean_logits_column(known, scorer, len(labels), window, overlap), argmax
+            mean_logits_column(known, scorer, size, window, overlap), argmax
         ),
     )
     return label_of(winner, labels)
@@ -138,12 +148,14 @@ def classify(
     labels: Mapping[int, str],
     window: int = WINDOW,
     overlap: int = OVERLAP,
+    n_classes: int | None = None,
 ) -> DataFrame:
     """``entry_id, polarity`` from ``entry_id, ids``."""
     if isinstance(scorer, ColumnScorer):
-        label = polarity_column(F.col("ids"), scorer, labels, window, overlap)
+        label = polarity_column(F.col("ids"), scorer, labels, window, overlap, n_classes)
         return entries.select("entry_id", label.alias("polarity"))
-    scored = entry_logits(entries, scorer, len(labels), window, overlap)
+    size = _class_count(labels, n_classes)
+    scored = entry_logits(entries, scorer, size, window, overlap)
     return scored.select("entry_id", label_of(argmax(F.col("logits")), labels).alias("polarity"))
 
 
@@ -153,9 +165,11 @@ def classify_detailed(
     labels: Mapping[int, str],
     window: int = WINDOW,
     overlap: int = OVERLAP,
+    n_classes: int | None = None,
 ) -> DataFrame:
     """As :func:`classify`, with mean scores, probabilities, windows and confidence."""
-    scored = entry_logits(entries, scorer, len(labels), window, overlap)
+    size = _class_count(labels, n_classes)
+    scored = entry_logits(entries, scorer, size, window, overlap)
     logits = F.col("logits")
     return scored.select(
         "entry_id",

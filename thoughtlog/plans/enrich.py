@@ -147,6 +147,7 @@ def enrich(
     scorer: Scorer,
     labels: Mapping[int, str],
     lexicon: Lexicon = PORTUGUESE,
+    n_classes: int | None = None,
 ) -> DataFrame:
     """The processed table: entries with record fields, polarity and keywords.
 
@@ -163,10 +164,10 @@ def enrich(
         F.coalesce(ids, F.array().cast("array<int>")).alias("ids"),
     )
     if isinstance(scorer, ColumnScorer):
-        label = polarity_column(F.col("ids"), scorer, labels).alias("polarity")
+        label = polarity_column(F.col("ids"), scorer, labels, n_classes=n_classes).alias("polarity")
         base = base.select("entry_id", "persona", "text", "time_anchor", label)
         labelled = attach_results(base, gather_fields(found))
     else:
-        polarity = classify(base.select("entry_id", "ids"), scorer, labels)
+        polarity = classify(base.select("entry_id", "ids"), scorer, labels, n_classes=n_classes)
         labelled = attach_results(base.drop("ids"), gather_fields(found), polarity)
     return labelled.withColumns(_texts()).select(PROCESSED.names)

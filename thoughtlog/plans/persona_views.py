@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from thoughtlog.operators import timeline as tl
 from thoughtlog.operators.keywords import TOP_TERMS, term_frequency, top_terms
 from thoughtlog.operators.numbering import day_number
+from thoughtlog.sources.scratch import materialize
 
 
 def persona_views(processed: DataFrame, k: int = TOP_TERMS) -> dict[str, DataFrame]:
     """View tables by name, for all personas at once. ``processed`` should be a stored
     table: each view reads only its columns."""
     slim = processed.select("entry_id", "persona", "polarity")
-    calendar = tl.with_calendar(day_number(slim))
+    # Numbered and sorted once for both views that need the day.
+    calendar = tl.with_calendar(materialize(day_number(slim), "days"))
     return {
         "personas": tl.persona_list(processed),
         "summary": tl.polarity_summary(processed),

@@ -303,8 +303,8 @@ def strip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def label_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = {0: "negative", 2: "positive"}
-    rows = logits(spark, sf_dir)
-    return rows.select("entry_id", fs.label_of(fs.argmax(F.col("logits")), known).alias("label"))
+    rows = osc.classify(with_ids(spark, sf_dir), fx.COLUMN_SCORER, known)
+    return rows.withColumnRenamed("polarity", "label")
 
 
 @_query
