@@ -156,11 +156,16 @@ def clause_findings(sentences: DataFrame, seeds: DataFrame) -> DataFrame:
     )
 
 
-def clauses(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
+def clauses(
+    tokens: DataFrame, lexicon: Lexicon = PORTUGUESE, kind: str | None = None
+) -> DataFrame:
     """``entry_id, kind, ord, value``: thoughts and reactions, long enough and capitalised.
 
-    Both kinds share one pass over the trees. A reaction starts with its verb, which does
-    not count as a word of it.
+    Both kinds share one pass over the trees, unless only one ``kind`` is wanted. A reaction
+    starts with its verb, which does not count as a word of it.
     """
-    seeds = materialize(clause_seeds(tokens, lexicon), "seeds")
+    seeds = clause_seeds(tokens, lexicon)
+    if kind is not None:
+        seeds = seeds.where(F.col("kind") == kind)
+    seeds = materialize(seeds, "seeds")
     return clause_findings(_seed_sentences(tokens, seeds), seeds)

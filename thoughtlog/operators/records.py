@@ -88,9 +88,9 @@ def triggers(tokens: DataFrame) -> DataFrame:
 
 def thoughts(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     """``entry_id, thoughts`` of the entries that have any."""
-    return record_field(clauses(tokens, lexicon), "thought")
+    return record_field(clauses(tokens, lexicon, "thought"), "thought")
 
 
 def reactions(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     """``entry_id, reactions`` of the entries that have any."""
-    return record_field(clauses(tokens, lexicon), "reaction")
+    return record_field(clauses(tokens, lexicon, "reaction"), "reaction")
