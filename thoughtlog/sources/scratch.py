@@ -2,43 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
+SETTING = "spark.checkpoint.dir"
+_LEFT: list[tuple[SparkSession, str]] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder named in ``spark.checkpoint.dir``.
-
-    A local session without the setting gets a fresh folder of its own; a cluster session
-    without it is refused, as a driver-local folder would not be seen by the executors.
-    """
-    folder = spark.conf.get(_SETTING, None)
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """The given folder, else the one in ``spark.checkpoint.dir``, else the checkpoint folder of
+    the context. Nothing is set and no machine-local folder is made: without any of the three
+    the call is refused."""
+    folder = folder or spark.conf.get(SETTING, None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_SETTING} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="thoughtlog-")
-        spark.conf.set(_SETTING, folder)
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()  # the context's own subfolder
+        folder = made.get() if made.isDefined() else None
+    if folder is None:
+        raise ValueError(f"set {SETTING}, or a checkpoint folder, to one all executors share")
     return folder.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A path in the shared folder that nothing else uses; removed when the driver ends."""
+    path = f"{shared_folder(spark, folder)}/{name}-{uuid.uuid4().hex}"
+    _LEFT.append((spark, path))
+    return path
+
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table, wherever the shared folder is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage so that later work neither repeats the plan nor loses it with an
     executor, and gives the optimizer the real size of the table.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = fresh_path(spark, name, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,3 +58,40 @@ def materialize_counted(df: DataFrame, name: str, counted: Column) -> tuple[Data
     seen = Observation()
     stored = materialize(df.observe(seen, F.count_if(counted).alias("n")), name)
     return stored, seen.get["n"]
+
+
+class Scratch:
+    """Stored tables of one job, removed together."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder, self.paths = spark, folder, []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name, self.folder)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths.clear()
+
+
+@contextmanager
+def scratch(spark: SparkSession, folder: str | None = None) -> Iterator[Scratch]:
+    """Tables stored inside the block are removed at its end; write the result before."""
+    tables = Scratch(spark, folder)
+    try:
+        yield tables
+    finally:
+        tables.clear()
+
+
+@atexit.register
+def _clear_left() -> None:
+    for spark, path in _LEFT:
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  the session may be over
+            return
