@@ -72,10 +72,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, path: str) -> None:
+        remove(self.spark, path)
+        self.paths.remove(path)
+
     def clear(self) -> None:
-        for path in self.paths:
-            remove(self.spark, path)
-        self.paths.clear()
+        for path in list(self.paths):
+            self.drop(path)
 
 
 @contextmanager
