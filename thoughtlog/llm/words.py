@@ -43,7 +43,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
+        have = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
         if n <= 1 << 24:  # one very long text does not stay in memory
