@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thoughtlog.llm import decontaminate, line_dedup, packing, simhash
+from thoughtlog.llm import decontaminate, line_dedup, packing, simhash, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -58,3 +58,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 4,096 tokens."""
     return packing.pack(documents(spark, sf_dir), vocabulary())
+
+
+@query
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited form and the next document."""
+    return winnowing.compare_edited(documents(spark, sf_dir))
