@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thoughtlog.llm import decontaminate, line_dedup, packing, simhash, winnowing
+from thoughtlog.llm import decontaminate, language_id, line_dedup, packing, simhash, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,3 +64,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited form and the next document."""
     return winnowing.compare_edited(documents(spark, sf_dir))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = language_id.learn(docs)
+    marked = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    return language_id.identify(marked, model).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
