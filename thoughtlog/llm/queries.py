@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thoughtlog.llm import decontaminate, language_id, line_dedup, packing, simhash, winnowing
+from thoughtlog.llm import decontaminate, language_id, line_dedup, packing, simhash, substring_dedup, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -73,3 +73,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs)
     marked = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
     return language_id.identify(marked, model).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words kept of every document after repeated passages of 35 words are gone."""
+    return substring_dedup.remove_repeated(documents(spark, sf_dir), digest=True)
