@@ -66,10 +66,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder, self.paths = spark, folder, []
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
+    def store(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         path = fresh_path(self.spark, name, self.folder)
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, path: str) -> None:
