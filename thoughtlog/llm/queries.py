@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thoughtlog.llm import decontaminate, language_id, line_dedup, packing, simhash, substring_dedup, token_files, winnowing
+from thoughtlog.llm import decontaminate, language_id, line_dedup, packing, secret_scan, simhash, substring_dedup, token_files, winnowing
 from thoughtlog.sources.scratch import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_tokens(documents(spark, sf_dir), vocabulary(), path)
     back = token_files.read_tokens(spark, path)
     return back.mapInArrow(_checksums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: fixed patterns and words that look drawn at random."""
+    found = secret_scan.scan(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.concat("base", "extra")).alias("spans"),
+    )
