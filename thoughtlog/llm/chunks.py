@@ -63,13 +63,19 @@ def packed(
     for shard in range(n_shards):
         a, b = int(bounds[shard]), int(bounds[shard + 1])
         if a < b:
-            yield {"shard": shard, "chunk": chunk, "keys": hashes[a:b].tobytes()} | {
+            yield {"shard": shard, "chunk": chunk, "keys": squeezed(hashes[a:b])} | {
                 k: v[a:b].tobytes() for k, v in values.items()
             }
 
 
-def rows_table(rows: list[dict[str, object]], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema)
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte: the upper bytes are zero and compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64)
+    return np.cumsum(steps.ravel(), dtype=np.uint64)
 
 
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:

@@ -77,7 +77,8 @@ def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
 
 
 def _build(key: tuple, table: pa.Table) -> pa.Table:
-    keys, prints = _joined(table, "keys", "<u8"), _joined(table, "prints", "<u4")
+    keys = np.concatenate([chunks.unsqueezed(k) for k in table.column("keys").to_pylist()])
+    prints = _joined(table, "prints", "<u4")
     docs, top = _joined(table, "docs", "<u4"), _joined(table, "top", "<i8")
     distinct = np.unique(keys)
     levels = perfect_hash.build(distinct)
@@ -100,7 +101,7 @@ def _probe(min_docs: int):
         prints, docs, top = (np.frombuffer(entry[n], k) for n, k in (("prints", "<u4"), ("docs", "<u8"), ("top", "<i8")))
         rows = []
         for row in sent.select(["chunk", "keys", "prints"]).to_pylist():
-            keys = np.frombuffer(row["keys"], "<u8")
+            keys = chunks.unsqueezed(row["keys"])
             at = table.index(keys)
             hit = (prints[at] == np.frombuffer(row["prints"], "<u4")) & (docs[at] >= min_docs)
             if hit.any():

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thoughtlog.llm import decontaminate, language_id, line_dedup, packing, secret_scan, simhash, substring_dedup, token_files, winnowing
+from thoughtlog.llm import backoff, decontaminate, language_id, line_dedup, packing, secret_scan, simhash, substring_dedup, token_files, winnowing
 from thoughtlog.sources.scratch import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
         secret_scan.listed(F.concat("base", "extra")).alias("spans"),
     )
+
+
+@query
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document under the counts of all others."""
+    return backoff.score(documents(spark, sf_dir))

@@ -54,7 +54,7 @@ def _send(window: int, n_shards: int):
 
 def _merge(key: tuple, table: pa.Table) -> pa.Table:
     """Repeated keys of each chunk: sent by two chunks, or seen twice in one."""
-    sent = [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
+    sent = [chunks.unsqueezed(k) for k in table.column("keys").to_pylist()]
     many = np.frombuffer(b"".join(table.column("many").to_pylist()), bool)
     every = np.concatenate(sent)
     inside = every[many]
@@ -64,7 +64,7 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
     for chunk, keys in zip(table.column("chunk").to_pylist(), sent):
         own = keys[_among(keys, repeated)]
         if len(own):
-            rows.append({"chunk": chunk, "keys": own.tobytes()})
+            rows.append({"chunk": chunk, "keys": chunks.squeezed(own)})
     return pa.Table.from_pylist(rows, _ANSWER_ARROW)
 
 
@@ -87,7 +87,7 @@ def _cut(window: int):
         texts = chunks.encoded(docs.column("text"))
         words = Words(texts, BETWEEN_SPACES)
         starts, hashes = words.windows(window)
-        repeated = np.sort(np.frombuffer(b"".join(answers.column("keys").to_pylist()), "<u8"))
+        repeated = np.sort(np.concatenate([chunks.unsqueezed(k) for k in answers.column("keys").to_pylist()]))
         edge = starts[_among(hashes, repeated)]  # first words of repeated edges, over all texts
         if not len(edge):
             return _PIECES_ARROW.empty_table()
