@@ -136,3 +136,111 @@ def one_of_each_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id"
     """Documents whose id is that of their group; rows without an id stay."""
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(gone, doc_id, "left_anti")
+
+
+# Near copies by similarity of word shingles. At five words a copy with every thirtieth word
+# changed differs in about one bit in seven, too many for one fingerprint's ball. So several short
+# fingerprints are used, each inside the documents that share two least shingle hashes: two texts
+# of similarity s agree on those with chance s * s, and unrelated texts nearly never do, however
+# large the corpus is. Pairs that meet are verified by their shingles.
+
+KEYS, KEY_BITS = 8, 16
+_ODD = mix(np.arange(1, 2 * KEYS + 1, dtype=np.uint64)) | np.uint64(1)
+_FLIPS = np.concatenate([[0], 1 << np.arange(KEY_BITS)]).astype(np.uint64)
+
+
+def _flat(per_text: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
+    return np.fromiter((h for one in per_text for h in one), np.uint64, int(counts.sum())), counts
+
+
+def _node(text: bytes) -> int:
+    """Texts with the same words, A-Z lower-cased, are one node."""
+    return xxhash.xxh3_64_intdigest(b" ".join(text.lower().split())) - 2**63
+
+
+def ball_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per text, KEYS rows of hashed (least hashes, variant of a short fingerprint)."""
+    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    lanes = [bit_majorities(flat if i == 0 else mix(flat ^ _ODD[i]), counts) for i in range(-(-KEYS * KEY_BITS // 64))]
+    out = np.empty((len(counts), KEYS, len(_FLIPS)), np.uint64)
+    for k in range(KEYS):
+        least = [np.minimum.reduceat(flat * _ODD[2 * k + i] >> np.uint64(1), first) for i in (0, 1)]
+        place = mix(least[0] ^ mix(least[1] + np.uint64(k)))
+        short = lanes[k * KEY_BITS // 64] >> np.uint64(k * KEY_BITS % 64) & np.uint64(2**KEY_BITS - 1)
+        out[:, k, :] = mix(place[:, None] ^ mix((short[:, None] ^ _FLIPS) + np.uint64(k << 32)))
+    return out.reshape(len(counts), -1)
+
+
+def _keyed(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks.batched(iter([batch]), "text", _SLICE):
+                texts = chunks.encoded(part.column("text"))
+                flat, counts = _flat([shingle_hashes(t, words) or [0] for t in texts])
+                keys = ball_keys(flat, counts).view(np.int64)
+                offsets = pa.array(np.arange(len(texts) + 1) * keys.shape[1], pa.int32())
+                columns = [part.column("doc_id"), pa.array([_node(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "keys"])
+
+    return run
+
+
+def _shingled(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks.batched(iter([batch]), "text", _SLICE):
+                texts = chunks.encoded(part.column("text"))
+                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in texts], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return run
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, tables: Scratch) -> DataFrame:
+    """Pairs with ``alike``: whether the Jaccard index of their shingle sets reaches the wanted."""
+    wanted = pairs.select(F.col("node")).union(pairs.select("pivot")).distinct()
+    known = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id"))
+    sets = docs.join(known, "doc_id", "left_semi").mapInArrow(_shingled(words), "node bigint, shingles array<bigint>")
+    sets = tables.store(sets.dropDuplicates(["node"]), "shingles")
+    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("others")), "pivot")
+    shared = F.size(F.array_intersect("shingles", "others"))
+    index = shared / (F.size("shingles") + F.size("others") - shared)
+    return both.select("node", "pivot", (index >= similarity).alias("alike"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", tables: Scratch | None = None) -> DataFrame:
+    """(doc_id, component_id): groups of documents linked by a similarity of their word shingles.
+
+    In each set of nodes that share a key, all are verified against the least one; those that
+    fail meet again without it, until none is left, so no set is compared pair by pair and none
+    is cut short. Texts with the same words are one node; texts without words are one group. Null
+    ids and repeated rows as in :func:`near_duplicate_groups`.
+    """
+    spark = docs.sparkSession
+    tables = tables or Scratch(spark)
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marked = source.mapInArrow(_keyed(words), "doc_id bigint, node bigint, keys array<bigint>")
+    marked = tables.store(marked, "keys", compression="zstd")
+    nodes = tables.store(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    keyed = marked.where("doc_id IS NOT NULL").join(nodes, (marked.node == nodes.node) & (F.col("doc_id") == F.col("least")), "left_semi")
+    rows = keyed.select("node", F.explode("keys").alias("key"))
+    links = None
+    while True:
+        pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top")
+        met = tables.store(rows.join(pivots.select("key", "pivot"), "key").where("node != pivot"), "met")
+        pairs = tables.store(met.select("node", "pivot").distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        checked = tables.store(_verified(source, nodes, pairs, words, similarity, tables), "checked")
+        alike = checked.where("alike").select("node", "pivot")
+        links = alike if links is None else links.union(alike)
+        failed = checked.where("NOT alike").select("node", "pivot")
+        rows = met.join(failed, ["node", "pivot"], "left_semi").select("node", "key")
+    if links is None:
+        return marked.join(nodes.withColumnRenamed("least", "component_id"), "node").select("doc_id", "component_id")
+    roots = components(spark, links, tables)
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = rooted.select("node", "root").join(named, "root").select("node", "component_id")
+    return marked.select("doc_id", "node").join(known, "node").select("doc_id", "component_id")
