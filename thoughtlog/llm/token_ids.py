@@ -1,8 +1,10 @@
 """Token ids of whole texts by a public tokenizer, with the ids of words remembered.
 
 The vocabulary's rules never join characters across ASCII white space, so a text's ids are those
-of its words one after another. Frequent words are looked up; the library encodes the others.
-The memory of a task is bounded: when it is full it starts anew.
+of its words one after another. Words seen before are looked up. A new word that is only letters,
+or letters and then signs, is one or two units of the vocabulary's own rules, which go straight to
+the library's merge model; any other word, and any text with a special token, goes through the
+library whole. The memory of a task is bounded: when it is full it starts anew.
 """
 
 from __future__ import annotations
@@ -13,39 +15,62 @@ import numpy as np
 from tokenizers import Tokenizer
 
 REMEMBERED = 600_000
-# Letters (a-z, Latin-1), then ASCII signs but no apostrophe: two words of the vocabulary's rules.
-_TAIL = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)")
+# Letters of ASCII and Latin-1: each is one composed character with one lower-case form.
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+# ASCII signs but the apostrophe, which the rules join to some letters.
+_PLAIN = re.compile(rb"(" + _LETTERS + rb")([!-&(-/:-@\[-`{-~]*)")
 
 
-class WordIds(dict):
-    """Word in UTF-8 -> its ids as little-endian 32-bit integers."""
+def _visible() -> list[str]:
+    """The character that stands for each byte inside a byte-level vocabulary: printable Latin-1
+    for itself, the others in order from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+class WordIds:
+    """Ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self._visible = _visible()
 
-    def _encode(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+    def _encode(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        low = word.lower()  # A-Z only: the vocabulary is lower case
-        if low != word and word.isascii():  # others may compose in another way
-            ids = self[low]
-        elif (parts := _TAIL.fullmatch(word)) and b"<|" not in word:
-            ids = self[parts[1]] + self[parts[2]]
+    def _unit(self, unit: str) -> bytes:
+        shown = "".join([self._visible[b] for b in unit.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
+
+    def _remembered(self, unit: str) -> bytes:
+        key = unit.encode()
+        ids = self.known.get(key)
+        if ids is None:
+            ids = self.known[key] = self._unit(unit)
+        return ids
+
+    def _new(self, word: bytes) -> bytes:
+        if parts := _PLAIN.fullmatch(word):
+            ids = self._remembered(parts[1].decode().lower()) + (self._remembered(parts[2].decode()) if parts[2] else b"")
         else:
             ids = self._encode(word)
-        self[word] = ids
+        self.known[word] = ids
         return ids
 
     def of(self, text: bytes) -> bytes:
         """Ids of a whole text."""
-        if len(self) > REMEMBERED:
-            self.clear()
         if b"<|" in text:  # special tokens are found before anything else is split
             return self._encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        words = text.split()
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            ids = [self.known.get(w) or self._new(w) if i is None else i for w, i in zip(words, ids)]
+        return b"".join(ids)
 
 
 _OPEN: dict[str, WordIds] = {}
