@@ -127,21 +127,19 @@ def in_id_ranges(docs: DataFrame, n_ranges: int) -> tuple[DataFrame, DataFrame]:
     """
     probs = [i / n_ranges for i in range(1, n_ranges)]
     bounds = sorted(set(docs.approxQuantile("doc_id", probs, 0.25 / n_ranges))) if probs else []
-    literal = F.array(*[F.lit(int(b)) for b in bounds])
-    where = F.coalesce(_place(literal, len(bounds)), F.lit(0)) if bounds else F.lit(0)
+    where = _place([int(b) for b in bounds], 0, len(bounds))
     placed = docs.withColumn("range_no", where.cast("int"))
     ends = placed.groupBy("range_no").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     return placed, ends
 
 
-def _place(bounds, n: int):
-    """Number of sorted bounds below doc_id, found by halving steps of column expressions."""
-    at, step = F.lit(0), 1 << (n.bit_length() - 1)
-    while step:
-        probe = at + F.lit(step)
-        at = F.when((probe <= n) & (F.get(bounds, probe - 1) < F.col("doc_id")), probe).otherwise(at)
-        step >>= 1
-    return at
+def _place(bounds: list[int], first: int, last: int) -> F.Column:
+    """How many of the sorted bounds are below doc_id: a balanced tree of comparisons."""
+    if first == last:
+        return F.lit(first)
+    middle = (first + last) // 2
+    above = F.col("doc_id") > bounds[middle]
+    return F.when(above, _place(bounds, middle + 1, last)).otherwise(_place(bounds, first, middle))
 
 
 def _compare(k: int, w: int):
