@@ -86,8 +86,8 @@ def test_classify_detailed(spark, scorer, window, overlap):
 
 def test_in_place_mean_equals_grouped_mean(spark):
     _, df = entries(spark)
-    grouped = osc.mean_logits(osc.score_windows(token_windows(df, 30, 10), fx.COLUMN_SCORER), 3)
-    in_place = osc.entry_logits(df, fx.COLUMN_SCORER, 3, 30, 10)
+    grouped = osc.mean_logits(osc.score_windows(token_windows(df, 30, 10), fx.COLUMN_SCORER))
+    in_place = osc.entry_logits(df, fx.COLUMN_SCORER, 30, 10)
     a = {r.entry_id: (r.logits, r.n_windows) for r in grouped.collect()}
     b = {r.entry_id: (r.logits, r.n_windows) for r in in_place.collect()}
     assert a.keys() == b.keys()
@@ -98,14 +98,14 @@ def test_in_place_mean_equals_grouped_mean(spark):
 def test_model_input_is_framed(spark):
     df = spark.createDataFrame([(1, [5, 6])], "entry_id bigint, ids array<int>")
     scorer = osc.ColumnScorer(lambda ids: score_array([F.size(ids), ids[0], F.element_at(ids, -1)]), (0, 2))
-    assert osc.entry_logits(df, scorer, 3).first().logits == [4.0, 0.0, 2.0]
+    assert osc.entry_logits(df, scorer).first().logits == [4.0, 0.0, 2.0]
     assert osc.score_windows(token_windows(df), scorer).first().logits == [4.0, 0.0, 2.0]
 
 
 def test_classes_without_a_label_are_neutral(spark):
     df = spark.createDataFrame([(1, [2, 5, 8]), (2, [3])], "entry_id bigint, ids array<int>")
     for scorer in (fx.COLUMN_SCORER, fx.batch_scorer()):
-        rows = osc.classify(df, scorer, {0: "negative"}, n_classes=3).collect()
+        rows = osc.classify(df, scorer, {0: "negative"}).collect()
         assert {r.entry_id: r.polarity for r in rows} == {1: "NEUTRAL", 2: "NEGATIVE"}
 
 
@@ -116,3 +116,46 @@ def test_batch_scorer_may_be_spread(spark):
     one = sorted(map(tuple, osc.score_windows(windows, spread).select("entry_id", "window_no").collect()))
     two = sorted(map(tuple, windows.select("entry_id", "window_no").collect()))
     assert one == two
+
+
+def test_winner_beyond_the_labels_is_neutral(spark):
+    df = spark.createDataFrame([(1, [1, 1])], "entry_id bigint, ids array<int>")
+    fixed = osc.ColumnScorer(lambda ids: score_array([F.lit(x) for x in (1, 2, 3, 9)]))
+
+    def score(frames):
+        for frame in frames:
+            yield frame[["entry_id", "window_no"]].assign(logits=[[1.0, 2.0, 3.0, 9.0]] * len(frame))
+
+    for scorer in (fixed, osc.BatchScorer(score)):
+        assert osc.classify(df, scorer, {0: "a", 1: "b", 2: "c"}).first().polarity == "NEUTRAL"
+        row = osc.classify_detailed(df, scorer, {0: "a", 1: "b", 2: "c"}).first()
+        assert row.polarity == "NEUTRAL" and row.logits == [1.0, 2.0, 3.0, 9.0]
+        assert len(row.probabilities) == 4 and row.confidence > 0.99
+
+
+@pytest.mark.parametrize("fault", ["lost window", "lost entry", "short", "null score", "null vector"])
+def test_faulty_scores_raise(spark, fault):
+    df = spark.createDataFrame([(1, list(range(900))), (2, [5])], "entry_id bigint, ids array<int>")
+
+    def score(frames):
+        for frame in frames:
+            out = frame[["entry_id", "window_no"]].assign(logits=[[1.0, 2.0] for _ in range(len(frame))])
+            first = (out.entry_id == 1) & (out.window_no == out.window_no.min())
+            if fault == "lost window":
+                out = out[~first]
+            elif fault == "lost entry":
+                out = out[out.entry_id == 2]
+            else:
+                bad = {"short": [1.0], "null score": [1.0, None], "null vector": None}[fault]
+                out["logits"] = [bad if f else x for f, x in zip(first, out.logits)]
+            yield out
+
+    with pytest.raises(Exception, match="score vectors of an entry"):
+        osc.classify(df, osc.BatchScorer(score), {0: "a", 1: "b"}).collect()
+
+
+def test_uneven_column_scores_raise(spark):
+    df = spark.createDataFrame([(1, list(range(900)))], "entry_id bigint, ids array<int>")
+    uneven = osc.ColumnScorer(lambda ids: F.when(ids[0] > 0, score_array([F.lit(1)])).otherwise(score_array([F.lit(1), F.lit(2)])))
+    with pytest.raises(Exception, match="score vectors of an entry"):
+        osc.classify(df, uneven, {0: "a", 1: "b"}).collect()

@@ -7,8 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from thoughtlog.functions.binding import bind
 from thoughtlog.schemas import DEFAULT_LABEL
 
+BAD_SCORES = "score vectors of an entry must have one length and no missing score or window"
+
 # Numeric value of each polarity label.
 POLARITY_VALUES = {"POSITIVE": 1, "NEUTRAL": 0, "NEGATIVE": -1}
 
@@ -51,13 +54,29 @@ def polarity_value(label: Column) -> Column:
     return value
 
 
-def mean_vector(vectors: Column, size: int) -> Column:
-    """Element-wise unweighted mean of an array of score vectors of a known size."""
-    zero = F.array(*[F.lit(0.0)] * size)
-    total = F.aggregate(
-        vectors, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)
-    )
-    return F.transform(total, lambda x: x / F.size(vectors))
+def mean_vector(vectors: Column) -> Column:
+    """Element-wise unweighted mean of an array of score vectors, as long as they are.
+
+    Raises if there is none, if their lengths differ, or if a score is missing.
+    """
+
+    def mean(known: Column) -> Column:
+        first = known[0]
+        total = F.aggregate(
+            F.slice(known, F.lit(2), F.size(known)),
+            first,
+            lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b),
+        )
+        sound = F.forall(
+            known,
+            lambda v: (F.size(v) == F.size(first)) & ~F.exists(v, lambda x: x.isNull()),
+        )
+        return F.when(
+            F.coalesce(sound, F.lit(False)) & (F.size(known) > 0) & (F.size(first) > 0),
+            F.transform(total, lambda x: x / F.size(known)),
+        ).otherwise(F.raise_error(F.lit(BAD_SCORES)).cast("array<double>"))
+
+    return bind(vectors, mean)
 
 
 def score_array(parts: Sequence[Column]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thoughtlog.functions.binding import bind
-from thoughtlog.functions.scores import argmax, confidence, label_of, mean_vector, softmax
+from thoughtlog.functions.scores import BAD_SCORES, argmax, confidence, label_of, mean_vector, softmax
 from thoughtlog.functions.windows import (
     OVERLAP,
     WINDOW,
@@ -67,21 +67,47 @@ def score_windows(windows: DataFrame, scorer: Scorer) -> DataFrame:
     return framed.mapInPandas(scorer.score, WINDOW_SCORE)
 
 
-def mean_logits(scores: DataFrame, n_classes: int) -> DataFrame:
+def mean_logits(scores: DataFrame, planned: DataFrame | None = None) -> DataFrame:
     """``entry_id, logits, n_windows``: unweighted mean over the windows of an entry.
 
-    One partial average per class, so only one row per entry and task is shuffled.
+    The vectors may have any length. Averages per entry and class are combined before the
+    shuffle. ``planned`` has ``entry_id, n_windows`` of every entry; with it, an entry that
+    misses a window raises. Unequal lengths and null scores always raise.
     """
-    means = [F.avg(F.col("logits")[i]) for i in range(n_classes)]
-    return scores.groupBy("entry_id").agg(
-        F.array(*means).alias("logits"), F.count("*").cast("int").alias("n_windows")
+    each = scores.select("entry_id", F.posexplode_outer("logits").alias("place", "score"))
+    means = each.groupBy("entry_id", F.coalesce("place", F.lit(-1)).alias("place")).agg(
+        F.avg("score").alias("mean"), F.count("*").alias("n"), F.count("score").alias("scored")
+    )
+    if planned is not None:
+        wanted = F.col("n_windows").cast("long")
+        means = means.unionByName(
+            planned.select(
+                "entry_id",
+                F.lit(-2).alias("place"),
+                F.lit(None).cast("double").alias("mean"),
+                wanted.alias("n"),
+                wanted.alias("scored"),
+            )
+        )
+    whole = means.groupBy("entry_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "mean")))).alias("m"),
+        F.min(F.least("n", "scored")).alias("least"),
+        F.max("n").alias("most"),
+    )
+    sound = (F.col("least") == F.col("most")) & (F.size("m") > 0)
+    logits = F.transform("m", lambda x: x["mean"])
+    return whole.select(
+        "entry_id",
+        F.when(sound, logits)
+        .otherwise(F.raise_error(F.lit(BAD_SCORES)).cast("array<double>"))
+        .alias("logits"),
+        F.col("most").cast("int").alias("n_windows"),
     )
 
 
 def mean_logits_column(
     ids: Column,
     scorer: ColumnScorer,
-    n_classes: int,
     window: int = WINDOW,
     overlap: int = OVERLAP,
 ) -> Column:
@@ -90,12 +116,7 @@ def mean_logits_column(
         window_bounds(F.size(ids), window, overlap),
         lambda bounds: scorer.score(_model_input(window_slice(ids, bounds), scorer)),
     )
-    return mean_vector(vectors, n_classes)
-
-
-def _class_count(labels: Mapping[int, str], n_classes: int | None) -> int:
-    """Length of the score vectors: as given, or up to the last labelled class."""
-    return max(labels) + 1 if n_classes is None else n_classes
+    return mean_vector(vectors)
 
 
 def polarity_column(
@@ -104,17 +125,12 @@ def polarity_column(
     labels: Mapping[int, str],
     window: int = WINDOW,
     overlap: int = OVERLAP,
-    n_classes: int | None = None,
 ) -> Column:
-    """Polarity of one entry as an expression of its ids; never null.
-
-    ``n_classes`` is needed if the last classes of the scorer have no label.
-    """
-    size = _class_count(labels, n_classes)
+    """Polarity of one entry as an expression of its ids; never null."""
     winner = bind(
         F.coalesce(ids, F.array().cast("array<int>")),
         lambda known: bind(
-            mean_logits_column(known, scorer, size, window, overlap), argmax
+            mean_logits_column(known, scorer, window, overlap), argmax
         ),
     )
     return label_of(winner, labels)
@@ -123,17 +139,18 @@ def polarity_column(
 def entry_logits(
     entries: DataFrame,
     scorer: Scorer,
-    n_classes: int,
     window: int = WINDOW,
     overlap: int = OVERLAP,
 ) -> DataFrame:
     """``entry_id, logits, n_windows`` from ``entry_id, ids``."""
     if isinstance(scorer, BatchScorer):
         scores = score_windows(token_windows(entries, window, overlap), scorer)
-        return mean_logits(scores, n_classes)
+        size = F.size(F.coalesce(F.col("ids"), F.array().cast("array<int>")))
+        n_windows = window_count(size, window, overlap).alias("n_windows")
+        return mean_logits(scores, entries.select("entry_id", n_windows))
     ids = F.coalesce(F.col("ids"), F.array().cast("array<int>"))
     logits = bind(
-        ids, lambda known: mean_logits_column(known, scorer, n_classes, window, overlap)
+        ids, lambda known: mean_logits_column(known, scorer, window, overlap)
     )
     return entries.select(
         "entry_id",
@@ -148,14 +165,12 @@ def classify(
     labels: Mapping[int, str],
     window: int = WINDOW,
     overlap: int = OVERLAP,
-    n_classes: int | None = None,
 ) -> DataFrame:
     """``entry_id, polarity`` from ``entry_id, ids``."""
     if isinstance(scorer, ColumnScorer):
-        label = polarity_column(F.col("ids"), scorer, labels, window, overlap, n_classes)
+        label = polarity_column(F.col("ids"), scorer, labels, window, overlap)
         return entries.select("entry_id", label.alias("polarity"))
-    size = _class_count(labels, n_classes)
-    scored = entry_logits(entries, scorer, size, window, overlap)
+    scored = entry_logits(entries, scorer, window, overlap)
     return scored.select("entry_id", label_of(argmax(F.col("logits")), labels).alias("polarity"))
 
 
@@ -165,11 +180,9 @@ def classify_detailed(
     labels: Mapping[int, str],
     window: int = WINDOW,
     overlap: int = OVERLAP,
-    n_classes: int | None = None,
 ) -> DataFrame:
     """As :func:`classify`, with mean scores, probabilities, windows and confidence."""
-    size = _class_count(labels, n_classes)
-    scored = entry_logits(entries, scorer, size, window, overlap)
+    scored = entry_logits(entries, scorer, window, overlap)
     logits = F.col("logits")
     return scored.select(
         "entry_id",

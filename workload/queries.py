@@ -98,7 +98,7 @@ def with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return osc.entry_logits(with_ids(spark, sf_dir), fx.COLUMN_SCORER, len(fx.LABELS))
+    return osc.entry_logits(with_ids(spark, sf_dir), fx.COLUMN_SCORER)
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -481,7 +481,7 @@ def score_windows_python(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def mean_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = osc.score_windows(token_windows(with_ids(spark, sf_dir)), fx.COLUMN_SCORER)
-    return osc.mean_logits(scores, len(fx.LABELS))
+    return osc.mean_logits(scores)
 
 
 @_query
