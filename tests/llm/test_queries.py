@@ -1,0 +1,52 @@
+"""The registered queries beside their SQL, and the pipeline stage by stage."""
+
+from __future__ import annotations
+
+import pytest
+
+import corpus_pipeline
+from thoughtlog.llm.oracles import ORACLES
+from thoughtlog.llm.queries import QUERIES
+from workload.compare import _rows, database
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    df = QUERIES[name](spark, SF_DIR)
+    con = database(SF_DIR)
+    con.execute(ORACLES[name])
+    names = [d[0] for d in con.description]
+    assert sorted(names) == sorted(df.columns)
+    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(names, con.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_has_a_row_for_each_document(spark, name):
+    df = QUERIES[name](spark, SF_DIR)
+    ids = {r.doc_id for r in df.select("doc_id").collect()}
+    assert ids == {r.doc_id for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").collect()}
+
+
+def test_languages_of_held_out_documents(spark):
+    df = QUERIES["op1_language_id"](spark, "/root/testdata/sf0.01")
+    lang = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    right = df.where("held_out").join(lang, "doc_id").selectExpr("avg(CAST(lang = lang_pred AS INT)) AS a").first().a
+    assert right > 0.97
+
+
+def test_stages_keep_columns_and_odd_rows(spark, docs, tmp_path):
+    kept = docs.withColumn("more", docs.score + 1)
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, kept, SF_DIR)
+        if number < 4:
+            assert out.columns == kept.columns and out.schema.simpleString() == kept.schema.simpleString()
+        out.write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+    assert kept.count() > 0
+
+
+def test_stages_take_empty_tables(spark, empty):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF_DIR).count() == 0
