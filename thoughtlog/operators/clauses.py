@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thoughtlog.functions.binding import bind
 from thoughtlog.functions.text import capitalize, min_words, strip
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
-from thoughtlog.sources.scratch import materialize, materialize_counted
 
 # Parts of speech that count as verbs, and word limits per kind of clause.
 VERBS = ("VERB", "AUX")
 THOUGHT_WORDS = 2
 REACTION_WORDS = 1
 
+#: Findings of one sentence.
+FINDINGS = "array<struct<kind:string,ord:bigint,value:string>>"
+
 _SENTENCE = ["entry_id", "sent_no"]
 
 
@@ -51,109 +56,176 @@ def clause_seeds(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     )
 
 
-def stored_sentences(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Stored table of the wanted sentences, one row each, with ``words``: an array of
-    ``(tok_no, head, piece)`` in text order, where a piece is a word with its own space.
+def sentence_rows(tokens: DataFrame, **tags: Column) -> DataFrame:
+    """One row per sentence with ``words``: an array of ``(tok_no, head, piece, ...)`` in text
+    order, where a piece is a word with its own space and ``tags`` are further fields.
 
-    ``wanted`` has one row per sentence; its further columns are kept. The whole token table
-    is joined, and at most shuffled, once.
+    The token table is read and shuffled once; a sentence is the largest unit put together.
     """
-    flags = [c for c in wanted.columns if c not in _SENTENCE]
     piece = F.concat(F.col("text"), F.coalesce(F.col("ws"), F.lit("")))
-    words = tokens.select(*_SENTENCE, F.struct("tok_no", "head", piece.alias("piece")).alias("word"))
-    rows = words.join(wanted, _SENTENCE).groupBy(*_SENTENCE, *flags)
-    return materialize(
-        rows.agg(F.array_sort(F.collect_list("word")).alias("words")), "sentences"
-    )
+    fields = [value.alias(name) for name, value in tags.items()]
+    word = F.struct("tok_no", "head", piece.alias("piece"), *fields)
+    rows = tokens.select(*_SENTENCE, word.alias("word")).groupBy(*_SENTENCE)
+    return rows.agg(F.array_sort(F.collect_list("word")).alias("words"))
 
 
 def sentence_text(words: Column) -> Column:
-    """Text of a stored sentence."""
+    """Text of a sentence row."""
     return strip(F.array_join(F.transform(words, lambda word: word["piece"]), ""))
 
 
-def _seed_sentences(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
-    return stored_sentences(tokens, seeds.select(*_SENTENCE).distinct())
+def parents(words: Column) -> Column:
+    """Array index of the head of each word, -1 where it is not in the sentence.
 
+    Token numbers mostly have no gaps, so the head is looked for at its distance first.
+    """
 
-def _members(sentences: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Rounds of pointer doubling over ``(tok_no, ref)`` rows of two sorts: ``ref`` is the
-    ancestor ``reach`` levels up, or a seed at fewer levels up."""
-    words = sentences.select(*_SENTENCE, F.size("words").alias("n_tokens"), F.inline("words"))
-    up = words.where((F.col("head") != 0) & (F.col("head") != F.col("tok_no"))).select(
-        *_SENTENCE, "tok_no", F.col("head").alias("ref"), "n_tokens"
-    )
-    found = seeds.select(*_SENTENCE, F.col("seed").alias("tok_no"), F.col("seed").alias("ref"))
-    reach, climbing = 1, 1
-    while climbing:
-        targets = found.withColumn("is_seed", F.lit(True)).unionByName(
-            up.drop("n_tokens").withColumn("is_seed", F.lit(False))
-        )
-        # No path is longer than its sentence, so pointers caught in a cycle end here.
-        steps = up.where(F.col("n_tokens") > reach).withColumnRenamed("ref", "via")
-        further = steps.join(
-            targets.withColumnRenamed("tok_no", "via"), [*_SENTENCE, "via"]
-        ).drop("via")
-        rows, climbing = materialize_counted(further, "climb", ~F.col("is_seed"))
-        found = found.unionByName(rows.where("is_seed").drop("is_seed", "n_tokens"))
-        up = rows.where(~F.col("is_seed")).drop("is_seed")
-        reach *= 2
-    return found.withColumnRenamed("ref", "seed")
+    def place(head: Column) -> Column:
+        guess = head - words[0]["tok_no"]
+        at = F.array_position(F.transform(words, lambda w: w["tok_no"]), head) - 1
+        hit = F.get(words, guess)["tok_no"] == head
+        return F.when((guess >= 0) & hit, guess).otherwise(F.coalesce(at, F.lit(-1))).cast("int")
 
+    return F.transform(words, lambda word: place(word["head"]))
 
-def subtree_members(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``entry_id, sent_no, seed, tok_no``: every token at or below each seed.
-
-    Ancestor pointers are doubled: after k rounds every token knows its ancestor 2^k levels
-    up and the seeds less than 2^k levels up. The rounds grow with the logarithm of the
-    depth, tokens whose pointer has left the tree drop out, and only sentences with a seed
-    take part. The new rows of a round are written to the shared folder once, which cuts
-    the lineage. A cycle in bad input ends with the length of its sentence; its tokens may
-    then be listed more than once. ``seeds`` is read several times and should be a stored
-    table.
+
+def reached_seeds(words: Column, is_seed: Column) -> Column:
+    """For each word the array indexes of the seeds at or above it, each once.
+
+    Pointers are doubled inside the row: after k rounds a word knows its ancestor 2^k levels up
+    and all seeds at fewer levels. The rounds grow with the logarithm of the sentence, so cycles
+    in bad input end too.
     """
-    return _members(_seed_sentences(tokens, seeds), seeds)
 
+    def climb(up: Column) -> Column:
+        none = F.array().cast("array<int>")
+        first = F.transform(is_seed, lambda seed, i: F.when(seed, F.array(i)).otherwise(none))
+        rounds = F.ceil(F.log2(F.size(words).cast("double"))).cast("int") + 1
 
-def _texts(sentences: DataFrame, seeds: DataFrame) -> DataFrame:
-    members = _members(sentences, seeds)
-    # A set, as a cycle in bad input may list a token twice.
-    pairs = F.array_sort(F.collect_set(F.struct("tok_no", "piece")))
-    text = F.array_join(F.transform(pairs, lambda pair: pair["piece"]), "")
-    return (
-        sentences.select(*_SENTENCE, F.inline("words"))
-        .join(members, [*_SENTENCE, "tok_no"])
-        .groupBy(*_SENTENCE, "seed")
-        .agg(strip(text).alias("subtree"))
+        def double(state: Column, _: Column) -> Column:
+            above, found = state["up"], state["found"]
+            seeds = F.transform(
+                above,
+                lambda u, i: F.when(u < 0, found[i]).otherwise(F.array_union(found[i], found[u])),
+            )
+            further = F.transform(above, lambda u: F.when(u < 0, F.lit(-1)).otherwise(above[u]))
+            return F.struct(further.alias("up"), seeds.alias("found"))
+
+        start = F.struct(up.alias("up"), first.alias("found"))
+        steps = F.sequence(F.lit(1), rounds)
+        return F.aggregate(steps, start, double, lambda state: state["found"])
+
+    is_root = lambda i: words[i]["head"] == words[i]["tok_no"]
+    up = F.transform(parents(words), lambda u, i: F.when(is_root(i), F.lit(-1)).otherwise(u))
+    return bind(up, climb)
+
+
+def _below(words: Column, found: Column, seed: Column) -> Column:
+    """Words at or below the seed with this array index, in text order."""
+    return F.filter(words, lambda _, i: F.array_contains(found[i], seed))
+
+
+def subtree_of(words: Column, found: Column, seed: Column) -> Column:
+    """Text of the words at or below a seed, stripped."""
+    return sentence_text(_below(words, found, seed))
+
+
+def _seeded(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Sentence rows that hold given seeds, with ``found`` and the ``seeds``' array indexes."""
+    wanted = seeds.groupBy(*_SENTENCE).agg(F.collect_set("seed").alias("seed_toks"))
+    rows = sentence_rows(tokens).join(wanted, _SENTENCE)
+    flags = F.transform("words", lambda w: F.array_contains("seed_toks", w["tok_no"]))
+    rows = rows.withColumn("found", bind(flags, lambda known: reached_seeds(F.col("words"), known)))
+    places = F.filter(
+        F.transform("words", lambda w, i: F.when(F.array_contains("seed_toks", w["tok_no"]), i)),
+        lambda i: i.isNotNull(),
+    )
+    return rows.withColumn("seed_places", places)
+
+
+def subtree_members(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``entry_id, sent_no, seed, tok_no``: every token at or below each seed, once.
+
+    Trees are climbed inside the sentence row (:func:`reached_seeds`); ``seeds`` may be any
+    table of ``entry_id, sent_no, seed``.
+    """
+    rows = _seeded(tokens, seeds).select(*_SENTENCE, "words", F.posexplode("found").alias("i", "up"))
+    pairs = rows.select(*_SENTENCE, "words", "i", F.explode("up").alias("s"))
+    return pairs.select(
+        *_SENTENCE,
+        F.col("words")[F.col("s")]["tok_no"].alias("seed"),
+        F.col("words")[F.col("i")]["tok_no"].alias("tok_no"),
     )
 
 
 def subtree_text(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
     """``entry_id, sent_no, seed, subtree``: own words and spaces of the tokens at or below
-    each seed, in text order, stripped. ``seeds`` should be a stored table."""
-    return _texts(_seed_sentences(tokens, seeds), seeds)
+    each seed, in text order, stripped."""
+    words, found = F.col("words"), F.col("found")
+    texts = F.transform(
+        "seed_places",
+        lambda s: F.struct(words[s]["tok_no"].alias("seed"), subtree_of(words, found, s).alias("subtree")),
+    )
+    return _seeded(tokens, seeds).select(*_SENTENCE, F.inline(texts))
 
 
-def _clause_order() -> Column:
-    """Text order of verbs, then of the complements of one verb."""
-    return F.shiftleft(F.col("verb_tok").cast("long"), 32) + F.col("seed")
+def clause_tags(lexicon: Lexicon) -> dict[str, Column]:
+    """Fields of :func:`sentence_rows` that :func:`clause_findings_of` needs."""
+    lemma = F.lower("lemma")
+    kind = F.when(lemma.isin(sorted(lexicon.cognitive_verbs)), "thought").when(
+        lemma.isin(sorted(lexicon.action_verbs)), "reaction"
+    )
+    return {
+        "text": F.col("text"),
+        "verb": F.when(F.col("pos").isin(*VERBS), kind),
+        "for_thought": F.coalesce(F.col("dep").isin(sorted(lexicon.thought_deps)), F.lit(False)),
+        "for_reaction": F.coalesce(F.col("dep").isin(sorted(lexicon.reaction_deps)), F.lit(False)),
+    }
 
 
-def clause_findings(sentences: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``entry_id, kind, ord, value`` from stored sentences that hold the stored seeds."""
-    texts = _texts(sentences, seeds).join(seeds, [*_SENTENCE, "seed"])
-    thought = F.col("kind") == "thought"
-    kept = texts.where(
-        F.when(thought, min_words(F.col("subtree"), THOUGHT_WORDS)).otherwise(
-            min_words(F.col("subtree"), REACTION_WORDS)
+def clause_findings_of(words: Column, kinds: Sequence[str] = ("thought", "reaction")) -> Column:
+    """Array of ``(kind, ord, value)``: the clauses of one tagged sentence row."""
+
+    def kind_of(up: Column, i: Column) -> Column:
+        verb = F.when(up[i] >= 0, words[up[i]]["verb"])
+        fits = F.when(verb == "thought", words[i]["for_thought"]).when(
+            verb == "reaction", words[i]["for_reaction"]
         )
-    )
-    value = F.when(thought, F.col("subtree")).otherwise(
-        F.concat_ws(" ", "verb_text", "subtree")
-    )
-    return kept.select(
-        "entry_id", "kind", _clause_order().alias("ord"), capitalize(value).alias("value")
-    )
+        return F.when(fits & verb.isin(*kinds), verb)
+
+    def of_sentence(up: Column) -> Column:
+        return bind(F.transform(words, lambda _, i: kind_of(up, i)), lambda kind: texts(up, kind))
+
+    def texts(up: Column, kind: Column) -> Column:
+        seeds = F.transform(kind, lambda k: k.isNotNull())
+        places = F.filter(F.transform(kind, lambda k, i: F.when(k.isNotNull(), i)), lambda i: i.isNotNull())
+
+        def clause(found: Column, s: Column) -> Column:
+            verb = words[up[s]]
+            order = F.shiftleft(verb["tok_no"].cast("long"), 32) + words[s]["tok_no"]
+
+            def told(subtree: Column) -> Column:
+                thought = kind[s] == "thought"
+                long_enough = F.when(thought, min_words(subtree, THOUGHT_WORDS)).otherwise(
+                    min_words(subtree, REACTION_WORDS)
+                )
+                value = F.when(thought, subtree).otherwise(F.concat_ws(" ", verb["text"], subtree))
+                row = F.struct(
+                    kind[s].alias("kind"), order.alias("ord"), capitalize(value).alias("value")
+                )
+                return F.when(long_enough, row)
+
+            return bind(subtree_of(words, found, s), told)
+
+        rows = bind(
+            reached_seeds(words, seeds),
+            lambda found: F.transform(places, lambda s: clause(found, s)),
+        )
+        known = F.filter(rows, lambda row: row.isNotNull())
+        return F.when(F.exists(seeds, lambda x: x), known).otherwise(F.array().cast(FINDINGS))
+
+    verbs = F.exists(words, lambda w: w["verb"].isNotNull())
+    return F.when(verbs, bind(parents(words), of_sentence)).otherwise(F.array().cast(FINDINGS))
 
 
 def clauses(
@@ -161,11 +233,9 @@ def clauses(
 ) -> DataFrame:
     """``entry_id, kind, ord, value``: thoughts and reactions, long enough and capitalised.
 
-    Both kinds share one pass over the trees, unless only one ``kind`` is wanted. A reaction
-    starts with its verb, which does not count as a word of it.
+    Seeds and subtrees are found inside the sentence row. A reaction starts with its verb,
+    which does not count as a word of it.
     """
-    seeds = clause_seeds(tokens, lexicon)
-    if kind is not None:
-        seeds = seeds.where(F.col("kind") == kind)
-    seeds = materialize(seeds, "seeds")
-    return clause_findings(_seed_sentences(tokens, seeds), seeds)
+    kinds = ("thought", "reaction") if kind is None else (kind,)
+    rows = sentence_rows(tokens, **clause_tags(lexicon))
+    return rows.select("entry_id", F.inline(clause_findings_of(F.col("words"), kinds)))

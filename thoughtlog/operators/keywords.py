@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thoughtlog.operators.membership import drop_members
+from thoughtlog.operators.membership import drop_members, member
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
 
 # Parts of speech of content words, and the term count of a word cloud.
@@ -14,13 +14,22 @@ MIN_LENGTH = 3
 TOP_TERMS = 70
 
 
-def keyword_tokens(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
-    """``entry_id, tok_no, keyword`` of content words that are neither short nor stop words."""
-    content = tokens.where(
+def _is_content() -> Column:
+    return (
         F.col("pos").isin(*CONTENT_POS)
         & ~F.col("is_stop")
         & (F.length("lemma") >= MIN_LENGTH)
-    ).select("entry_id", "tok_no", F.lower("lemma").alias("keyword"))
+    )
+
+
+def is_keyword(lexicon: Lexicon = PORTUGUESE) -> Column:
+    """Whether a token is a content word that is neither short nor a stop word."""
+    return _is_content() & ~member(F.lower("lemma"), lexicon.stopwords)
+
+
+def keyword_tokens(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
+    """``entry_id, tok_no, keyword`` of content words that are neither short nor stop words."""
+    content = tokens.where(_is_content()).select("entry_id", "tok_no", F.lower("lemma").alias("keyword"))
     return drop_members(content, F.col("keyword"), lexicon.stopwords)
 
 

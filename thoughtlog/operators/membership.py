@@ -14,6 +14,11 @@ from thoughtlog.sources.sizes import literal_table
 LITERAL_WORDS = 2_000
 
 
+def member(key: Column, words: Collection[str]) -> Column:
+    """Whether the key is in the list, never null; a long list is a literal array's hash set."""
+    return F.coalesce(key.isin(sorted(words)), F.lit(False)) if words else F.lit(False)
+
+
 def _joined(df: DataFrame, key: Column, words: Collection[str], how: str) -> DataFrame:
     rows = [(word,) for word in sorted(words)]
     table = literal_table(df.sparkSession, rows, _word=pa.string())

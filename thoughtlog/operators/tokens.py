@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thoughtlog.functions.text import strip
-from thoughtlog.operators.membership import keep_members
+from thoughtlog.operators.membership import keep_members, member
 from thoughtlog.schemas import TOKEN
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
 from thoughtlog.sources.sizes import broadcast_if_small
@@ -131,11 +131,9 @@ def context_sentences(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataF
 
 def situation_sentences(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     """``entry_id, sent_no`` of sentences with a context noun, a person or a place."""
-    nouns = keep_members(tokens, F.lower("lemma"), lexicon.context_nouns)
-    named = tokens.where(F.col("ent_label").isin(*PERSON_PLACE))
-    return (
-        nouns.select("entry_id", "sent_no").union(named.select("entry_id", "sent_no")).distinct()
-    )
+    noun = member(F.lower("lemma"), lexicon.context_nouns)
+    named = F.col("ent_label").isin(*PERSON_PLACE)
+    return tokens.where(noun | F.coalesce(named, F.lit(False))).select("entry_id", "sent_no").distinct()
 
 
 def person_place_entities(tokens: DataFrame) -> DataFrame:

@@ -9,25 +9,20 @@ from pyspark.sql import functions as F
 
 from thoughtlog.functions.text import default_when_empty, time_anchor
 from thoughtlog.operators.clauses import (
-    clause_findings,
-    clause_seeds,
+    FINDINGS,
+    clause_findings_of,
+    clause_tags,
+    sentence_rows,
     sentence_text,
-    stored_sentences,
 )
-from thoughtlog.operators.keywords import keyword_tokens
+from thoughtlog.operators.keywords import is_keyword
+from thoughtlog.operators.membership import member
 from thoughtlog.operators.phrases import match_phrases
-from thoughtlog.operators.records import (
-    FIELDS,
-    as_situations,
-    field_text,
-    gather,
-    trigger_findings,
-)
+from thoughtlog.operators.records import FIELDS, field_text, gather
 from thoughtlog.operators.scoring import ColumnScorer, Scorer, classify, polarity_column
-from thoughtlog.operators.tokens import situation_sentences
+from thoughtlog.operators.tokens import PERSON_PLACE
 from thoughtlog.schemas import NO_EMOTION, PROCESSED
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
-from thoughtlog.sources.scratch import materialize
 
 RECORD_FIELDS = (
     "time_anchor",
@@ -39,47 +34,51 @@ RECORD_FIELDS = (
 )
 
 
-def findings(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
+def _tags(lexicon: Lexicon) -> dict[str, Column]:
+    """What a token is to the findings of its sentence."""
+    noun = member(F.lower("lemma"), lexicon.context_nouns)
+    return clause_tags(lexicon) | {
+        "noun": noun,
+        "named": F.coalesce(F.col("ent_label").isin(*PERSON_PLACE), F.lit(False)),
+        "ent_id": F.col("ent_id"),
+        "keyword": F.when(is_keyword(lexicon), F.lower("lemma")),
+    }
+
+
+def _finding(kind: str, order: Column, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), order.cast("long").alias("ord"), value.alias("value"))
+
+
+def _of_sentence(words: Column, keywords: bool) -> Column:
+    """All findings of one tagged sentence row."""
+    empty = F.array().cast(FINDINGS)
+    named = F.filter(words, lambda w: w["named"])
+    entities = F.transform(F.array_distinct(F.transform(named, lambda w: w["ent_id"])), lambda e: F.filter(named, lambda w: w["ent_id"].eqNullSafe(e)))
+    triggers = F.transform(entities, lambda part: _finding("trigger", part[0]["tok_no"], sentence_text(part)))
+    told = F.exists(words, lambda w: w["noun"] | w["named"])
+    situation = F.when(told, F.array(_finding("situation", F.col("sent_no"), sentence_text(words)))).otherwise(empty)
+    parts = [situation, triggers, clause_findings_of(words)]
+    if keywords:
+        known = F.filter(words, lambda w: w["keyword"].isNotNull())
+        parts.append(F.transform(known, lambda w: _finding("keyword", w["tok_no"], w["keyword"])))
+    return F.concat(*parts)
+
+
+def findings(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE, keywords: bool = False) -> DataFrame:
     """``entry_id, kind, ord, value``: everything the records are made of, one row each.
 
-    Situations and clauses need the tokens of some sentences put together. Those sentences
-    are found first, from few tokens, and fetched from the token table in one join for both.
+    Situations, triggers, clauses and, if wanted, keywords come from one grouping of the tagged
+    tokens by sentence; emotions, whose phrases may cross sentences, from a second scan.
     """
-    seeds = materialize(clause_seeds(tokens, lexicon), "seeds")
-    situation = situation_sentences(tokens, lexicon).withColumns(
-        {"is_situation": F.lit(True), "has_seed": F.lit(False)}
-    )
-    seeded = seeds.select(
-        "entry_id", "sent_no", F.lit(False).alias("is_situation"), F.lit(True).alias("has_seed")
-    )
-    wanted = (
-        situation.unionByName(seeded)
-        .groupBy("entry_id", "sent_no")
-        .agg(*[F.bool_or(c).alias(c) for c in ("is_situation", "has_seed")])
-    )
-    sentences = stored_sentences(tokens, wanted)
+    rows = sentence_rows(tokens, **_tags(lexicon))
+    told = rows.select("entry_id", F.inline(_of_sentence(F.col("words"), keywords)))
     emotions = match_phrases(tokens, lexicon).select(
         "entry_id",
         F.lit("emotion").alias("kind"),
         F.col("start_tok").cast("long").alias("ord"),
         F.col("category").alias("value"),
     )
-    return (
-        as_situations(sentences.where("is_situation"), sentence_text(F.col("words")))
-        .unionByName(trigger_findings(tokens))
-        .unionByName(clause_findings(sentences.where("has_seed"), seeds))
-        .unionByName(emotions)
-    )
-
-
-def keyword_findings(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
-    """``entry_id, kind, ord, value`` of content words."""
-    return keyword_tokens(tokens, lexicon).select(
-        "entry_id",
-        F.lit("keyword").alias("kind"),
-        F.col("tok_no").cast("long").alias("ord"),
-        F.col("keyword").alias("value"),
-    )
+    return told.unionByName(emotions)
 
 
 def gather_fields(found: DataFrame) -> DataFrame:
@@ -150,11 +149,11 @@ def enrich(
 ) -> DataFrame:
     """The processed table: entries with record fields, polarity and keywords.
 
-    ``ids`` gives the token ids of an entry from its columns. ``tokens`` is read several
-    times and should be a stored table. Findings of all kinds are shuffled by entry once and
+    ``ids`` gives the token ids of an entry from its columns. ``tokens`` is read twice and
+    should be a stored table. Findings of all kinds are shuffled by entry once and
     meet the entries in one join. An expression scorer labels the entries where they lie.
     """
-    found = findings(tokens, lexicon).unionByName(keyword_findings(tokens, lexicon))
+    found = findings(tokens, lexicon, keywords=True)
     base = entries.select(
         "entry_id",
         "persona",

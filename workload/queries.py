@@ -387,15 +387,13 @@ def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def subtree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored_tokens(spark, sf_dir)
-    seeds = materialize(oc.clause_seeds(rows, fx.LEXICON), "seeds")
-    return oc.subtree_text(rows, seeds)
+    return oc.subtree_text(rows, oc.clause_seeds(rows, fx.LEXICON))
 
 
 @_query
 def subtree_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored_tokens(spark, sf_dir)
-    seeds = materialize(oc.clause_seeds(rows, fx.LEXICON), "seeds")
-    return oc.subtree_members(rows, seeds)
+    return oc.subtree_members(rows, oc.clause_seeds(rows, fx.LEXICON))
 
 
 @_query
