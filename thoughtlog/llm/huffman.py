@@ -66,19 +66,29 @@ class Coder:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Packed bits, and the bit offset of every STEP-th id."""
+        return self.encode_all(ids, np.array([len(ids)]))[0]
+
+    def encode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+        """As :meth:`encode` for texts one after another with so many ids each; every text
+        starts at a whole byte of its own."""
         if not len(ids):
-            return b"", np.zeros(0, np.int64)
+            return [(b"", np.zeros(0, np.int64))] * len(counts)
         sizes, codes = self.lengths[ids], self.codes[ids]
-        ends = np.cumsum(sizes)
-        at = ends - sizes
+        running = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        into = np.concatenate([[0], np.cumsum(counts)])
+        bits = np.diff(running[into])
+        ends = np.cumsum(-(-bits // 8))
+        begins = ends - -(-bits // 8)
+        inside = running[:-1] - np.repeat(running[into[:-1]], counts)
+        at = (inside + np.repeat(8 * begins, counts)).astype(np.uint64)
         word, bit = at >> np.uint64(5), at & np.uint64(31)
         shifted = codes << (np.uint64(64) - sizes - bit)
         new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        out = np.zeros(int(ends[-1] // 32) + 2, np.uint64)
+        out = np.zeros(int(ends[-1]) // 4 + 3, np.uint64)
         out[word[new]] += np.add.reduceat(shifted >> np.uint64(32), new)
         out[word[new] + np.uint64(1)] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), new)
-        data = out.astype(">u4").tobytes()[: -(-int(ends[-1]) // 8)]
-        return data, at[::STEP].astype(np.int64)
+        data = out.astype(">u4").tobytes()
+        return [(data[a:b], inside[i:j:STEP]) for a, b, i, j in zip(begins.tolist(), ends.tolist(), into[:-1].tolist(), into[1:].tolist())]
 
     def decode(self, data: bytes, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Ids of lanes that start at the given bits and hold so many ids each, one lane after

@@ -23,7 +23,7 @@ from thoughtlog.llm.token_ids import opened
 from thoughtlog.llm.winnowing import in_id_ranges
 from thoughtlog.sources.scratch import Scratch
 
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
 _BLOCK = "range_no int, before bigint, doc_ids array<bigint>, n_ids array<bigint>, offsets binary, bits binary"
 _BLOCK_ARROW = pa.schema(
     [("range_no", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("offsets", pa.binary()), ("bits", pa.binary())]
@@ -37,9 +37,12 @@ def _tokens(path: str, end_id: int):
         ids = opened(path)
         for batch in chunks.batched(batches, "text", 4 << 20):
             data = [ids.of(text) + end for text in chunks.encoded(batch.column("text"))]
-            narrow = all(len(d) == 0 or np.frombuffer(d, "<u4").max() < 65536 for d in data)
+            every = np.frombuffer(b"".join(data), "<u4")
+            narrow = bool(every.max(initial=0) < 65536)
             if narrow:
-                data = [np.frombuffer(d, "<u4").astype("<u2").tobytes() for d in data]
+                short = every.astype("<u2").tobytes()
+                ends = np.cumsum([len(d) // 2 for d in data]).tolist()
+                data = [short[a:b] for a, b in zip([0, *ends[:-1]], ends)]
             width = pa.array(np.full(len(data), 2 if narrow else 4), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), width, pa.array(data, pa.binary())], ["doc_id", "width", "ids"])
 
@@ -80,13 +83,12 @@ def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
         for batch in batches:
-            bits, offsets, n_ids = [], [], []
-            for width, data in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist()):
-                ids = _ids(width, data)
-                packed, at = coder.encode(ids)
-                bits.append(packed)
-                offsets.append(at.astype("<u8").tobytes())
-                n_ids.append(len(ids))
+            widths, data = (batch.column(n).to_pylist() for n in ("width", "ids"))
+            n_ids = np.array([len(d) // w for d, w in zip(data, widths)], np.int64)
+            narrow = set(widths) <= {2}
+            ids = _ids(2, b"".join(data)) if narrow else np.concatenate([_ids(w, d).astype("<u4") for d, w in zip(data, widths)])
+            coded = coder.encode_all(ids, n_ids)
+            bits, offsets = [c[0] for c in coded], [c[1].astype("<u8").tobytes() for c in coded]
             columns = [batch.column("doc_id"), pa.array(n_ids, pa.int64()), pa.array(offsets, pa.binary()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "offsets", "bits"])
 
