@@ -1,12 +1,17 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from thoughtlog.schemas import PROCESSED
 from thoughtlog.sources import corpus, scratch
-from thoughtlog.sources.sizes import broadcast_if_small, literal_table
+from thoughtlog.sources.sizes import literal_table
 
 TEXTS = [
     (1, "Persona_A", 'linha um\nlinha "dois", com vírgula'),
@@ -72,16 +77,39 @@ def test_materialize_counted(spark):
     assert n == 3 and stored.count() == 10
 
 
-def test_literal_and_checked_tables(spark):
+def test_literal_tables(spark):
     table = literal_table(spark, [(1, "a"), (2, None)], n=pa.int32(), s=pa.string())
     assert sorted(map(str, table.collect())) == ["Row(n=1, s='a')", "Row(n=2, s=None)"]
     assert literal_table(spark, [], n=pa.int32()).count() == 0
 
-    def hinted(df):
-        return "Broadcast" in spark.range(9).join(df, "id")._jdf.queryExecution().logical().toString() or (
-            "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-        )
 
-    assert hinted(broadcast_if_small(spark.range(10)))
-    assert not hinted(broadcast_if_small(spark.range(10), max_rows=9))
-    assert not hinted(broadcast_if_small(spark.range(10), max_bytes=10))
+def test_stored_tables_are_removed_together(spark):
+    with scratch.scratch(spark) as tables:
+        stored = tables.store(spark.range(5), "test")
+        path = stored.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        assert stored.count() == 5 and Path(path).exists()
+    assert not Path(path).exists()
+
+
+STOCK_SESSION = """
+from pyspark.sql import SparkSession
+from thoughtlog.sources import scratch
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+try:
+    scratch.shared_folder(spark)
+except ValueError as error:
+    assert "spark.checkpoint.dir" in str(error)
+else:
+    raise AssertionError("no folder, but no error")
+assert scratch.materialize(spark.range(3), "t", "{0}/given").count() == 3
+spark.sparkContext.setCheckpointDir("{0}/checkpoints")
+assert scratch.materialize(spark.range(4), "t").count() == 4
+"""
+
+
+def test_a_stock_session_needs_a_folder(tmp_path):
+    (tmp_path / "conf").mkdir()
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": str(Path(__file__).resolve().parents[1])}
+    done = subprocess.run([sys.executable, "-c", STOCK_SESSION.format(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

@@ -7,18 +7,19 @@ import pytest
 from thoughtlog.operators.numbering import assign_ids, day_number, running_number
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
-def test_running_number_with_one_large_group(spark, chunk):
+@pytest.mark.parametrize("ranges", [1, 7, 300])
+def test_running_number_with_one_large_group(spark, ranges):
     rng = random.Random(3)
     ids = rng.sample(range(-500, 5000), 900)
     rows = [(i, "big" if k % 3 else rng.choice("abc")) for k, i in enumerate(ids)]
-    rows += [(6001, None), (6002, None)]
+    rows += [(6001, None), (6002, None), (2**60, "big"), (None, "big"), (None, "a")]
     df = spark.createDataFrame(rows, "entry_id bigint, persona string").repartition(5)
-    got = running_number(df, "day_no", "entry_id", ["persona"], chunk).collect()
+    got = running_number(df, "day_no", "entry_id", ["persona"], ranges).collect()
     want, seen = {}, {}
-    for i, persona in sorted(rows):
+    for i, persona in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         seen[persona] = seen.get(persona, 0) + 1
         want[i] = None if persona is None else seen[persona]
+    want[None] = None
     assert {r.entry_id: r.day_no for r in got} == want and len(got) == len(rows)
 
 

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from thoughtlog.operators import scoring as osc
-from thoughtlog.operators.clauses import clause_seeds
-from thoughtlog.operators.evaluation import persona_pair_counts
+from thoughtlog.operators.clauses import clause_seeds, clauses, subtree_text
+from thoughtlog.operators.evaluation import attach_gold, persona_pair_counts
 from thoughtlog.operators.keywords import keyword_tokens, term_frequency, top_terms
-from thoughtlog.operators.numbering import day_number
+from thoughtlog.operators.numbering import assign_ids, day_number
 from thoughtlog.operators.phrases import match_phrases
 from thoughtlog.operators.tokens import tokenize
+from thoughtlog.plans.enrich import enrich
 from thoughtlog.schemas import PROCESSED
 from thoughtlog.sources import corpus, scratch
 from thoughtlog.sources.gold import gold_table
@@ -100,10 +101,47 @@ def test_top_terms_are_limited_before_the_shuffle(stored):
     assert "ReadSchema: struct<persona:string,keywords:string>" in text
 
 
-def test_day_number_shuffles_by_chunk_and_never_to_one_task(stored):
-    text = plan(day_number(stored.select("entry_id", "persona")))
+def test_numbers_are_given_by_range_and_never_in_one_task(spark):
+    rows = documents(spark, SF_DIR)
+    text = plan(day_number(rows.select("entry_id", "persona")))
     assert "SinglePartition" not in text
-    assert re.search(r"hashpartitioning\(persona#\d+, _chunk", text)
+    assert re.search(r"hashpartitioning\(persona#\d+, _range", text)
+    grid = rows.selectExpr("entry_id AS grid_no", "text")
+    windows = re.findall(r"Window \[row_number.*?\], \[(.*?)\]", plan(assign_ids(grid)))
+    assert windows and all("_range" in w for w in windows)
+
+
+def jobs(spark, build) -> int:
+    """How many jobs run while a DataFrame is built."""
+    spark.sparkContext.setJobGroup("build", "build")
+    build()
+    ids = spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(ids)
+
+
+def test_clauses_run_no_job_while_they_are_planned(spark, tokens):
+    entries = documents(spark, SF_DIR)
+    ids = fx.token_ids(F.col("text"))
+    assert jobs(spark, lambda: clauses(tokens, fx.LEXICON)) == 0
+    assert jobs(spark, lambda: subtree_text(tokens, clause_seeds(tokens, fx.LEXICON))) == 0
+    assert jobs(spark, lambda: enrich(entries, tokens, ids, fx.COLUMN_SCORER, fx.LABELS, fx.LEXICON)) == 0
+
+
+def test_enrich_reads_the_tokens_twice(spark, tokens):
+    ids = fx.token_ids(F.col("text"))
+    text = plan(enrich(documents(spark, SF_DIR), tokens, ids, fx.COLUMN_SCORER, fx.LABELS, fx.LEXICON))
+    assert text.count("plan-tokens") == 2
+
+
+def test_gold_and_lemmas_are_joined_without_a_probe(spark, stored, tmp_path):
+    spark.createDataFrame([(1, "NEUTRAL")], "entry_id bigint, expected string").write.parquet(str(tmp_path / "gold"))
+    gold = spark.read.parquet(str(tmp_path / "gold"))
+    assert jobs(spark, lambda: attach_gold(stored, gold, "entry_id")) == 0
+    assert "BroadcastHashJoin" in plan(attach_gold(stored, gold, "entry_id"))
+    lemmas = gold.selectExpr("expected AS form", "expected AS lemma")
+    entries = documents(spark, SF_DIR)
+    assert jobs(spark, lambda: tokenize(entries, lemmas)) == 0
 
 
 def test_personas_are_counted_before_they_meet_the_gold(spark, stored):

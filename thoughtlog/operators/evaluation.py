@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from thoughtlog.functions.text import matrix_cell_text, translate_label
 from thoughtlog.schemas import CLASSES, OLD_POLARITY_COLUMN
-from thoughtlog.sources.sizes import broadcast_if_small, literal_table
+from thoughtlog.sources.sizes import literal_table
 
 _METRICS = ("precision", "recall", "f1")
 
@@ -29,10 +29,10 @@ def prediction_column(df: DataFrame) -> str:
 def attach_gold(df: DataFrame, gold: DataFrame, key: str = "persona") -> DataFrame:
     """Add ``expected`` by persona or, with ``key='entry_id'``, by entry; null if unknown.
 
-    ``gold`` must have one row per key.
+    ``gold`` must have one row per key. A literal or stored table carries its size, so the
+    optimizer sends a small one to every task and shuffles a large one.
     """
-    table = broadcast_if_small(gold.select(key, "expected"))
-    return df.join(table, key, "left")
+    return df.join(gold.select(key, "expected"), key, "left")
 
 
 def unknown_personas(df: DataFrame, gold: DataFrame) -> DataFrame:
@@ -114,6 +114,23 @@ def confusion_matrix(counts: DataFrame, classes: Sequence[str] | None = None) ->
     )
 
 
+def canonical_matrix(counts: DataFrame, canonical: Sequence[str] = CLASSES) -> DataFrame:
+    """``expected, predicted, n, row_no, col_no`` for every pair of the canonical labels that
+    occur; labels outside the canon are in neither direction."""
+    present = F.array_sort(F.collect_list(F.struct("place", "label")))
+    rows = present_classes(counts, canonical).agg(present.alias("c"))
+    rows = rows.select("c", F.explode("c").alias("row")).select("row", F.explode("c").alias("col"))
+    cells = rows.select(
+        F.col("row.label").alias("expected"),
+        F.col("col.label").alias("predicted"),
+        F.col("row.place").alias("row_no"),
+        F.col("col.place").alias("col_no"),
+    )
+    return cells.join(counts, ["expected", "predicted"], "left").select(
+        "expected", "predicted", F.coalesce("n", F.lit(0)).alias("n"), "row_no", "col_no"
+    )
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     """Quotient as a double, 0 where the divisor is 0."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))

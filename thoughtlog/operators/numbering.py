@@ -7,24 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one group that one window partition may hold at most, as order keys are unique.
-CHUNK = 1 << 16
-
+from thoughtlog.functions.ranges import place_among, quantile_bounds
 
 def running_number(
-    df: DataFrame, name: str, order: str, by: Sequence[str] = (), chunk: int = CHUNK
+    df: DataFrame, name: str, order: str, by: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
     """Number the rows of each group from 1 by a unique integer key.
 
-    Rows are numbered inside chunks of the key range, and the sizes of the earlier chunks of
-    the group are added. A chunk holds at most ``chunk`` rows, so one group may be any share
-    of the table; the running sum sees one row per chunk. Rows with a null group get no
-    number. The rows are shuffled, so number slim rows before wide ones are made.
+    The key is cut at its quantiles into ranges with about equal numbers of rows, one for each
+    shuffle partition unless given, so spread-out keys and large groups both give small pieces.
+    Rows are numbered inside (group, range), and the sizes of the group's earlier ranges are
+    added; the running sum sees one row per range. Rows with a null key get no number and do
+    not count; rows of a null group get none either. The rows are shuffled, so number slim rows before wide
+    ones are made.
     """
-    keys = [*by, "_chunk"]
-    rows = df.withColumn("_chunk", F.expr(f"`{order}` div {chunk}"))
+    if ranges is None:
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = quantile_bounds(df, order, ranges)
+    keys = [*by, "_range"]
+    known = df.where(F.col(order).isNotNull())
+    rows = known.withColumn("_range", place_among(F.col(order), bounds))
     earlier = (
-        Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
         rows.groupBy(*keys)
@@ -33,9 +37,9 @@ def running_number(
     )
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     numbered = rows.withColumn("_inside", inside).join(offsets, keys, "left")
-    return numbered.select(
-        *df.columns, (F.col("_offset") + F.col("_inside")).cast("long").alias(name)
-    )
+    number = (F.col("_offset") + F.col("_inside")).cast("long").alias(name)
+    unknown = df.where(F.col(order).isNull()).withColumn(name, F.lit(None).cast("long"))
+    return numbered.select(*df.columns, number).unionByName(unknown)
 
 
 def day_number(entries: DataFrame, order: str = "entry_id") -> DataFrame:

@@ -12,7 +12,6 @@ from thoughtlog.functions.text import strip
 from thoughtlog.operators.membership import keep_members, member
 from thoughtlog.schemas import TOKEN
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
-from thoughtlog.sources.sizes import broadcast_if_small
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
 WORD = r"[\p{L}\p{N}]+"
@@ -69,8 +68,7 @@ def tokenize(entries: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """
     rows = rule_tokens(entries).withColumn("form", F.lower("text"))
     if lemmas is not None:
-        table = broadcast_if_small(lemmas.select("form", "lemma"))
-        rows = rows.join(table, "form", "left")
+        rows = rows.join(lemmas.select("form", "lemma"), "form", "left")
     else:
         rows = rows.withColumn("lemma", F.lit(None).cast("string"))
     known = {

@@ -26,12 +26,7 @@ def evaluate(processed: DataFrame, gold: DataFrame, key: str = "persona") -> dic
         "macro": ev.macro_metrics(report),
         "weighted": ev.weighted_metrics(report),
         "matrix": ev.matrix_cells(normalized),
-        "canonical_matrix": ev.confusion_matrix(counts).join(
-            ev.present_classes(counts).select(
-                F.col("label").alias("expected"), F.col("place").alias("row_no")
-            ),
-            "expected",
-        ),
+        "canonical_matrix": ev.canonical_matrix(counts),
         "bars": ev.class_metric_bars(report),
         "links": ev.flow_links(counts),
     }

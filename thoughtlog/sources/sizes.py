@@ -1,4 +1,4 @@
-"""Small tables whose size the optimizer knows or that is checked before a broadcast."""
+"""Small tables whose size the optimizer knows."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Bounds of a table that may be sent whole to every executor.
-BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 64 << 20
 
 
 def literal_table(
@@ -23,17 +18,3 @@ def literal_table(
     values = list(zip(*rows)) or [()] * len(columns)
     arrays = [pa.array(v, kind) for v, kind in zip(values, columns.values())]
     return spark.createDataFrame(pa.table(arrays, names=list(columns)))
-
-
-def broadcast_if_small(
-    dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Hint a broadcast if the dimension table is within the bounds.
-
-    At most ``max_rows + 1`` rows are measured. A larger table gets no hint: the optimizer
-    then plans a shuffle join, whose skewed partitions are split at run time.
-    """
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    seen = dim.limit(max_rows + 1).agg(F.count("*").alias("n"), size.alias("size")).first()
-    small = seen["n"] <= max_rows and (seen["size"] or 0) <= max_bytes
-    return F.broadcast(dim) if small else dim

@@ -260,6 +260,10 @@ REPORT = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1
 PROCESSED_SQL = sql("SELECT * FROM pro")
 CLASS_SQL = sql("SELECT entry_id, polarity FROM cl")
 
+LAST_UNLABELLED = (
+    "SELECT entry_id, (['NEGATIVE', 'POSITIVE', 'NEUTRAL'])[winner + 1] AS polarity FROM best"
+)
+
 ORACLES: dict[str, str] = {
     "read_corpus_csv": sql("SELECT * FROM e"),
     "read_corpus_parquet": sql("SELECT * FROM e"),
@@ -426,8 +430,28 @@ ORACLES: dict[str, str] = {
            list_position(['NEGATIVE', 'NEUTRAL', 'POSITIVE'], predicted)::BIGINT + 2 AS target,
            n AS value, (expected = predicted)::BIGINT AS hit FROM cnt"""
     ),
+    "canonical_matrix": sql(
+        """SELECT r.label AS expected, c.label AS predicted, r.place AS row_no, c.place AS col_no,
+               (SELECT count(*) FROM mixed m WHERE m.expected = r.label AND m.predicted = c.label) AS n
+           FROM seen r, seen c""",
+        mixed="""SELECT expected, CASE WHEN entry_id % 7 = 0 THEN 'MIXED' ELSE polarity END AS predicted
+                 FROM cl JOIN ge USING (entry_id)""",
+        seen="""SELECT * FROM (SELECT unnest(['NEGATIVE', 'NEUTRAL', 'POSITIVE']) AS label,
+                    unnest([0, 1, 2])::BIGINT AS place)
+                WHERE label IN (SELECT expected FROM mixed UNION SELECT predicted FROM mixed)""",
+    ),
     "day_number": sql("SELECT entry_id, persona, day_no FROM num"),
     "day_number_small_chunks": sql("SELECT entry_id, persona, day_no FROM num"),
+    "day_number_sparse_keys": """
+        SELECT CASE WHEN doc_id % 5 <> 0 THEN doc_id * 1000003 END AS entry_id, source AS persona,
+            CASE WHEN doc_id % 5 <> 0 THEN row_number() OVER (PARTITION BY source, doc_id % 5 = 0 ORDER BY doc_id) END AS day_no
+        FROM documents""",
+    "classify_last_unlabelled": sql(LAST_UNLABELLED),
+    "classify_python_last_unlabelled": sql(LAST_UNLABELLED),
+    "classify_detailed_last_unlabelled": sql(
+        f"""SELECT entry_id, polarity, {six('l0', 'l1', 'l2')} AS logits, n_windows
+            FROM ml JOIN ({LAST_UNLABELLED}) USING (entry_id)"""
+    ),
     "day_number_conversations": (
         "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) "
         "AS day_no FROM conversations"
@@ -475,6 +499,7 @@ ORACLES: dict[str, str] = {
     "polarity_shares": sql(f"SELECT persona, total, {SHARES} FROM summ"),
 }
 ORACLES |= {
+    "evaluation_links": ORACLES["flow_links"],
     "annotate_python": ORACLES["read_tokens"],
     "score_windows_python": ORACLES["score_windows"],
     "mean_logits_in_place": ORACLES["mean_logits"],

@@ -28,7 +28,7 @@ from thoughtlog.operators import timeline as tl
 from thoughtlog.operators import tokens as ot
 from thoughtlog.operators.windows import token_windows
 from thoughtlog.plans.enrich import attach_results, enrich, extract_records
-from thoughtlog.plans.evaluate import evaluation_summary
+from thoughtlog.plans.evaluate import evaluate, evaluation_summary
 from thoughtlog.plans.persona_views import persona_view_rows
 from thoughtlog.sources import corpus
 from thoughtlog.sources.gold import gold_table
@@ -520,6 +520,25 @@ def classify_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Aggregations
 
 
+TWO_LABELS = {0: "negative", 1: "positive"}  # the last class of the scorer has none
+
+
+@_query
+def classify_last_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return osc.classify(with_ids(spark, sf_dir), fx.COLUMN_SCORER, TWO_LABELS)
+
+
+@_query
+def classify_python_last_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return osc.classify(with_ids(spark, sf_dir), fx.batch_scorer(), TWO_LABELS)
+
+
+@_query
+def classify_detailed_last_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = osc.classify_detailed(with_ids(spark, sf_dir), fx.batch_scorer(), TWO_LABELS)
+    return rows.select("entry_id", "polarity", "logits", "n_windows")
+
+
 @_query
 def emotion_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.emotion_set(op.match_phrases(tokens(spark, sf_dir), fx.LEXICON))
@@ -574,6 +593,20 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.confusion_matrix(counts(spark, sf_dir))
 
 
+@_query
+def canonical_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with one more label that is not in the canon, on the side of the prediction."""
+    mixed = F.when(F.col("entry_id") % 7 == 0, "MIXED").otherwise(F.col("polarity"))
+    labelled = classified(spark, sf_dir).select("entry_id", mixed.alias("polarity"))
+    return evaluate(labelled, entry_gold(spark, sf_dir), "entry_id")["canonical_matrix"]
+
+
+@_query
+def evaluation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = classified(spark, sf_dir).drop("text")
+    return evaluate(labelled, entry_gold(spark, sf_dir), "entry_id")["links"]
+
+
 @_query
 def confusion_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.confusion_normalized(ev.confusion_matrix(counts(spark, sf_dir)))
@@ -620,7 +653,15 @@ def day_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def day_number_small_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = documents(spark, sf_dir).select("entry_id", "persona")
-    return on.running_number(entries, "day_no", "entry_id", ["persona"], chunk=16)
+    return on.running_number(entries, "day_no", "entry_id", ["persona"], ranges=40)
+
+
+@_query
+def day_number_sparse_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids far apart, every fifth one null."""
+    spread = F.when(F.col("entry_id") % 5 != 0, F.col("entry_id") * 1_000_003)
+    entries = documents(spark, sf_dir).select(spread.alias("entry_id"), "persona")
+    return on.day_number(entries)
 
 
 @_query
