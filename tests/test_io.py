@@ -113,3 +113,35 @@ def test_a_stock_session_needs_a_folder(tmp_path):
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": str(Path(__file__).resolve().parents[1])}
     done = subprocess.run([sys.executable, "-c", STOCK_SESSION.format(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_csv_starts_with_a_mark(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "A", "é, \n\"x\"")], "entry_id bigint, persona string, text string")
+    corpus.write_corpus(rows, str(tmp_path / "c"), "csv")
+    file = next((tmp_path / "c").glob("part-*.csv"))
+    assert file.read_bytes().startswith(b"\xef\xbb\xbfid_registro,persona,texto_diario\n")
+    assert [tuple(r) for r in corpus.read_corpus(spark, str(tmp_path / "c"), "csv").collect()] == [(1, "A", "é, \n\"x\"")]
+
+
+def test_bucketed_entries_and_tokens_meet_without_a_shuffle(spark, tmp_path):
+    entries = spark.range(50).selectExpr("id AS entry_id", "concat('t', id) AS text")
+    parts = spark.range(200).selectExpr("id % 50 AS entry_id", "id AS tok_no")
+    corpus.write_bucketed(entries, "bucketed_entries", 4, "overwrite")
+    corpus.write_bucketed(parts, "bucketed_tokens", 4, "overwrite")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        counts = corpus.read_bucketed(spark, "bucketed_tokens").groupBy("entry_id").count()
+        joined = corpus.read_bucketed(spark, "bucketed_entries").join(counts, "entry_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_entries")
+        spark.sql("DROP TABLE bucketed_tokens")
+
+
+def test_tokens_are_written_and_read(spark, make_tokens, tmp_path):
+    tokens = make_tokens({1: ["Eu/eu/PRON/nsubj/2 vou/ir/VERB/root/0"]})
+    corpus.write_tokens(tokens, str(tmp_path / "t"))
+    got = corpus.read_tokens(spark, str(tmp_path / "t")).sort("tok_no").collect()
+    assert got == tokens.sort("tok_no").collect()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thoughtlog.functions.text import default_when_empty
@@ -12,6 +15,33 @@ from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
 from thoughtlog.sources.sizes import literal_table
 
 
+def lemmatised(
+    spark: SparkSession, lexicon: Lexicon, annotator: Callable[[DataFrame], DataFrame]
+) -> Lexicon:
+    """The lexicon with its phrases as the lemmas that the user's annotator gives them.
+
+    ``annotator`` makes a token table of ``entry_id, text`` (for example
+    :func:`thoughtlog.operators.tokens.annotate` with a Python annotator). Phrases are compared
+    with lemmas, so they must be lemmatised like the texts. A phrase is one row; their tokens
+    are collected, a few dozen rows. A phrase without tokens keeps its words.
+    """
+    phrases = lexicon.phrases()
+    entries = literal_table(
+        spark,
+        [(no, " ".join(lemmas)) for no, _, lemmas in phrases],
+        entry_id=pa.int64(),
+        text=pa.string(),
+    )
+    tokens = annotator(entries).select("entry_id", "tok_no", "lemma").collect()
+    found: dict[int, list[str]] = {}
+    for row in sorted(tokens, key=lambda r: (r.entry_id, r.tok_no)):
+        found.setdefault(row.entry_id, []).append(row.lemma)
+    categories: dict[str, list[list[str]]] = {c: [] for c in lexicon.emotion_phrases}
+    for no, category, lemmas in phrases:
+        categories[category].append(found.get(no, lemmas))
+    return replace(lexicon, emotion_phrases=categories)
+
+
 def match_phrases(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     """``entry_id, phrase_no, category, start_tok, end_tok`` of every phrase occurrence.
 

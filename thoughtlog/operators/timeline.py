@@ -36,15 +36,13 @@ def persona_list(df: DataFrame) -> DataFrame:
     return df.select("persona").distinct().orderBy("persona")
 
 
-def emotion_frequency(processed: DataFrame) -> DataFrame:
-    """``persona, emotion, n``, most frequent first; records without emotions count nothing."""
+def emotion_frequency(processed: DataFrame, ordered: bool = True) -> DataFrame:
+    """``persona, emotion, n``, most frequent first if ordered; records without emotions count
+    nothing."""
     found = processed.where(F.col("emotions") != NO_EMOTION)
     emotions = found.select("persona", F.explode(F.split("emotions", ", ")).alias("emotion"))
-    return (
-        emotions.groupBy("persona", "emotion")
-        .agg(F.count("*").alias("n"))
-        .orderBy("persona", F.desc("n"), "emotion")
-    )
+    counts = emotions.groupBy("persona", "emotion").agg(F.count("*").alias("n"))
+    return counts.orderBy("persona", F.desc("n"), "emotion") if ordered else counts
 
 
 def polarity_summary(processed: DataFrame) -> DataFrame:
@@ -78,15 +76,16 @@ def mood_heatmap(calendar: DataFrame) -> DataFrame:
     return numbered.groupBy("persona", "week_no").agg(*days)
 
 
-def polarity_series(calendar: DataFrame) -> DataFrame:
-    """``persona, day_no, polarity, polarity_name, polarity_value`` in day order."""
-    return calendar.select(
+def polarity_series(calendar: DataFrame, ordered: bool = True) -> DataFrame:
+    """``persona, day_no, polarity, polarity_name, polarity_value``, in day order if ordered."""
+    series = calendar.select(
         "persona",
         "day_no",
         "polarity",
         translate_label(F.col("polarity")).alias("polarity_name"),
         "polarity_value",
-    ).orderBy("persona", "day_no")
+    )
+    return series.orderBy("persona", "day_no") if ordered else series
 
 
 def record_for_day(processed: DataFrame, day: int, persona: str | None = None) -> DataFrame:

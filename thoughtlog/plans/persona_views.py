@@ -11,25 +11,27 @@ from thoughtlog.operators.numbering import day_number
 from thoughtlog.sources.scratch import materialize
 
 
-def persona_views(processed: DataFrame, k: int = TOP_TERMS) -> dict[str, DataFrame]:
+def persona_views(
+    processed: DataFrame, k: int = TOP_TERMS, ordered: bool = True
+) -> dict[str, DataFrame]:
     """View tables by name, for all personas at once. ``processed`` should be a stored
-    table: each view reads only its columns."""
+    table: each view reads only its columns. ``ordered`` sorts what is shown in an order."""
     slim = processed.select("entry_id", "persona", "polarity")
     # Numbered and sorted once for both views that need the day.
     calendar = tl.with_calendar(materialize(day_number(slim), "days"))
     return {
         "personas": tl.persona_list(processed),
         "summary": tl.polarity_summary(processed),
-        "emotions": tl.emotion_frequency(processed),
+        "emotions": tl.emotion_frequency(processed, ordered),
         "heatmap": tl.mood_heatmap(calendar),
-        "series": tl.polarity_series(calendar),
+        "series": tl.polarity_series(calendar, ordered),
         "terms": top_terms(term_frequency(processed), k),
     }
 
 
 def persona_view_rows(processed: DataFrame, k: int = TOP_TERMS) -> DataFrame:
     """``persona, view, item, value``: the numbers of all views as one long table."""
-    views = persona_views(processed, k)
+    views = persona_views(processed, k, ordered=False)
     counts = ["total", "n_positive", "n_negative", "n_neutral"]
     summary = views["summary"].select("persona", *counts).unpivot(
         ["persona"], counts, "item", "value"

@@ -25,13 +25,16 @@ _CSV = {
     "ignoreTrailingWhiteSpace": False,
 }
 _CSV_READ_ONLY = {"multiLine"}
+# Exchanged files start with a byte-order mark.
+_MARK = "\ufeff"
 
 
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings under our names; columns are found by header, not place."""
     raw = spark.read.options(**_CSV).csv(path)
     names = {**CSV_COLUMNS, OLD_POLARITY_HEADER: OLD_POLARITY_COLUMN}
-    return raw.select([F.col(f"`{name}`").alias(names.get(name, name)) for name in raw.columns])
+    bare = [name.removeprefix(_MARK) for name in raw.columns]
+    return raw.toDF(*[names.get(name, name) for name in bare])
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -72,7 +75,8 @@ def _write(df: DataFrame, path: str, fmt: str, mode: str) -> None:
         df.write.mode(mode).parquet(path)
         return
     headers = {column: header for header, column in CSV_COLUMNS.items()}
-    named = df.select([F.col(c).alias(headers.get(c, c)) for c in df.columns])
+    titles = [headers.get(c, c) for c in df.columns]
+    named = df.toDF(_MARK + titles[0], *titles[1:])
     options = {k: v for k, v in _CSV.items() if k not in _CSV_READ_ONLY}
     named.write.mode(mode).options(**options).csv(path)
 
@@ -87,5 +91,25 @@ def write_corpus(
 def write_processed(
     processed: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists"
 ) -> None:
-    """Write processed entries as parquet, or as CSV with the exchanged headers."""
+    """Write processed entries as parquet, or as CSV with the exchanged headers and mark."""
     _write(processed.select(PROCESSED.names), path, fmt, mode)
+
+
+def write_tokens(tokens: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write token annotations as parquet."""
+    tokens.select(TOKEN.names).write.mode(mode).parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, buckets: int, mode: str = "errorifexists") -> None:
+    """Save a table in buckets of ``entry_id``, sorted inside them.
+
+    Entries and tokens saved with one number of buckets are joined and grouped by entry without
+    a shuffle. The rows are brought to their buckets first, so that each bucket is one file.
+    """
+    dealt = df.repartition(buckets, "entry_id")
+    dealt.write.mode(mode).format("parquet").bucketBy(buckets, "entry_id").sortBy("entry_id").saveAsTable(table)
+
+
+def read_bucketed(spark: SparkSession, table: str) -> DataFrame:
+    """A table of :func:`write_bucketed`, with its buckets known to the optimizer."""
+    return spark.table(table)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
-from thoughtlog.functions.text import WHITESPACE as WS
-from thoughtlog.operators import prompts as pr
-
+# Written out here, so that an error in the library's own constants does not agree with itself.
+WS = r"[\s\x0b\x1c-\x1f\x85\x{a0}\p{Z}]"
+PROMPT = (
+    "Escreva o dia %d/%d do diário de: %s. Requisito: Retorne estritamente o texto narrativo "
+    "em primeira pessoa, com pelo menos 150 palavras, citando locais e pessoas. Sem aspas ou prefixos."
+)
 WORD = r"[\p{L}\p{N}]+"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 CLOCKS = r"\p{Nd}{1,2}h(?:oras?)?|\p{Nd}{1,2}:\p{Nd}{2}"
@@ -282,7 +285,7 @@ ORACLES: dict[str, str] = {
         "SELECT persona, count(*) AS n_entries, any_value(expected) AS expected "
         "FROM e LEFT JOIN gp USING (persona) GROUP BY persona"
     ),
-    "read_tokens": sql("SELECT * FROM t"),
+    "read_tokens": sql("SELECT *, 0::BIGINT AS is_stop FROM t"),
     "tokenize": sql("SELECT entry_id, sent_no, tok_no, text, lemma FROM t"),
     "tokenize_with_lemmas": sql(
         """SELECT entry_id, CASE WHEN lemma LIKE '%s' AND f.form IS NOT NULL
@@ -351,7 +354,7 @@ ORACLES: dict[str, str] = {
     ),
     "prompt_grid": sql(
         f"""SELECT persona_no * 60 + day - 1 AS grid_no, persona_no, persona, day,
-            printf('{pr.PROMPT}', day, 60, prompt) AS request
+            printf('{PROMPT}', day, 60, prompt) AS request
             FROM personas CROSS JOIN generate_series(1, 60) AS d(day)"""
     ),
     "token_window_rows": sql(
@@ -499,6 +502,7 @@ ORACLES: dict[str, str] = {
     "polarity_shares": sql(f"SELECT persona, total, {SHARES} FROM summ"),
 }
 ORACLES |= {
+    "match_lemmatised_phrases": ORACLES["match_phrases"],
     "evaluation_links": ORACLES["flow_links"],
     "annotate_python": ORACLES["read_tokens"],
     "score_windows_python": ORACLES["score_windows"],

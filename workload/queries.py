@@ -209,14 +209,24 @@ def gold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def read_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored_tokens(spark, sf_dir)
-    return rows.drop("is_stop")
+    return stored_tokens(spark, sf_dir)
 
 
 @_query
 def annotate_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same tokens from a Python annotator."""
-    return ot.annotate(texts(spark, sf_dir), fx.batch_annotator()).drop("is_stop")
+    return ot.annotate(texts(spark, sf_dir), fx.batch_annotator())
+
+
+def reversed_lemmas(entries: DataFrame) -> DataFrame:
+    """An annotator whose lemmas are unlike the words: backwards, in lower case."""
+    return fx.annotate(entries).withColumn("lemma", F.reverse("lemma"))
+
+
+@_query
+def match_lemmatised_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = op.lemmatised(spark, fx.LEXICON, reversed_lemmas)
+    return op.match_phrases(reversed_lemmas(texts(spark, sf_dir)), lexicon)
 
 
 @_query
