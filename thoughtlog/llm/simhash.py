@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thoughtlog.llm import chunks
@@ -145,6 +145,7 @@ def one_of_each_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id"
 # large the corpus is. Pairs that meet are verified by their shingles.
 
 KEYS, KEY_BITS = 8, 16
+PIVOTS = 16
 _ODD = mix(np.arange(1, 2 * KEYS + 1, dtype=np.uint64)) | np.uint64(1)
 _FLIPS = np.concatenate([[0], 1 << np.arange(KEY_BITS)]).astype(np.uint64)
 
@@ -197,12 +198,16 @@ def _shingled(words: int):
     return run
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float, tables: Scratch) -> DataFrame:
-    """Pairs with ``alike``: whether the Jaccard index of their shingle sets reaches the wanted."""
+def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the nodes in pairs, from one document each."""
     wanted = pairs.select(F.col("node")).union(pairs.select("pivot")).distinct()
     known = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id"))
     sets = docs.join(known, "doc_id", "left_semi").mapInArrow(_shingled(words), "node bigint, shingles array<bigint>")
-    sets = tables.store(sets.dropDuplicates(["node"]), "shingles")
+    return sets.dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs with ``alike``: whether the Jaccard index of their shingle sets reaches the wanted."""
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("others")), "pivot")
     shared = F.size(F.array_intersect("shingles", "others"))
     index = shared / (F.size("shingles") + F.size("others") - shared)
@@ -213,8 +218,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
     """(doc_id, component_id): groups of documents linked by a similarity of their word shingles.
 
     In each set of nodes that share a key, all are verified against the least one; those that
-    fail meet again without it, until none is left, so no set is compared pair by pair and none
-    is cut short. Texts with the same words are one node; texts without words are one group. Null
+    fail meet again without it, against the ``PIVOTS`` least ones at a time, until none is left,
+    so no set is compared pair by pair and none is cut short. A node that was linked leaves the
+    set. Texts with the same words are one node; texts without words are one group. Null
     ids and repeated rows as in :func:`near_duplicate_groups`.
     """
     spark = docs.sparkSession
@@ -225,18 +231,24 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
     nodes = tables.store(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
     keyed = marked.where("doc_id IS NOT NULL").join(nodes, (marked.node == nodes.node) & (F.col("doc_id") == F.col("least")), "left_semi")
     rows = keyed.select("node", F.explode("keys").alias("key"))
-    links = None
+    links = sets = None
     while True:
-        pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top")
-        met = tables.store(rows.join(pivots.select("key", "pivot"), "key").where("node != pivot"), "met")
+        if sets is None:
+            pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top")
+        else:  # the few sets that are left, of nodes that only share a passage
+            place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+            pivots = rows.withColumn("place", place).where(F.col("place") <= PIVOTS).withColumnRenamed("node", "pivot")
+        met = tables.store(rows.join(pivots.select("key", "pivot"), "key").where("node > pivot"), "met")
         pairs = tables.store(met.select("node", "pivot").distinct(), "pairs")
         if pairs.isEmpty():
             break
-        checked = tables.store(_verified(source, nodes, pairs, words, similarity, tables), "checked")
-        alike = checked.where("alike").select("node", "pivot")
+        if sets is None:  # later rounds meet among the nodes of the first
+            sets = tables.store(_sets(source, nodes, pairs, words), "shingles")
+        alike = tables.store(_verified(pairs, sets, similarity).where("alike").drop("alike"), "alike")
         links = alike if links is None else links.union(alike)
-        failed = checked.where("NOT alike").select("node", "pivot")
-        rows = met.join(failed, ["node", "pivot"], "left_semi").select("node", "key")
+        done = met.join(alike, ["node", "pivot"], "left_semi").select("node", "key")
+        done = done.union(met.select(F.col("pivot").alias("node"), "key")).distinct()
+        rows = tables.store(met.select("node", "key").distinct().join(done, ["node", "key"], "left_anti"), "left")
     if links is None:
         return marked.join(nodes.withColumnRenamed("least", "component_id"), "node").select("doc_id", "component_id")
     roots = components(spark, links, tables)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thoughtlog.functions.ranges import place_among, quantile_bounds
 from thoughtlog.llm import chunks
 from thoughtlog.llm.words import mix
 
@@ -125,23 +126,12 @@ def in_id_ranges(docs: DataFrame, n_ranges: int) -> tuple[DataFrame, DataFrame]:
     Bounds come from quantiles of the ids alone; the driver sees one number for each range. A
     null id is in the first range.
     """
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    bounds = sorted(set(docs.approxQuantile("doc_id", probs, 0.25 / n_ranges))) if probs else []
-    where = _place([int(b) for b in bounds], 0, len(bounds))
+    where = place_among(F.col("doc_id"), quantile_bounds(docs, "doc_id", n_ranges))
     placed = docs.withColumn("range_no", where.cast("int"))
     ends = placed.groupBy("range_no").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     return placed, ends
 
 
-def _place(bounds: list[int], first: int, last: int) -> F.Column:
-    """How many of the sorted bounds are below doc_id: a balanced tree of comparisons."""
-    if first == last:
-        return F.lit(first)
-    middle = (first + last) // 2
-    above = F.col("doc_id") > bounds[middle]
-    return F.when(above, _place(bounds, middle + 1, last)).otherwise(_place(bounds, first, middle))
-
-
 def _compare(k: int, w: int):
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
