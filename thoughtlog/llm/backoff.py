@@ -24,6 +24,9 @@ from thoughtlog.llm import chunks
 from thoughtlog.llm.words import BETWEEN_SPACES, Words
 
 ORDER, ALPHA = 3, 0.4
+# N-grams are known by 56 bits of their hash: among 200 million different ones about one pair is
+# taken for the same, and a byte less of each is shuffled.
+_KEY = ~np.uint64(0xFF)
 
 _SENT = "shard bigint, chunk bigint, keys binary, n binary"
 _SENT_ARROW = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
@@ -39,7 +42,7 @@ def _words(table: pa.Table) -> Words:
 
 def _grams(words: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(starts, hashes) for every length; lengths have hashes of their own."""
-    return [words.windows(n) for n in range(1, order + 1)]
+    return [(starts, hashes & _KEY) for starts, hashes in map(words.windows, range(1, order + 1))]
 
 
 def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +57,7 @@ def _send(order: int, n_shards: int):
         if not len(words.hashes):
             return _SENT_ARROW.empty_table()
         keys, n = _distinct(np.concatenate([h for _, h in _grams(words, order)]))
-        rows = list(chunks.packed(key[0].as_py(), keys, n_shards, n=n.astype("<u4")))
+        rows = [row | {"n": chunks.planes(row["n"])} for row in chunks.packed(key[0].as_py(), keys, n_shards, n=n)]
         return pa.Table.from_pylist(rows, _SENT_ARROW)
 
     return run
@@ -63,7 +66,7 @@ def _send(order: int, n_shards: int):
 def _add_up(key: tuple, table: pa.Table) -> pa.Table:
     """Counts of each chunk's keys in all other chunks, in the order of its keys."""
     sent = [chunks.unsqueezed(k) for k in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(n, "<u4").astype(np.int64) for n in table.column("n").to_pylist()]
+    counts = [chunks.unplaned(n) for n in table.column("n").to_pylist()]
     every = np.concatenate(sent)
     order = np.argsort(every, kind="stable")
     ordered, running = every[order], np.cumsum(np.concatenate(counts)[order])
@@ -72,15 +75,10 @@ def _add_up(key: tuple, table: pa.Table) -> pa.Table:
     rows = []
     for chunk, own, n in zip(table.column("chunk").to_pylist(), sent, counts):
         elsewhere = totals[np.searchsorted(keys, own)] - n
-        kind = "<u4" if not len(elsewhere) or elsewhere.max() < 2**32 else "<u8"
-        rows.append({"shard": key[0].as_py(), "chunk": chunk, "elsewhere": kind[-1].encode() + elsewhere.astype(kind).tobytes()})
+        rows.append({"shard": key[0].as_py(), "chunk": chunk, "elsewhere": chunks.planes(elsewhere)})
     return pa.Table.from_pylist(rows, _TOTALS_ARROW)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u" + data[:1].decode(), offset=1).astype(np.int64)
-
-
 def _score(order: int, alpha: float, total: int):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -92,7 +90,7 @@ def _score(order: int, alpha: float, total: int):
             grams = _grams(words, order)
             keys, n = _distinct(np.concatenate([h for _, h in grams]))
             answers = totals.sort_by("shard").column("elsewhere").to_pylist()
-            count = n + np.concatenate([_unpacked(a) for a in answers])
+            count = n + np.concatenate([chunks.unplaned(a) for a in answers])
             owner = np.repeat(np.arange(len(n_words)), n_words)
             # others[k][i]: how often other documents have the k + 1 words from word i on
             others = []
@@ -135,7 +133,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
 
     Words stand between ASCII white space, A-Z lower-cased; histories do not cross documents. The
     log is natural; a null or empty text has no words and scores 0. Rows are documents, so a
-    repeated row is scored by its twin. Counts are of all documents; hashes have 64 bits. Columns
+    repeated row is scored by its twin. Counts are of all documents. Columns
     other than doc_id and text are not read.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

@@ -58,14 +58,13 @@ def by_shard(hashes: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]
 def packed(
     chunk: int, hashes: np.ndarray, n_shards: int, **values: np.ndarray
 ) -> Iterator[dict[str, object]]:
-    """Rows (shard, chunk, keys, values ...) from sorted distinct hashes of one chunk."""
+    """Rows (shard, chunk, keys, values ...) from sorted distinct hashes of one chunk; the values
+    are still arrays."""
     _, bounds = by_shard(hashes, n_shards)
     for shard in range(n_shards):
         a, b = int(bounds[shard]), int(bounds[shard + 1])
         if a < b:
-            yield {"shard": shard, "chunk": chunk, "keys": squeezed(hashes[a:b])} | {
-                k: v[a:b].tobytes() for k, v in values.items()
-            }
+            yield {"shard": shard, "chunk": chunk, "keys": squeezed(hashes[a:b])} | {k: v[a:b] for k, v in values.items()}
 
 
 def squeezed(keys: np.ndarray) -> bytes:
@@ -78,6 +77,21 @@ def unsqueezed(data: bytes) -> np.ndarray:
     return np.cumsum(steps.ravel(), dtype=np.uint64)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Small numbers byte by byte, in as many bytes as the largest needs; the first byte says
+    how many. Bytes that are mostly zero compress away."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    rows = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + np.ascontiguousarray(rows.T).tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((rows.shape[1], 8), np.uint8)
+    out[:, : data[0]] = rows.T
+    return out.view("<i8").ravel()
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Texts of a column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from thoughtlog.llm import chunks, perfect_hash
 from thoughtlog.sources.scratch import Scratch
@@ -67,7 +68,8 @@ def _send(n_shards: int, min_chars: int):
         first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         docs = np.diff(np.concatenate([first, [len(hashes)]])).astype(np.uint32)
         rows = chunks.packed(key[0].as_py(), hashes[first], n_shards, prints=prints[first], docs=docs, top=np.maximum.reduceat(ids, first))
-        return pa.Table.from_pylist(list(rows), _KEYS_ARROW)
+        rows = [row | {n: row[n].tobytes() for n in ("prints", "docs", "top")} for row in rows]
+        return pa.Table.from_pylist(rows, _KEYS_ARROW)
 
     return run
 
@@ -167,10 +169,12 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     answers = probes.cogroup(index.groupBy("shard")).applyInArrow(_probe(min_docs), _ANSWER)
     if digest:
         docs = docs.select("doc_id", "text")
-        schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines bigint, n_dropped bigint, kept_sha256 string"
+        own = [docs.schema["doc_id"]]
     else:
         own = [f for f in docs.schema if f.name not in ("n_lines", "n_dropped")]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", n_lines bigint, n_dropped bigint"
+    schema = StructType(list(own)).add("n_lines", "long").add("n_dropped", "long")
+    if digest:
+        schema = schema.add("kept_sha256", "string")
     whole = chunks.chunked(docs, chunk, n_chunks, ("doc_id", "text"))
 
     return whole.groupBy(chunk).cogroup(answers.groupBy("chunk")).applyInArrow(_drop(chunk, min_chars, digest), schema)

@@ -46,7 +46,7 @@ def _send(window: int, n_shards: int):
         hashes.sort()
         first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         many = np.diff(np.concatenate([first, [len(hashes)]])) > 1
-        rows = list(chunks.packed(key[0].as_py(), hashes[first], n_shards, many=many))
+        rows = [row | {"many": row["many"].tobytes()} for row in chunks.packed(key[0].as_py(), hashes[first], n_shards, many=many)]
         return pa.Table.from_pylist(rows, _EDGES_ARROW)
 
     return run
