@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from thoughtlog.llm.oracles import ORACLES
@@ -37,11 +38,14 @@ def test_languages_of_held_out_documents(spark):
 
 
 def test_stages_keep_columns_and_odd_rows(spark, docs, tmp_path):
+    names = ("n_lines", "n_dropped", "n_words", "n_hit", "items", "lang_pred", "others", "a b")
     kept = docs.withColumn("more", docs.score + 1)
+    kept = kept.withColumns({n: F.concat(F.lit(n), docs.doc_id.cast("string")) for n in names})
     for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, kept, SF_DIR)
         if number < 4:
             assert out.columns == kept.columns and out.schema.simpleString() == kept.schema.simpleString()
+            assert out.where(" OR ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names) + " OR score <> 5").count() == 0
         out.write.parquet(str(tmp_path / name))
         kept = spark.read.parquet(str(tmp_path / name))
     assert kept.count() > 0

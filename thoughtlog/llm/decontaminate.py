@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from thoughtlog.llm import chunks
 from thoughtlog.llm.fm_index import FMIndex
@@ -136,6 +137,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 10, remove
     source = docs if remove else docs.select("doc_id", "text")
     source = source.select(*[F.col(f"`{c}`") for c in source.columns if c not in own])
     others = [f for f in source.schema if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    schema += (", text string" if remove else "") + ", n_words bigint, n_hit bigint, items array<string>"
+    schema = StructType(list(others))
+    if remove:
+        schema = schema.add("text", "string")
+    schema = schema.add("n_words", "long").add("n_hit", "long").add("items", ArrayType(StringType()))
     return source.mapInArrow(_task(blocks, [f.name for f in others], remove), schema)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from thoughtlog.llm import chunks
 
@@ -168,6 +169,6 @@ def identify(docs: DataFrame, model: ContextModel) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [f for f in docs.schema if f.name not in ("has_letter", "lang_pred", "score", "bits_per_byte")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", lang_pred string, score double, bits_per_byte double"
+    schema = StructType(list(own)).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
     source = docs.select(*[F.col(f"`{f.name}`") for f in own], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
     return source.mapInArrow(_predict(shared), schema)

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from thoughtlog.llm import chunks
 from thoughtlog.llm.components import components
@@ -81,9 +82,9 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", seed: int
     without words, has fingerprint zero. ``more`` adds independent words of 64 bits each.
     """
     rest = [f for f in docs.schema if f.name != text]
-    extra = "".join(f", fingerprint_{i + 1} bigint" for i in range(more))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    schema = (schema + ", " if schema else "") + "fingerprint bigint" + extra
+    schema = StructType(list(rest)).add("fingerprint", "long")
+    for lane in range(more):
+        schema = schema.add(f"fingerprint_{lane + 1}", "long")
     return docs.mapInArrow(_fingerprinter(text, words, seed, more), schema)
 
 
