@@ -355,6 +355,28 @@ def test_similar_groups_are_the_brute_force_ones(odd, docs, empty):
     assert simhash.similar_groups(empty).count() == 0
 
 
+def _words(seed, n):
+    import random
+
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+
+
+def test_links_of_edits_and_chains_are_not_lost(spark):
+    """Edits that are only like their base, and texts that are only like the next one."""
+    texts = []
+    for family in range(6):
+        base = _words(family, 204)
+        edits = [[f"other{e}x{i}" if i % 70 == e + 10 else w for i, w in enumerate(base)] for e in range(20)]
+        texts.append([" ".join(t) for t in [*edits[:10], base, *edits[10:]]])
+        long = _words(100 + family, 204 + 15 * 12)
+        texts.append([" ".join(long[15 * i : 15 * i + 204]) for i in range(12)])
+    rows = [(1000 * f + i, t) for f, family in enumerate(texts) for i, t in enumerate(family)]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    components = Counter(r.component_id // 1000 for r in {r.component_id: r for r in got}.values())
+    assert len(got) == len(rows) and components == Counter(range(len(texts))), components
+
+
 # Language model
 
 

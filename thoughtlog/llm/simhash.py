@@ -208,21 +208,47 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> Da
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs with ``alike``: whether the Jaccard index of their shingle sets reaches the wanted."""
+    """Pairs whose shingle sets have the wanted Jaccard index, with all their columns."""
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("others")), "pivot")
     shared = F.size(F.array_intersect("shingles", "others"))
     index = shared / (F.size("shingles") + F.size("others") - shared)
-    return both.select("node", "pivot", (index >= similarity).alias("alike"))
+    return both.where(index >= similarity).select(*pairs.columns)
+
+
+def _undecided(rows: DataFrame) -> DataFrame:
+    """Rows of the key sets that hold nodes of several components; equal sets stay once."""
+    ends = [F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")]
+    mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark_{i}") for i in (0, 1)]
+    several = rows.groupBy("key").agg(*ends, *mark).where("a < b")
+    return rows.join(several.groupBy("n", "mark_0", "mark_1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def _pivots(rows: DataFrame, most: int) -> DataFrame:
+    """(key, pivot, pivot_root): in each key set the node with the most links, which brings the
+    most others together, and ``most`` nodes from outside its largest component."""
+    groups = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "node")).alias("hub"))
+    sets = groups.groupBy("key").agg(
+        F.max(F.struct("n", "root")).alias("largest"), F.max_by(F.struct(F.col("hub.node").alias("node"), "root"), "hub").alias("hub")
+    )
+    outside = rows.join(sets.select("key", F.col("largest.root").alias("largest")), "key").where("root != largest")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    some = outside.withColumn("place", place).where(F.col("place") <= most).select("key", "node", "root")
+    return sets.select("key", "hub.node", "hub.root").union(some).distinct().toDF("key", "pivot", "pivot_root")
+
+
+def _degrees(links: DataFrame) -> DataFrame:
+    return links.select("node").union(links.select("pivot")).groupBy("node").agg(F.count(F.lit(1)).alias("more"))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", tables: Scratch | None = None) -> DataFrame:
     """(doc_id, component_id): groups of documents linked by a similarity of their word shingles.
 
-    In each set of nodes that share a key, all are verified against the least one; those that
-    fail meet again without it, against the ``PIVOTS`` least ones at a time, until none is left,
-    so no set is compared pair by pair and none is cut short. A node that was linked leaves the
-    set. Texts with the same words are one node; texts without words are one group. Null
-    ids and repeated rows as in :func:`near_duplicate_groups`.
+    In each set of nodes that share a key, all are verified against the least one. Then those of
+    different components meet again, against more pivots each round. A node leaves a set only as
+    its pivot, when it was verified against every node there outside its component, so every pair
+    that shares a key is verified or in one component. Texts with the same words are one node;
+    texts without words are one group. Null ids and repeated rows as in
+    :func:`near_duplicate_groups`.
     """
     spark = docs.sparkSession
     tables = tables or Scratch(spark)
@@ -232,27 +258,38 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
     nodes = tables.store(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
     keyed = marked.where("doc_id IS NOT NULL").join(nodes, (marked.node == nodes.node) & (F.col("doc_id") == F.col("least")), "left_semi")
     rows = keyed.select("node", F.explode("keys").alias("key"))
-    links = sets = None
+    pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top")
+    met = tables.store(rows.join(pivots.select("key", "pivot"), "key").where("node > pivot"), "met")
+    pairs = tables.store(met.select("node", "pivot").distinct(), "pairs")
+    if pairs.isEmpty():
+        return marked.join(nodes.withColumnRenamed("least", "component_id"), "node").select("doc_id", "component_id")
+    sets = tables.store(_sets(source, nodes, pairs, words), "shingles")  # later rounds meet among these nodes
+    links = tables.store(_verified(pairs, sets, similarity), "alike")
+    roots = first = components(spark, links, tables)
+    left = met.select("node", "key").join(roots, "node", "left").join(_degrees(links), "node", "left")
+    left = left.select("node", "key", F.coalesce("root", "node").alias("root"), F.coalesce("more", F.lit(0)).alias("degree"))
+    most = PIVOTS
     while True:
-        if sets is None:
-            pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top")
-        else:  # the few sets that are left, of nodes that only share a passage
-            place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            pivots = rows.withColumn("place", place).where(F.col("place") <= PIVOTS).withColumnRenamed("node", "pivot")
-        met = tables.store(rows.join(pivots.select("key", "pivot"), "key").where("node > pivot"), "met")
-        pairs = tables.store(met.select("node", "pivot").distinct(), "pairs")
-        if pairs.isEmpty():
+        left = tables.store(_undecided(left), "left")
+        if left.isEmpty():
             break
-        if sets is None:  # later rounds meet among the nodes of the first
-            sets = tables.store(_sets(source, nodes, pairs, words), "shingles")
-        alike = tables.store(_verified(pairs, sets, similarity).where("alike").drop("alike"), "alike")
-        links = alike if links is None else links.union(alike)
-        done = met.join(alike, ["node", "pivot"], "left_semi").select("node", "key")
-        done = done.union(met.select(F.col("pivot").alias("node"), "key")).distinct()
-        rows = tables.store(met.select("node", "key").distinct().join(done, ["node", "key"], "left_anti"), "left")
-    if links is None:
-        return marked.join(nodes.withColumnRenamed("least", "component_id"), "node").select("doc_id", "component_id")
-    roots = components(spark, links, tables)
+        pivots = tables.store(_pivots(left, most), "pivots")
+        met = left.join(pivots, "key").where("root != pivot_root")
+        upper = F.col("node") > F.col("pivot")
+        ends = [F.when(upper, F.col(a)).otherwise(F.col(b)) for a, b in (("node", "pivot"), ("pivot", "node"), ("root", "pivot_root"), ("pivot_root", "root"))]
+        pairs = tables.store(met.select(*[e.alias(n) for e, n in zip(ends, ("node", "pivot", "root", "pivot_root"))]).distinct(), "pairs")
+        alike = tables.store(_verified(pairs, sets, similarity), "alike")
+        left = left.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
+        if not alike.isEmpty():
+            links = links.union(alike.select("node", "pivot"))
+            tops = components(spark, alike.select("root", "pivot_root"), tables).toDF("root", "top")
+            left = left.join(tops, "root", "left").join(_degrees(alike), "node", "left")
+            left = left.select("node", "key", F.coalesce("top", "root").alias("root"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree"))
+            roots = None
+        most *= 4
+    if roots is None:  # links of later rounds join components of the first
+        more = first.toDF("node", "pivot").union(links)
+        roots = components(spark, more, tables)
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.select("node", "root").join(named, "root").select("node", "component_id")
