@@ -377,6 +377,16 @@ def test_links_of_edits_and_chains_are_not_lost(spark):
     assert len(got) == len(rows) and components == Counter(range(len(texts))), components
 
 
+def test_repeats_inside_a_text_do_not_part_near_copies(spark):
+    rows = []
+    for pair in range(16):
+        found = _words(200 + pair, 204)
+        rows += [(2 * pair, " ".join(found)), (2 * pair + 1, " ".join(found[:100] + found[80:100] * (5, 20, 50)[pair % 3] + found[100:]))]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    parted = sum(r.doc_id != r.component_id + 1 for r in got if r.doc_id % 2)
+    assert len(got) == len(rows) and parted == 0, parted
+
+
 # Language model
 
 

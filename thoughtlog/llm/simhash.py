@@ -179,7 +179,8 @@ def _keyed(words: int):
         for batch in batches:
             for part in chunks.batched(iter([batch]), "text", _SLICE):
                 texts = chunks.encoded(part.column("text"))
-                flat, counts = _flat([shingle_hashes(t, words) or [0] for t in texts])
+                # distinct ones, as verification takes them: a repeated passage must not part two texts
+                flat, counts = _flat([list(set(shingle_hashes(t, words))) or [0] for t in texts])
                 keys = ball_keys(flat, counts).view(np.int64)
                 offsets = pa.array(np.arange(len(texts) + 1) * keys.shape[1], pa.int32())
                 columns = [part.column("doc_id"), pa.array([_node(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))]
