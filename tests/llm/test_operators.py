@@ -387,6 +387,13 @@ def test_repeats_inside_a_text_do_not_part_near_copies(spark):
     assert len(got) == len(rows) and parted == 0, parted
 
 
+def test_texts_without_an_id_link_others(spark):
+    found = _words(300, 240)
+    rows = [(i, " ".join(found[at : at + 204])) for i, at in ((1, 0), (None, 15), (3, 30))]
+    got = simhash.similar_groups(spark.createDataFrame(rows + rows[1:2], "doc_id bigint, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter({(1, 1): 1, (3, 1): 1, (None, 1): 2})
+
+
 # Language model
 
 

@@ -201,10 +201,14 @@ def _shingled(words: int):
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the nodes in pairs, from one document each."""
+    """(node, shingles) of the nodes in pairs, from one document each; from the rows without an
+    id for those that have none."""
     wanted = pairs.select(F.col("node")).union(pairs.select("pivot")).distinct()
-    known = nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("doc_id"))
-    sets = docs.join(known, "doc_id", "left_semi").mapInArrow(_shingled(words), "node bigint, shingles array<bigint>")
+    known = nodes.join(wanted, "node", "left_semi")
+    schema = "node bigint, shingles array<bigint>"
+    sets = docs.join(known.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingled(words), schema)
+    unnamed = docs.where("doc_id IS NULL").mapInArrow(_shingled(words), schema)
+    sets = sets.union(unnamed.join(known.where("least IS NULL").select("node"), "node", "left_semi"))
     return sets.dropDuplicates(["node"])
 
 
@@ -257,7 +261,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
     marked = source.mapInArrow(_keyed(words), "doc_id bigint, node bigint, keys array<bigint>")
     marked = tables.store(marked, "keys", compression="zstd")
     nodes = tables.store(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    keyed = marked.where("doc_id IS NOT NULL").join(nodes, (marked.node == nodes.node) & (F.col("doc_id") == F.col("least")), "left_semi")
+    keyed = marked.select("node", "keys").dropDuplicates(["node"])
     rows = keyed.select("node", F.explode("keys").alias("key"))
     pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top")
     met = tables.store(rows.join(pivots.select("key", "pivot"), "key").where("node > pivot"), "met")
