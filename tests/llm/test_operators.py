@@ -162,6 +162,30 @@ def test_random_words_are_found_and_structured_ones_are_not(spark, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_random_words_of_every_encoding_are_found(spark):
+    import base64
+    import string
+    import uuid
+
+    r = np.random.default_rng(6)
+    draw = lambda letters, n: "".join(r.choice(list(letters), n))
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    kinds = {
+        "upper hex": lambda: draw(digits + "ABCDEF", 40),
+        "upper 36": lambda: draw(up + digits, 40),
+        "padded base32": lambda: base64.b32encode(r.bytes(26)).decode(),
+        "prefixed": lambda: "sk-" + draw(low + digits, 40),
+        "uuid": lambda: str(uuid.UUID(bytes=r.bytes(16))),
+        "base64 without digits": lambda: draw(low + up + "+/", 40),
+    }
+    words = [(kind, make()) for kind, make in kinds.items() for _ in range(20)]
+    plain = ["=" * 40, "-" * 30, "A" + "=" * 30, "-=" * 20, "Ab-" * 12, "AB1" * 10, "ab-cd1-" * 6] * 8
+    rows = [(i, f"see {w} here") for i, (_, w) in enumerate(words + [("", w) for w in plain])]
+    got = {x.doc_id: x.extra for x in secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = Counter(kind for i, (kind, _) in enumerate(words) if got[i])
+    assert all(found[kind] >= 16 for kind in kinds) and not any(got[i] for i in range(len(words), len(rows))), found
+
+
 # Winnowing
 
 

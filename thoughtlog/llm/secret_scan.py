@@ -33,7 +33,9 @@ _BINS = 400  # of log10 p, in steps of 0.05
 #: Letters of each encoding in the order of their numbers.
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "upper_hex": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "upper36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
@@ -76,15 +78,22 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def _unsigned(word: Column) -> Column:
+    return F.translate(word, "+/_=-", "")
+
+
 def encoding(word: Column) -> Column:
-    """Smallest alphabet that holds the word, or null for words that no key would look like:
-    only letters of one case, or only digits."""
-    digit, lower, upper = word.rlike("[0-9]"), word.rlike("[a-z]"), word.rlike("[A-Z]")
+    """Smallest alphabet that holds the word without its signs, which part the groups of a key
+    or pad it; base64, where signs are letters, for every other word."""
+    rest = _unsigned(word)
+    digit, lower, upper = rest.rlike("[0-9]"), rest.rlike("[a-z]"), rest.rlike("[A-Z]")
     return (
-        F.when(word.rlike("^[0-9a-f]+$") & digit & lower, "hex")
-        .when(word.rlike("^[A-Z2-7]+$") & digit & upper, "base32")
-        .when(word.rlike("^[0-9a-z]+$") & digit & lower, "lower36")
-        .when(digit & lower & upper, "base64")
+        F.when(rest.rlike("^[0-9a-f]+$") & digit & lower, "hex")
+        .when(rest.rlike("^[0-9A-F]+$") & digit & upper, "upper_hex")
+        .when(rest.rlike("^[A-Z2-7]+$") & upper, "base32")
+        .when(rest.rlike("^[0-9A-Z]+$") & upper, "upper36")
+        .when(rest.rlike("^[0-9a-z]+$") & lower, "lower36")
+        .otherwise("base64")
     )
 
 
@@ -107,7 +116,8 @@ def _two_sided(z: Column) -> Column:
 
 def battery(candidates: DataFrame, word: str = "word", kind: str = "encoding") -> DataFrame:
     """Add p_uniform, p_runs, p_serial and p_value to rows with a word and its encoding."""
-    letters = F.translate(F.translate(F.regexp_replace(word, "=+$", ""), "-", "+"), "_", "/")
+    signed = F.translate(F.translate(F.regexp_replace(word, "=+$", ""), "-", "+"), "_", "/")
+    letters = F.when(F.col(kind) == "base64", signed).otherwise(_unsigned(F.col(word)))
     size = _by_encoding(F.col(kind), lambda a: F.lit(float(len(a))))
     alphabet = _by_encoding(F.col(kind), F.lit)
     rows = candidates.withColumn("_letters", letters).withColumn("_size", size).withColumn("_alphabet", alphabet)
@@ -129,7 +139,7 @@ def battery(candidates: DataFrame, word: str = "word", kind: str = "encoding") -
         F.zip_with(F.slice(sides, 2, F.size(sides)), sides, lambda a, b: F.coalesce((a != b).cast("int"), F.lit(0))), F.lit(0), lambda a, x: a + x
     ).cast("double")
     mean = 2 * high * (n - high) / n + 1
-    spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
+    spread = F.greatest((mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9))
     runs = F.when((high == 0) | (high == n), 0.0).otherwise(_two_sided((changes + 1 - mean) / F.sqrt(spread)))
     # Serial correlation of neighbours.
     center = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x) / n
@@ -175,7 +185,7 @@ def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY, tables: Scratch | None
     marked = tables.store(marked, "spans")  # the texts are scanned once
     free = F.filter("words", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     each = marked.where(F.size("words") > 0).select("doc_id", "text_key", F.explode(free).alias("span")).distinct()
-    each = each.withColumn("word", F.col("span.word")).withColumn("encoding", encoding(F.col("word"))).where("encoding IS NOT NULL")
+    each = each.withColumn("word", F.col("span.word")).withColumn("encoding", encoding(F.col("word")))
     tested = tables.store(battery(each).withColumn("length_class", length_class()), "candidates")
     limits = structured_limits(tested, rate)
     random = tested.join(F.broadcast(limits), "length_class", "left").where("limit IS NULL OR p_value > limit")
