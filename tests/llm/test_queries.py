@@ -54,3 +54,13 @@ def test_stages_keep_columns_and_odd_rows(spark, docs, tmp_path):
 def test_stages_take_empty_tables(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF_DIR).count() == 0
+
+
+def test_short_texts_keep_their_likeness(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefghijklmnop ") for _ in range(60 + 2 * i)) for i in range(30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [x.near_edited for x in QUERIES["op3_winnowing"](spark, str(tmp_path)).collect()]
+    assert len(found) == len(texts) and min(found) > 0.1, sorted(found)

@@ -64,7 +64,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited form and the next document."""
-    return winnowing.compare_edited(documents(spark, sf_dir))
+    return winnowing.compare_edited(documents(spark, sf_dir), winnowing.DENSE_GRAM, winnowing.DENSE_WINDOW)
 
 
 @query

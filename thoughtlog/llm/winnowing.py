@@ -20,6 +20,8 @@ from thoughtlog.llm import chunks
 from thoughtlog.llm.words import mix
 
 GRAM, WINDOW = 16, 64
+#: Short texts too keep several hashes: a shared passage of 15 code points shares one.
+DENSE_GRAM, DENSE_WINDOW = 8, 8
 _BLOCK = 1 << 20  # code points hashed at once
 _PLACE_BITS = 22
 _BASE = 0x9E3779B97F4A7C15
