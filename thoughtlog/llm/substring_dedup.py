@@ -10,8 +10,8 @@
    a node has one piece in and one out, the pieces follow each other without a branch: joins by
    pointer doubling give each piece its path and its place there.
 4. A span of a document is a piece together with its path; the source coordinates say which words
-   it covers, and it must be seen at two coordinates or be made of edges that are. The union of a
-   document's spans is removed.
+   it covers. The union of a document's spans is removed. What is removed follows from the repeated
+   edges alone, by one 64-bit hash each; paths and words are not compared.
 """
 
 from __future__ import annotations
