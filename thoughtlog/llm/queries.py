@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thoughtlog.llm import backoff, decontaminate, language_id, line_dedup, packing, secret_scan, simhash, substring_dedup, token_files, winnowing
+from thoughtlog.llm import backoff, decontaminate, language_id, line_dedup, packing, secret_scan, simhash, spelling, substring_dedup, token_files, winnowing
 from thoughtlog.sources.scratch import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model score of every document under the counts of all others."""
     return backoff.score(documents(spark, sf_dir))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word, after one letter of one run in 97 was left out."""
+    runs = spelling.runs(documents(spark, sf_dir))
+    h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("word")).cast("binary"))
+    changed = spelling.without_character(F.col("word"), F.pmod(F.col("h"), F.length("word")).cast("int"))
+    words = runs.withColumn("h", h).select(F.when(F.col("h") % 97 == 0, changed).otherwise(F.col("word")).alias("word"))
+    return spelling.group_variants(spelling.vocabulary(words))
