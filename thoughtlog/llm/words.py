@@ -12,6 +12,7 @@ import numpy as np
 _BASE, _SEQUENCE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that powers have inverses
 _VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS: dict[int, np.ndarray] = {}
+SLICE = 1 << 17  # values hashed at once
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -43,21 +44,36 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
+        have = np.full(max(n, 2 * SLICE), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 1 << 24:  # one very long text does not stay in memory
+        if len(have) == 2 * SLICE:  # those of a span longer than a slice do not stay in memory
             _POWERS[base] = have
     return have[:n]
 
 
-def _spans(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[start:end] for every span, independent of its place."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _powers(base, n), out=sums[1:])
-    inverse = _powers(pow(base, -1, 2**64), n + 1)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def _spans(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray, wide: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial hash of values[start:end] for every span, independent of its place.
+
+    Starts ascend. Running sums are made for one slice of starts at a time, so that the memory
+    beside the result is that of a slice and its longest span. ``wide`` turns small values into
+    those that are hashed.
+    """
+    out = np.empty(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    cuts = np.searchsorted(starts, np.arange(starts[0], starts[-1] + 1, SLICE))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(starts)]):
+        if a == b:
+            continue
+        low, high = int(starts[a]), int(ends[a:b].max())
+        part = values[low:high] if wide is None else wide[values[low:high]]
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(part * _powers(base, high - low), out=sums[1:])
+        first, last = starts[a:b] - low, ends[a:b] - low
+        inverse = _powers(pow(base, -1, 2**64), max(high - low, int(first[-1]) + 1))
+        out[a:b] = mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+    return out
 
 
 class Words:
@@ -69,13 +85,12 @@ class Words:
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         kept = table[self.data]
         kept[self.offsets[1:] - 1] = 0
-        inside = np.zeros(len(kept) + 2, np.int8)
-        inside[1:-1] = kept != 0
-        edges = np.diff(inside)
-        self.starts = np.flatnonzero(edges == 1)
-        self.ends = np.flatnonzero(edges == -1)
+        inside = np.zeros(len(kept) + 2, bool)
+        np.not_equal(kept, 0, out=inside[1:-1])
+        self.starts = np.flatnonzero(inside[1:] & ~inside[:-1])
+        self.ends = np.flatnonzero(inside[:-1] & ~inside[1:])
         base = _BASE + 2 * seed
-        self.hashes = _spans(_VALUES[kept], base, self.starts, self.ends)
+        self.hashes = _spans(kept, base, self.starts, self.ends, _VALUES)
         # first[i] is the number of words before text i
         self.first = np.searchsorted(self.starts, self.offsets)
 
