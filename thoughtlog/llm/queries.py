@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thoughtlog.llm import backoff, decontaminate, language_id, line_dedup, packing, secret_scan, simhash, spelling, substring_dedup, token_files, winnowing
+from thoughtlog.functions.binding import bind
+from thoughtlog.llm import backoff, decontaminate, language_id, line_dedup, packing, periodic_runs, secret_scan, simhash, spelling, substring_dedup, token_files, toxicity, winnowing
 from thoughtlog.sources.scratch import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +118,48 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = spelling.without_character(F.col("word"), F.pmod(F.col("h"), F.length("word")).cast("int"))
     words = runs.withColumn("h", h).select(F.when(F.col("h") % 97 == 0, changed).otherwise(F.col("word")).alias("word"))
     return spelling.group_variants(spelling.vocabulary(words))
+
+
+def _with_repeated_tail(doc_id: F.Column, text: F.Column) -> F.Column:
+    """Every tenth text with the words from a place on replaced by a repeated part of them."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def tail(words: F.Column) -> F.Column:
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (3 + g % 8))
+        repeated = bind(F.struct(a.alias("a"), p.alias("p")), lambda x: F.transform(words, lambda w, i: F.when(i < x.a, w).otherwise(F.get(words, (x.a + (i - x.a) % x.p).cast("int")))))
+        return F.when(n > 0, F.array_join(repeated, " ")).otherwise(text)
+
+    return F.when(text.isNotNull() & (h % 10 == 0), bind(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), tail)).otherwise(text)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of them with a repeated tail."""
+    docs = documents(spark, sf_dir)
+    edited = docs.select("doc_id", _with_repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.collapse_runs(edited, digest=True)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    rows = found.withColumns({"longest": longest, "listed": F.array_join(F.transform(listed, lambda x: F.concat(x, F.lit("\n"))), "")})
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.l")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("-1000 * longest.l DIV longest.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance that a whole text is toxic, learned from documents that are not held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
