@@ -459,6 +459,17 @@ ORACLES: dict[str, str] = {
         "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) "
         "AS day_no FROM conversations"
     ),
+    "number_pages_by_url": (
+        "SELECT page_id, place, row_number() OVER (ORDER BY place) AS no "
+        "FROM (SELECT page_id, concat_ws('#', url, page_id) AS place FROM pages)"
+    ),
+    "number_events_by_time": (
+        "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events"
+    ),
+    "number_orders_by_day": (
+        "SELECT o_orderkey, o_orderpriority, row_number() OVER "
+        "(PARTITION BY o_orderpriority ORDER BY o_orderdate, o_totalprice, o_orderkey) AS no FROM orders"
+    ),
     "assign_ids": f"""
         SELECT conv_id AS persona_no, turn + 1 AS day, conv_id * 60 + turn AS grid_no,
                'conv' || conv_id AS persona, {strip('text')} AS text,

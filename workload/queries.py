@@ -680,6 +680,28 @@ def day_number_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on.running_number(turns, "day_no", "turn", ["conv_id", "role"])
 
 
+@_query
+def number_pages_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running number over the whole table by a text key."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat_ws("#", "url", "page_id").alias("place"))
+    return on.running_number(pages, "no", "place")
+
+
+@_query
+def number_events_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user by their time, ties by id."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    return on.running_number(events, "no", ["ts", "event_id"], ["user_id"]).select("event_id", "user_id", "no")
+
+
+@_query
+def number_orders_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each priority by date and price, as many ranges as ten times the partitions."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    keys = ["o_orderdate", "o_totalprice", "o_orderkey"]
+    return on.running_number(orders, "no", keys, ["o_orderpriority"], ranges=80).select("o_orderkey", "o_orderpriority", "no")
+
+
 @_query
 def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the grid whose turn exists in the conversation; the others failed."""
