@@ -159,3 +159,39 @@ def test_uneven_column_scores_raise(spark):
     uneven = osc.ColumnScorer(lambda ids: F.when(ids[0] > 0, score_array([F.lit(1)])).otherwise(score_array([F.lit(1), F.lit(2)])))
     with pytest.raises(Exception, match="score vectors of an entry"):
         osc.classify(df, uneven, {0: "a", 1: "b"}).collect()
+
+
+@pytest.mark.parametrize("fault", ["doubled", "unknown", "late"])
+def test_windows_that_were_not_asked_for_raise(spark, fault):
+    df = spark.createDataFrame([(1, list(range(900))), (2, [5])], "entry_id bigint, ids array<int>")
+
+    def score(frames):
+        import pandas as pd
+
+        held = []
+        for frame in frames:
+            out = frame[["entry_id", "window_no"]].assign(logits=[[1.0, 2.0] for _ in range(len(frame))])
+            if fault == "doubled":
+                out = pd.concat([out, out])
+            elif fault == "unknown":
+                out["window_no"] += 1
+            held.append(out)
+        yield from held
+
+    run = osc.classify(df, osc.BatchScorer(score), {0: "a", 1: "b"})
+    if fault == "late":  # a scorer may hold windows back until the end
+        assert {r.entry_id: r.polarity for r in run.collect()} == {1: "B", 2: "B"}
+    else:
+        with pytest.raises(Exception, match="score vectors of an entry"):
+            run.collect()
+
+
+def test_longer_inputs_are_a_matter_of_the_scorer(spark):
+    df = spark.createDataFrame([(1, list(range(3000)))], "entry_id bigint, ids array<int>")
+    long = osc.ColumnScorer(fx.COLUMN_SCORER.score, input_limit=4096)
+    assert osc.classify_detailed(df, long, fx.LABELS, 2048, 48).first().n_windows == 2
+    batch = osc.BatchScorer(fx.batch_scorer().score, input_limit=4096)
+    assert osc.classify_detailed(df, batch, fx.LABELS, 4094, 0).first().n_windows == 1
+    for scorer in (fx.COLUMN_SCORER, fx.batch_scorer()):
+        with pytest.raises(ValueError, match="at most 512"):
+            osc.classify(df, scorer, fx.LABELS, 2048, 48)

@@ -12,27 +12,31 @@ INPUT_LIMIT = 512
 FRAME_IDS = 2
 
 
-def check_window(window: int, overlap: int) -> None:
+def check_window(window: int, overlap: int, input_limit: int = INPUT_LIMIT) -> None:
     """Refuse lengths the model cannot take and overlaps that would not advance or skip."""
-    if window < 1 or window + FRAME_IDS > INPUT_LIMIT:
+    if window < 1 or window + FRAME_IDS > input_limit:
         raise ValueError(
             f"window={window} must be at least 1 and, with {FRAME_IDS} frame ids, "
-            f"at most {INPUT_LIMIT}"
+            f"at most {input_limit}"
         )
     if not 0 <= overlap < window:
         raise ValueError(f"overlap={overlap} must be from 0 to below window={window}")
 
 
-def window_count(n_tokens: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column:
+def window_count(
+    n_tokens: Column, window: int = WINDOW, overlap: int = OVERLAP, input_limit: int = INPUT_LIMIT
+) -> Column:
     """How many windows a text of ``n_tokens`` ids gives; a short or empty text gives one."""
-    check_window(window, overlap)
+    check_window(window, overlap, input_limit)
     further = F.ceil((n_tokens - window) / F.lit(window - overlap))
     return (F.greatest(further, F.lit(0)) + 1).cast("int")
 
 
-def window_bounds(n_tokens: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column:
+def window_bounds(
+    n_tokens: Column, window: int = WINDOW, overlap: int = OVERLAP, input_limit: int = INPUT_LIMIT
+) -> Column:
     """Array of half-open ``(start_tok, end_tok)`` structs that cover the ids."""
-    last = window_count(n_tokens, window, overlap) - 1
+    last = window_count(n_tokens, window, overlap, input_limit) - 1
     stride = window - overlap
     return F.transform(
         F.sequence(F.lit(0), last),

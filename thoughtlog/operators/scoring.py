@@ -11,10 +11,12 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from thoughtlog.functions.binding import bind
 from thoughtlog.functions.scores import BAD_SCORES, argmax, confidence, label_of, mean_vector, softmax
 from thoughtlog.functions.windows import (
+    INPUT_LIMIT,
     OVERLAP,
     WINDOW,
     frame_window,
@@ -28,10 +30,14 @@ from thoughtlog.schemas import WINDOW_SCORE
 
 @dataclass(frozen=True)
 class ColumnScorer:
-    """Scores a window with a Spark expression from its ids to ``ARRAY<DOUBLE>``."""
+    """Scores a window with a Spark expression from its ids to ``ARRAY<DOUBLE>``.
+
+    ``input_limit`` is the longest input of the model, with the two ids of a frame.
+    """
 
     score: Callable[[Column], Column]
     frame: tuple[int, int] | None = None
+    input_limit: int = INPUT_LIMIT
 
 
 @dataclass(frozen=True)
@@ -40,12 +46,14 @@ class BatchScorer:
 
     It gets frames of ``entry_id, window_no, ids`` and gives frames of ``entry_id, window_no,
     logits``. It should load its model once, before the first batch. ``partitions`` spreads
-    the windows of long entries over that many tasks before scoring.
+    the windows of long entries over that many tasks before scoring. ``input_limit`` is the
+    longest input of the model, with the two ids of a frame.
     """
 
     score: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
     frame: tuple[int, int] | None = None
     partitions: int | None = None
+    input_limit: int = INPUT_LIMIT
 
 
 Scorer = ColumnScorer | BatchScorer
@@ -55,44 +63,79 @@ def _model_input(ids: Column, scorer: Scorer) -> Column:
     return ids if scorer.frame is None else frame_window(ids, *scorer.frame)
 
 
+def _accounted(score: Callable, fault: str) -> Callable:
+    """The scorer with the books kept beside its batches.
+
+    The number of windows that an entry has waits here for each window that the scorer was given,
+    and leaves with its scores. A window that does not come back, comes back twice or was never
+    given raises; as many numbers wait as the scorer holds windows back.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: dict[tuple, int] = {}
+
+        def keys(frame: pd.DataFrame) -> Iterator[tuple]:
+            for entry, window in zip(frame["entry_id"].tolist(), frame["window_no"].tolist()):
+                yield (None if entry != entry else entry, window)
+
+        def given() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for key, n in zip(keys(batch), batch["n_windows"].tolist()):
+                    if key in waiting:
+                        raise ValueError(fault)
+                    waiting[key] = n
+                yield batch.drop(columns="n_windows")
+
+        for scored in score(given()):
+            counts = [waiting.pop(key, None) for key in keys(scored)]
+            if None in counts:
+                raise ValueError(fault)
+            yield scored.assign(n_windows=counts)
+        if waiting:
+            raise ValueError(fault)
+
+    return run
+
+
 def score_windows(windows: DataFrame, scorer: Scorer) -> DataFrame:
-    """``entry_id, window_no, logits`` of a window table."""
-    framed = windows.select(
-        "entry_id", "window_no", _model_input(F.col("ids"), scorer).alias("ids")
-    )
+    """``entry_id, window_no, logits`` of a window table.
+
+    A table with ``n_windows``, the number of windows of each entry, keeps that column, and a
+    Python scorer must then give back every window once.
+    """
+    names = ["entry_id", "window_no"]
+    planned = ["n_windows"] if "n_windows" in windows.columns else []
+    framed = windows.select(*names, _model_input(F.col("ids"), scorer).alias("ids"), *planned)
     if isinstance(scorer, ColumnScorer):
-        return framed.select("entry_id", "window_no", scorer.score(F.col("ids")).alias("logits"))
+        return framed.select(*names, scorer.score(F.col("ids")).alias("logits"), *planned)
     if scorer.partitions is not None:
-        framed = framed.repartition(scorer.partitions, "entry_id", "window_no")
-    return framed.mapInPandas(scorer.score, WINDOW_SCORE)
+        framed = framed.repartition(scorer.partitions, *names)
+    if not planned:
+        return framed.mapInPandas(scorer.score, WINDOW_SCORE)
+    schema = StructType([*WINDOW_SCORE, *windows.select(*planned).schema])
+    return framed.mapInPandas(_accounted(scorer.score, BAD_SCORES), schema)
 
 
-def mean_logits(scores: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+def mean_logits(scores: DataFrame) -> DataFrame:
     """``entry_id, logits, n_windows``: unweighted mean over the windows of an entry.
 
     The vectors may have any length. Averages per entry and class are combined before the
-    shuffle. ``planned`` has ``entry_id, n_windows`` of every entry; with it, an entry that
-    misses a window raises. Unequal lengths and null scores always raise.
+    shuffle. If the scores carry ``n_windows``, an entry with more or fewer of them raises.
+    Unequal lengths and null scores always raise.
     """
-    each = scores.select("entry_id", F.posexplode_outer("logits").alias("place", "score"))
+    planned = F.col("n_windows") if "n_windows" in scores.columns else F.lit(None)
+    each = scores.select("entry_id", planned.cast("long").alias("planned"), F.posexplode_outer("logits").alias("place", "score"))
     means = each.groupBy("entry_id", F.coalesce("place", F.lit(-1)).alias("place")).agg(
-        F.avg("score").alias("mean"), F.count("*").alias("n"), F.count("score").alias("scored")
+        F.avg("score").alias("mean"),
+        F.count("*").alias("n"),
+        F.count("score").alias("scored"),
+        F.min("planned").alias("fewest"),
+        F.max("planned").alias("most"),
     )
-    if planned is not None:
-        wanted = F.col("n_windows").cast("long")
-        means = means.unionByName(
-            planned.select(
-                "entry_id",
-                F.lit(-2).alias("place"),
-                F.lit(None).cast("double").alias("mean"),
-                wanted.alias("n"),
-                wanted.alias("scored"),
-            )
-        )
     whole = means.groupBy("entry_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "mean")))).alias("m"),
-        F.min(F.least("n", "scored")).alias("least"),
-        F.max("n").alias("most"),
+        F.min(F.least("n", "scored", "fewest")).alias("least"),
+        F.max(F.greatest("n", "most")).alias("most"),
     )
     sound = (F.col("least") == F.col("most")) & (F.size("m") > 0)
     logits = F.transform("m", lambda x: x["mean"])
@@ -113,7 +156,7 @@ def mean_logits_column(
 ) -> Column:
     """Mean window score of one entry as an expression, with no rows exchanged."""
     vectors = F.transform(
-        window_bounds(F.size(ids), window, overlap),
+        window_bounds(F.size(ids), window, overlap, scorer.input_limit),
         lambda bounds: scorer.score(_model_input(window_slice(ids, bounds), scorer)),
     )
     return mean_vector(vectors)
@@ -143,19 +186,18 @@ def entry_logits(
     overlap: int = OVERLAP,
 ) -> DataFrame:
     """``entry_id, logits, n_windows`` from ``entry_id, ids``."""
-    if isinstance(scorer, BatchScorer):
-        scores = score_windows(token_windows(entries, window, overlap), scorer)
-        size = F.size(F.coalesce(F.col("ids"), F.array().cast("array<int>")))
-        n_windows = window_count(size, window, overlap).alias("n_windows")
-        return mean_logits(scores, entries.select("entry_id", n_windows))
     ids = F.coalesce(F.col("ids"), F.array().cast("array<int>"))
+    if isinstance(scorer, BatchScorer):
+        # one pass over the entries: each window knows how many there are of its entry
+        windows = token_windows(entries, window, overlap, scorer.input_limit, counted=True)
+        return mean_logits(score_windows(windows, scorer))
     logits = bind(
         ids, lambda known: mean_logits_column(known, scorer, window, overlap)
     )
     return entries.select(
         "entry_id",
         logits.alias("logits"),
-        window_count(F.size(ids), window, overlap).alias("n_windows"),
+        window_count(F.size(ids), window, overlap, scorer.input_limit).alias("n_windows"),
     )
 
 
