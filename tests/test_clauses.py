@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from dataclasses import replace
 
 from thoughtlog.operators import clauses as oc
@@ -129,3 +130,32 @@ def test_cycle_and_self_head_stop(spark):
 def test_no_seeds(spark, make_tokens):
     tokens = make_tokens({1: ["a/a/X/dep/0"]})
     assert oc.clauses(tokens).count() == 0
+
+
+def test_long_sentence_with_many_seeds(spark):
+    """5,000 words, 1,000 of them seeds, in a tree that is deep on one side and wide on the other."""
+    rng = random.Random(4)
+    n = 5000
+    heads: list[int | None] = [None, *range(1499)]
+    heads += [rng.randrange(0, i) if i % 3 else 1200 for i in range(1500, n)]
+    tokens = spark.createDataFrame(tree_rows(1, 1, 1, heads), TOKEN)
+    wanted = [5 * i for i in range(1000)]
+    seeds = spark.createDataFrame([(1, 1, s + 1) for s in wanted], "entry_id bigint, sent_no int, seed int")
+    started = time.monotonic()
+    got = {r.seed: r.subtree for r in oc.subtree_text(tokens, seeds).collect()}
+    assert time.monotonic() - started < 60
+    for s in (0, 5, 1000, 1200, 1205, 4995):
+        assert got[s + 1] == " ".join(f"w{t + 1}" for t in sorted(below(heads, s)))
+    assert len(got) == 1000
+
+
+def test_intervals_hold_all_at_or_below():
+    rng = random.Random(11)
+    for _ in range(200):
+        n = rng.randint(1, 30)
+        up = [rng.randint(-1, n - 1) for _ in range(n)]  # cycles, self heads and forests
+        order, first, last = oc.preorder_of(up)
+        assert sorted(order) == list(range(n))
+        heads = [None if u < 0 or u == i else u for i, u in enumerate(up)]
+        for i in range(n):
+            assert set(order[first[i] : last[i]]) == below(heads, i)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from thoughtlog.functions.binding import bind
 from thoughtlog.functions.text import capitalize, min_words, strip
+from thoughtlog.schemas import FINDINGS
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
 
 # Parts of speech that count as verbs, and word limits per kind of clause.
@@ -16,9 +19,6 @@ VERBS = ("VERB", "AUX")
 THOUGHT_WORDS = 2
 REACTION_WORDS = 1
 
-#: Findings of one sentence.
-FINDINGS = "array<struct<kind:string,ord:bigint,value:string>>"
-
 _SENTENCE = ["entry_id", "sent_no"]
 
 
@@ -89,68 +89,95 @@ def parents(words: Column) -> Column:
     return F.transform(words, lambda word: place(word["head"]))
 
 
-def reached_seeds(words: Column, is_seed: Column) -> Column:
-    """For each word the array indexes of the seeds at or above it, each once.
+def preorder_of(up: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Order, first and last of a forest given by the parent of each node, -1 for none.
 
-    Pointers are doubled inside the row: after k rounds a word knows its ancestor 2^k levels up
-    and all seeds at fewer levels. The rounds grow with the logarithm of the sentence, so cycles
-    in bad input end too.
+    ``order`` lists the nodes so that all at or below node i are ``order[first[i]:last[i]]``. A
+    node that is its own parent has none. Nodes on a cycle of bad input are all below one another.
+    Linear in the number of nodes.
     """
-
-    def climb(up: Column) -> Column:
-        none = F.array().cast("array<int>")
-        first = F.transform(is_seed, lambda seed, i: F.when(seed, F.array(i)).otherwise(none))
-        rounds = F.ceil(F.log2(F.size(words).cast("double"))).cast("int") + 1
-
-        def double(state: Column, _: Column) -> Column:
-            above, found = state["up"], state["found"]
-            seeds = F.transform(
-                above,
-                lambda u, i: F.when(u < 0, found[i]).otherwise(F.array_union(found[i], found[u])),
-            )
-            further = F.transform(above, lambda u: F.when(u < 0, F.lit(-1)).otherwise(above[u]))
-            return F.struct(further.alias("up"), seeds.alias("found"))
-
-        start = F.struct(up.alias("up"), first.alias("found"))
-        steps = F.sequence(F.lit(1), rounds)
-        return F.aggregate(steps, start, double, lambda state: state["found"])
-
-    is_root = lambda i: words[i]["head"] == words[i]["tok_no"]
-    up = F.transform(parents(words), lambda u, i: F.when(is_root(i), F.lit(-1)).otherwise(u))
-    return bind(up, climb)
-
-
-def _below(words: Column, found: Column, seed: Column) -> Column:
-    """Words at or below the seed with this array index, in text order."""
-    return F.filter(words, lambda _, i: F.array_contains(found[i], seed))
-
-
-def subtree_of(words: Column, found: Column, seed: Column) -> Column:
-    """Text of the words at or below a seed, stripped."""
-    return sentence_text(_below(words, found, seed))
+    n = len(up)
+    below: list[list[int]] = [[] for _ in range(n)]
+    roots = []
+    for i, u in enumerate(up):
+        if u < 0 or u == i:
+            roots.append(i)
+        else:
+            below[u].append(i)
+    order: list[int] = []
+    first, size = [-1] * n, [1] * n
+
+    def walk(root: int) -> int:
+        begin, waiting = len(order), [root]
+        while waiting:
+            node = waiting.pop()
+            if first[node] < 0:
+                first[node] = len(order)
+                order.append(node)
+                waiting.extend(below[node])
+        for node in reversed(order[begin + 1 :]):
+            size[up[node]] += size[node]
+        return begin
+
+    for root in roots:
+        walk(root)
+    for start in range(n):
+        if first[start] >= 0:
+            continue
+        seen, node = set(), start
+        while node not in seen:
+            seen.add(node)
+            node = up[node]
+        cycle = [node]
+        while up[cycle[-1]] != node:
+            cycle.append(up[cycle[-1]])
+        begin = walk(node)
+        for i in cycle:
+            first[i], size[i] = begin, len(order) - begin
+    return order, first, [a + k for a, k in zip(first, size)]
+
+
+_NODES = ArrayType(IntegerType())
+
+
+@F.pandas_udf(StructType([StructField(name, _NODES) for name in ("order", "first", "last")]))
+def preorder(up: pd.Series) -> pd.DataFrame:
+    """Intervals of :func:`preorder_of` for an array of parents; null gives nulls."""
+    trees = [(None, None, None) if u is None else preorder_of(list(u)) for u in up]
+    return pd.DataFrame(trees, columns=["order", "first", "last"])
+
+
+def places_below(tree: Column, i: Column) -> Column:
+    """Array indexes of the words at or below the one with this index, in text order."""
+    first = tree["first"][i]
+    return F.array_sort(F.slice(tree["order"], first + 1, tree["last"][i] - first))
+
+
+def subtree_of(words: Column, tree: Column, i: Column) -> Column:
+    """Text of the words at or below the one with this index, stripped."""
+    pieces = F.transform(places_below(tree, i), lambda k: words[k]["piece"])
+    return strip(F.array_join(pieces, ""))
 
 
 def _seeded(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Sentence rows that hold given seeds, with ``found`` and the ``seeds``' array indexes."""
+    """Sentence rows that hold given seeds, with their ``tree`` and the ``seeds``' array indexes."""
     wanted = seeds.groupBy(*_SENTENCE).agg(F.collect_set("seed").alias("seed_toks"))
     rows = sentence_rows(tokens).join(wanted, _SENTENCE)
-    flags = F.transform("words", lambda w: F.array_contains("seed_toks", w["tok_no"]))
-    rows = rows.withColumn("found", bind(flags, lambda known: reached_seeds(F.col("words"), known)))
     places = F.filter(
         F.transform("words", lambda w, i: F.when(F.array_contains("seed_toks", w["tok_no"]), i)),
         lambda i: i.isNotNull(),
     )
-    return rows.withColumn("seed_places", places)
+    return rows.withColumn("tree", preorder(parents(F.col("words")))).withColumn("seed_places", places)
 
 
 def subtree_members(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
     """``entry_id, sent_no, seed, tok_no``: every token at or below each seed, once.
 
-    Trees are climbed inside the sentence row (:func:`reached_seeds`); ``seeds`` may be any
-    table of ``entry_id, sent_no, seed``.
+    The words of a sentence are put in an order in which every subtree is one interval
+    (:func:`preorder_of`); ``seeds`` may be any table of ``entry_id, sent_no, seed``.
     """
-    rows = _seeded(tokens, seeds).select(*_SENTENCE, "words", F.posexplode("found").alias("i", "up"))
-    pairs = rows.select(*_SENTENCE, "words", "i", F.explode("up").alias("s"))
+    rows = _seeded(tokens, seeds).select(*_SENTENCE, "words", "tree", F.explode("seed_places").alias("s"))
+    pairs = rows.select(*_SENTENCE, "words", "s", F.explode(places_below(F.col("tree"), F.col("s"))).alias("i"))
     return pairs.select(
         *_SENTENCE,
         F.col("words")[F.col("s")]["tok_no"].alias("seed"),
@@ -161,10 +188,10 @@ def subtree_members(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
 def subtree_text(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
     """``entry_id, sent_no, seed, subtree``: own words and spaces of the tokens at or below
     each seed, in text order, stripped."""
-    words, found = F.col("words"), F.col("found")
+    words, tree = F.col("words"), F.col("tree")
     texts = F.transform(
         "seed_places",
-        lambda s: F.struct(words[s]["tok_no"].alias("seed"), subtree_of(words, found, s).alias("subtree")),
+        lambda s: F.struct(words[s]["tok_no"].alias("seed"), subtree_of(words, tree, s).alias("subtree")),
     )
     return _seeded(tokens, seeds).select(*_SENTENCE, F.inline(texts))
 
@@ -183,49 +210,52 @@ def clause_tags(lexicon: Lexicon) -> dict[str, Column]:
     }
 
 
-def clause_findings_of(words: Column, kinds: Sequence[str] = ("thought", "reaction")) -> Column:
-    """Array of ``(kind, ord, value)``: the clauses of one tagged sentence row."""
+def with_trees(rows: DataFrame, kinds: Sequence[str] = ("thought", "reaction")) -> DataFrame:
+    """Tagged sentence rows with ``up``, the parent of each word, ``clause``, the kind of clause
+    that hangs on a listed verb at each word, and ``tree``, the intervals of the subtrees.
+
+    A sentence without a listed verb has nulls, one without a clause no tree.
+    """
+    words, up = F.col("words"), F.col("up")
 
-    def kind_of(up: Column, i: Column) -> Column:
+    def kind_of(i: Column) -> Column:
         verb = F.when(up[i] >= 0, words[up[i]]["verb"])
         fits = F.when(verb == "thought", words[i]["for_thought"]).when(
             verb == "reaction", words[i]["for_reaction"]
         )
         return F.when(fits & verb.isin(*kinds), verb)
 
-    def of_sentence(up: Column) -> Column:
-        return bind(F.transform(words, lambda _, i: kind_of(up, i)), lambda kind: texts(up, kind))
-
-    def texts(up: Column, kind: Column) -> Column:
-        seeds = F.transform(kind, lambda k: k.isNotNull())
-        places = F.filter(F.transform(kind, lambda k, i: F.when(k.isNotNull(), i)), lambda i: i.isNotNull())
-
-        def clause(found: Column, s: Column) -> Column:
-            verb = words[up[s]]
-            order = F.shiftleft(verb["tok_no"].cast("long"), 32) + words[s]["tok_no"]
-
-            def told(subtree: Column) -> Column:
-                thought = kind[s] == "thought"
-                long_enough = F.when(thought, min_words(subtree, THOUGHT_WORDS)).otherwise(
-                    min_words(subtree, REACTION_WORDS)
-                )
-                value = F.when(thought, subtree).otherwise(F.concat_ws(" ", verb["text"], subtree))
-                row = F.struct(
-                    kind[s].alias("kind"), order.alias("ord"), capitalize(value).alias("value")
-                )
-                return F.when(long_enough, row)
-
-            return bind(subtree_of(words, found, s), told)
-
-        rows = bind(
-            reached_seeds(words, seeds),
-            lambda found: F.transform(places, lambda s: clause(found, s)),
-        )
-        known = F.filter(rows, lambda row: row.isNotNull())
-        return F.when(F.exists(seeds, lambda x: x), known).otherwise(F.array().cast(FINDINGS))
-
     verbs = F.exists(words, lambda w: w["verb"].isNotNull())
-    return F.when(verbs, bind(parents(words), of_sentence)).otherwise(F.array().cast(FINDINGS))
+    rows = rows.withColumn("up", F.when(verbs, parents(words)))
+    rows = rows.withColumn("clause", F.when(up.isNotNull(), F.transform(words, lambda _, i: kind_of(i))))
+    some = F.exists("clause", lambda k: k.isNotNull())
+    return rows.withColumn("tree", preorder(F.when(some, up)))
+
+
+def clause_findings() -> Column:
+    """Array of ``(kind, ord, value)``: the clauses of a row of :func:`with_trees`."""
+    words, up, kind, tree = (F.col(c) for c in ("words", "up", "clause", "tree"))
+
+    def clause(s: Column) -> Column:
+        verb = words[up[s]]
+        order = F.shiftleft(verb["tok_no"].cast("long"), 32) + words[s]["tok_no"]
+
+        def told(subtree: Column) -> Column:
+            thought = kind[s] == "thought"
+            long_enough = F.when(thought, min_words(subtree, THOUGHT_WORDS)).otherwise(
+                min_words(subtree, REACTION_WORDS)
+            )
+            value = F.when(thought, subtree).otherwise(F.concat_ws(" ", verb["text"], subtree))
+            row = F.struct(
+                kind[s].alias("kind"), order.alias("ord"), capitalize(value).alias("value")
+            )
+            return F.when(long_enough, row)
+
+        return bind(subtree_of(words, tree, s), told)
+
+    places = F.filter(F.transform(kind, lambda k, i: F.when(k.isNotNull(), i)), lambda i: i.isNotNull())
+    known = F.filter(F.transform(places, clause), lambda row: row.isNotNull())
+    return F.when(tree["order"].isNotNull(), known).otherwise(F.array().cast(FINDINGS))
 
 
 def clauses(
@@ -237,5 +267,5 @@ def clauses(
     which does not count as a word of it.
     """
     kinds = ("thought", "reaction") if kind is None else (kind,)
-    rows = sentence_rows(tokens, **clause_tags(lexicon))
-    return rows.select("entry_id", F.inline(clause_findings_of(F.col("words"), kinds)))
+    rows = with_trees(sentence_rows(tokens, **clause_tags(lexicon)), kinds)
+    return rows.select("entry_id", F.inline(clause_findings()))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thoughtlog.functions.binding import bind
 from thoughtlog.functions.text import default_when_empty
-from thoughtlog.schemas import NO_EMOTION
+from thoughtlog.schemas import FINDINGS, NO_EMOTION
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
 from thoughtlog.sources.sizes import literal_table
 
@@ -42,37 +45,89 @@ def lemmatised(
     return replace(lexicon, emotion_phrases=categories)
 
 
-def match_phrases(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
-    """``entry_id, phrase_no, category, start_tok, end_tok`` of every phrase occurrence.
-
-    Each token that equals the k-th lemma of a phrase votes for the start k tokens before
-    it, and a start with a vote for every place of the phrase is a match. Only tokens that
-    occur in the lexicon leave their partition, votes are counted before the shuffle, and no
-    entry is ever put together in one row. Case is exact, overlaps are all reported, and a
-    match may cross a sentence border. ``end_tok`` is the token after the last one.
-    """
-    places = [
+def phrase_places(lexicon: Lexicon) -> list[tuple[int, str, int, int, str]]:
+    """(phrase_no, category, n_lemmas, place, lemma) of every place of every phrase."""
+    return [
         (phrase_no, category, len(lemmas), place, lemma)
         for phrase_no, category, lemmas in lexicon.phrases()
         for place, lemma in enumerate(lemmas)
     ]
-    table = literal_table(
-        tokens.sparkSession,
-        places,
-        phrase_no=pa.int32(),
-        category=pa.string(),
-        n_lemmas=pa.int32(),
-        place=pa.int32(),
-        lemma=pa.string(),
-    )
-    votes = tokens.select("entry_id", "tok_no", "lemma").join(table, "lemma")
-    counted = votes.groupBy(
-        "entry_id",
-        "phrase_no",
-        "category",
-        "n_lemmas",
-        (F.col("tok_no") - F.col("place")).alias("start_tok"),
-    ).agg(F.count("*").alias("votes"))
+
+
+def vote_in_place(places: list[tuple[int, str, int, int, str]]) -> Callable:
+    """Votes for phrase starts among the neighbours that lie together in a batch of tokens.
+
+    A stretch is a run of rows of one entry with token numbers that follow one another. Every
+    token that equals a lemma of a phrase votes for the start of the phrase. A start stays if
+    every place of its phrase that falls into the stretch has voted: a whole phrase, or one that
+    the ends of the stretch cut off. A word that starts or continues nothing is gone.
+    """
+    lemmas = sorted({lemma for *_, lemma in places})
+    number = {lemma: i for i, lemma in enumerate(lemmas)}
+    order = sorted(range(len(places)), key=lambda i: number[places[i][4]])
+    which = np.array([number[places[i][4]] for i in order], np.int64)
+    phrase, n_lemmas, place = (np.array([places[i][k] for i in order], np.int64) for k in (0, 2, 3))
+    category = {p[0]: p[1] for p in places}
+    first = np.searchsorted(which, np.arange(len(lemmas) + 1))
+    names = ["entry_id", "phrase_no", "category", "n_lemmas", "start_tok", "votes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(lemmas, pa.string())
+        for batch in batches:
+            found = pc.index_in(batch.column("lemma").cast(pa.string()), wanted)
+            at = np.flatnonzero(found.is_valid().to_numpy(False))
+            if not len(at):
+                continue
+            lemma = found.drop_null().to_numpy().astype(np.int64)
+            entry = pc.dictionary_encode(batch.column("entry_id"), null_encoding="encode").indices.to_numpy(False)
+            tok = batch.column("tok_no").fill_null(-(2**30)).to_numpy(False).astype(np.int64)
+            breaks = np.concatenate([[True], (entry[1:] != entry[:-1]) | (tok[1:] != tok[:-1] + 1)])
+            stretch = np.cumsum(breaks) - 1
+            begins = np.flatnonzero(breaks)
+            ends = np.concatenate([begins[1:], [len(tok)]]) - 1
+            times = first[lemma + 1] - first[lemma]
+            row = np.repeat(at, times)
+            entry_of = np.repeat(first[lemma] - (np.cumsum(times) - times), times) + np.arange(len(row))
+            start = tok[row] - place[entry_of]
+            sort = np.lexsort((start, phrase[entry_of], stretch[row]))
+            row, entry_of, start = row[sort], entry_of[sort], start[sort]
+            keys = np.stack([stretch[row], phrase[entry_of], start])
+            head = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+            votes = np.diff(np.concatenate([head, [len(row)]]))
+            row, entry_of, start = row[head], entry_of[head], start[head]
+            low, high = tok[begins[stretch[row]]], tok[ends[stretch[row]]]
+            inside = np.minimum(high + 1, start + n_lemmas[entry_of]) - np.maximum(low, start)
+            kept = votes == inside
+            numbers = phrase[entry_of][kept]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("entry_id").take(pa.array(row[kept])),
+                    pa.array(numbers, pa.int32()),
+                    pa.array([category[x] for x in numbers.tolist()], pa.string()),
+                    pa.array(n_lemmas[entry_of][kept], pa.int32()),
+                    pa.array(start[kept], pa.int32()),
+                    pa.array(votes[kept], pa.int64()),
+                ],
+                names,
+            )
+
+    return run
+
+
+def match_phrases(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
+    """``entry_id, phrase_no, category, start_tok, end_tok`` of every phrase occurrence.
+
+    Tokens are looked at where they lie, beside their neighbours there (:func:`vote_in_place`).
+    Only starts of phrases that are whole, or cut off by the end of what lies together, leave
+    their task; the votes for cut ones meet in a shuffle, so the matches do not depend on how the
+    table is ordered or split. No entry is ever put together in one row. Case is exact, overlaps
+    are all reported, and a match may cross a sentence border. ``end_tok`` is the token after
+    the last one.
+    """
+    kind = tokens.schema["entry_id"].dataType.simpleString()
+    schema = f"entry_id {kind}, phrase_no int, category string, n_lemmas int, start_tok int, votes bigint"
+    votes = tokens.select("entry_id", "tok_no", "lemma").mapInArrow(vote_in_place(phrase_places(lexicon)), schema)
+    counted = votes.groupBy("entry_id", "phrase_no", "category", "n_lemmas", "start_tok").agg(F.sum("votes").alias("votes"))
     return counted.where(F.col("votes") == F.col("n_lemmas")).select(
         "entry_id",
         "phrase_no",
@@ -82,6 +137,64 @@ def match_phrases(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame
     )
 
 
+def tag_phrases(tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Add ``places``: what the token's lemma is in phrases, ``(label, place, n_lemmas)`` each, or
+    null. A label holds the phrase's length, number and category."""
+    by_lemma: dict[str, list[dict]] = {}
+    for phrase_no, category, n_lemmas, place, lemma in phrase_places(lexicon):
+        label = f"{n_lemmas}/{phrase_no}/{category}"
+        by_lemma.setdefault(lemma, []).append({"label": label, "place": place, "n_lemmas": n_lemmas})
+    kind = pa.list_(pa.struct([("label", pa.string()), ("place", pa.int32()), ("n_lemmas", pa.int32())]))
+    table = literal_table(tokens.sparkSession, list(by_lemma.items()), _lemma=pa.string(), places=kind)
+    return tokens.join(table, F.col("lemma") == F.col("_lemma"), "left").drop("_lemma")
+
+
+def phrase_findings_of(words: Column) -> Column:
+    """Array of ``(kind, ord, value)`` for a sentence row whose words have ``places``.
+
+    A phrase inside the sentence is an ``emotion`` with its category. For one that the sentence's
+    borders cut off there is a ``part`` with the label for each of its tokens here; all parts of a
+    label and a start are as many as the phrase has lemmas if it is there.
+    """
+
+    def finding(kind: str, order: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), order.cast("long").alias("ord"), value.alias("value"))
+
+    def of_votes(votes: Column) -> Column:
+        def told(vote: Column) -> Column:
+            n = F.size(F.filter(votes, lambda v: v == vote))
+            inside = F.size(F.filter(words, lambda w: (w["tok_no"] >= vote["start"]) & (w["tok_no"] < vote["start"] + vote["n"])))
+            category = F.split(vote["label"], "/", 3)[2]
+            whole = F.array(finding("emotion", vote["start"], category))
+            part = F.array_repeat(finding("part", vote["start"], vote["label"]), n)
+            return F.when(n == vote["n"], whole).when(n == inside, part).otherwise(F.array().cast(FINDINGS))
+
+        return F.flatten(F.transform(F.array_distinct(votes), told))
+
+    tagged = F.filter(words, lambda w: w["places"].isNotNull())
+    votes = F.flatten(
+        F.transform(
+            tagged,
+            lambda w: F.transform(
+                w["places"],
+                lambda p: F.struct(p["label"].alias("label"), (w["tok_no"] - p["place"]).alias("start"), p["n_lemmas"].alias("n")),
+            ),
+        )
+    )
+    some = F.exists(words, lambda w: w["places"].isNotNull())
+    return F.when(some, bind(votes, of_votes)).otherwise(F.array().cast(FINDINGS))
+
+
+def joined_parts(parts: Column) -> Column:
+    """Categories of the phrases that an entry's ``(ord, value)`` parts put together."""
+
+    def whole(part: Column) -> Column:
+        n = F.size(F.filter(parts, lambda p: p == part))
+        return n == F.split(part["value"], "/", 3)[0].cast("int")
+
+    return F.transform(F.filter(F.array_distinct(parts), whole), lambda p: F.split(p["value"], "/", 3)[2])
+
+
 def emotion_set(matches: DataFrame) -> DataFrame:
     """``entry_id, emotions``: distinct categories of an entry, sorted and joined.
 

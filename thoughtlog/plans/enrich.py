@@ -7,21 +7,22 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thoughtlog.functions.binding import bind
 from thoughtlog.functions.text import default_when_empty, time_anchor
 from thoughtlog.operators.clauses import (
-    FINDINGS,
-    clause_findings_of,
+    clause_findings,
     clause_tags,
     sentence_rows,
     sentence_text,
+    with_trees,
 )
 from thoughtlog.operators.keywords import is_keyword
 from thoughtlog.operators.membership import member
-from thoughtlog.operators.phrases import match_phrases
+from thoughtlog.operators.phrases import joined_parts, phrase_findings_of, tag_phrases
 from thoughtlog.operators.records import FIELDS, field_text, gather
 from thoughtlog.operators.scoring import ColumnScorer, Scorer, classify, polarity_column
 from thoughtlog.operators.tokens import PERSON_PLACE
-from thoughtlog.schemas import NO_EMOTION, PROCESSED
+from thoughtlog.schemas import FINDINGS, NO_EMOTION, PROCESSED
 from thoughtlog.sources.lexicons import PORTUGUESE, Lexicon
 
 RECORD_FIELDS = (
@@ -42,6 +43,7 @@ def _tags(lexicon: Lexicon) -> dict[str, Column]:
         "named": F.coalesce(F.col("ent_label").isin(*PERSON_PLACE), F.lit(False)),
         "ent_id": F.col("ent_id"),
         "keyword": F.when(is_keyword(lexicon), F.lower("lemma")),
+        "places": F.col("places"),
     }
 
 
@@ -57,7 +59,7 @@ def _of_sentence(words: Column, keywords: bool) -> Column:
     triggers = F.transform(entities, lambda part: _finding("trigger", part[0]["tok_no"], sentence_text(part)))
     told = F.exists(words, lambda w: w["noun"] | w["named"])
     situation = F.when(told, F.array(_finding("situation", F.col("sent_no"), sentence_text(words)))).otherwise(empty)
-    parts = [situation, triggers, clause_findings_of(words)]
+    parts = [situation, triggers, clause_findings(), phrase_findings_of(words)]
     if keywords:
         known = F.filter(words, lambda w: w["keyword"].isNotNull())
         parts.append(F.transform(known, lambda w: _finding("keyword", w["tok_no"], w["keyword"])))
@@ -67,28 +69,24 @@ def _of_sentence(words: Column, keywords: bool) -> Column:
 def findings(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE, keywords: bool = False) -> DataFrame:
     """``entry_id, kind, ord, value``: everything the records are made of, one row each.
 
-    Situations, triggers, clauses and, if wanted, keywords come from one grouping of the tagged
-    tokens by sentence; emotions, whose phrases may cross sentences, from a second scan.
+    The tokens are read once and grouped by sentence once. Phrases may cross sentences: what a
+    sentence has of one that its borders cut off comes as ``part`` rows, which
+    :func:`gather_fields` puts together.
     """
-    rows = sentence_rows(tokens, **_tags(lexicon))
-    told = rows.select("entry_id", F.inline(_of_sentence(F.col("words"), keywords)))
-    emotions = match_phrases(tokens, lexicon).select(
-        "entry_id",
-        F.lit("emotion").alias("kind"),
-        F.col("start_tok").cast("long").alias("ord"),
-        F.col("category").alias("value"),
-    )
-    return told.unionByName(emotions)
+    rows = with_trees(sentence_rows(tag_phrases(tokens, lexicon), **_tags(lexicon)))
+    return rows.select("entry_id", F.inline(_of_sentence(F.col("words"), keywords)))
 
 
 def gather_fields(found: DataFrame) -> DataFrame:
     """One row per entry with an array per field; all kinds share one shuffle by entry."""
     emotion = F.when(F.col("kind") == "emotion", F.col("value"))
+    part = F.when(F.col("kind") == "part", F.struct("ord", "value"))
+    emotions = F.concat(F.collect_set(emotion), bind(F.collect_list(part), joined_parts))
     keyword = F.when(F.col("kind") == "keyword", F.struct("ord", "value"))
     arrays = [gather(kind).alias(name) for kind, (name, _, _) in FIELDS.items()]
     return found.groupBy("entry_id").agg(
         *arrays,
-        F.array_sort(F.collect_set(emotion)).alias("emotions"),
+        F.array_sort(F.array_distinct(emotions)).alias("emotions"),
         F.transform(F.array_sort(F.collect_list(keyword)), lambda p: p["value"]).alias(
             "keywords"
         ),
@@ -149,8 +147,7 @@ def enrich(
 ) -> DataFrame:
     """The processed table: entries with record fields, polarity and keywords.
 
-    ``ids`` gives the token ids of an entry from its columns. ``tokens`` is read twice and
-    should be a stored table. Findings of all kinds are shuffled by entry once and
+    ``ids`` gives the token ids of an entry from its columns. ``tokens`` is read once. Findings of all kinds are shuffled by entry once and
     meet the entries in one join. An expression scorer labels the entries where they lie.
     """
     found = findings(tokens, lexicon, keywords=True)

@@ -86,3 +86,6 @@ NO_TRIGGER = ""
 # Polarity classes in canonical order.
 CLASSES = ("NEGATIVE", "NEUTRAL", "POSITIVE")
 DEFAULT_LABEL = "NEUTRAL"
+
+#: What is found in one sentence: the kind of finding, its place, its text.
+FINDINGS = "array<struct<kind:string,ord:bigint,value:string>>"
