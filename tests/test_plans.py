@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from thoughtlog.operators import scoring as osc
+from thoughtlog.operators import timeline
 from thoughtlog.operators.clauses import clause_seeds, clauses, subtree_text
 from thoughtlog.operators.evaluation import attach_gold, persona_pair_counts
 from thoughtlog.operators.keywords import keyword_tokens, term_frequency, top_terms
-from thoughtlog.operators.numbering import assign_ids, day_number
-from thoughtlog.operators.phrases import match_phrases
+from thoughtlog.operators.numbering import assign_ids, running_number
+from thoughtlog.operators.phrases import match_phrases, phrase_places, vote_in_place
 from thoughtlog.operators.tokens import tokenize
-from thoughtlog.plans.enrich import enrich
+from thoughtlog.plans.enrich import enrich, extract_records
+from thoughtlog.plans.evaluate import evaluate, evaluation_summary
+from thoughtlog.plans.persona_views import persona_view_rows, persona_views
 from thoughtlog.schemas import PROCESSED
 from thoughtlog.sources import corpus, scratch
 from thoughtlog.sources.gold import gold_table
+from thoughtlog.sources.lexicons import PORTUGUESE
 from thoughtlog.testing import fixture_pack as fx
 from workload.queries import documents
 
@@ -89,10 +95,41 @@ def test_clause_seeds_filter_both_sides_at_the_scan(tokens):
     assert re.search(r"PushedFilters: \[.*In\(dep, \[", text)
 
 
-def test_lexicon_is_sent_and_votes_are_counted_before_the_shuffle(tokens):
+def test_words_that_start_no_phrase_are_not_shuffled(spark, tokens):
+    """Votes leave a task only for whole phrases and for those cut at the end of a stretch."""
     text = plan(match_phrases(tokens, fx.LEXICON))
-    assert "BroadcastHashJoin" in text
-    assert text.index("partial_count") > text.index("Exchange hashpartitioning")
+    assert text.index("partial_sum") > text.index("Exchange hashpartitioning")
+    places = phrase_places(fx.LEXICON)
+    longest = max(p[2] for p in places)
+    rows = tokens.select("entry_id", "tok_no", "lemma").sort("entry_id", "tok_no").toArrow()
+    votes = list(vote_in_place(places)(iter(rows.to_batches(max_chunksize=10_000))))
+    sent = sum(v.num_rows for v in votes)
+    single = sum(lemma in {p[4] for p in places} for lemma in rows.column("lemma").to_pylist())
+    matches = match_phrases(tokens, fx.LEXICON).count()
+    n_entries = tokens.select("entry_id").distinct().count()
+    assert sent <= matches + 2 * longest * len(fx.LEXICON.phrases()) * (n_entries + len(votes))
+    whole = sum((v.column("votes").to_numpy() == v.column("n_lemmas").to_numpy()).sum() for v in votes)
+    assert whole <= matches and single >= matches
+
+
+@pytest.mark.parametrize("split", ["sorted", "scattered", "one row each"])
+def test_phrases_do_not_depend_on_the_order_of_the_table(spark, split):
+    rng = random.Random(2)
+    lexicon = replace(PORTUGUESE, emotion_phrases={"a": [["no", "de", "no"], ["de"], ["x", "de"]], "b": [["no", "no"], ["de", "no", "x", "x"]]})
+    rows = []
+    for entry in (1, 2, None, 3):
+        rows += [(entry, 1 + t // 3, t + 1, rng.choice(["no", "de", "x", "y"])) for t in range(400) if t % 97]
+    expected = set()
+    for entry in (1, 2, None, 3):
+        lemma = {t: x for e, _, t, x in rows if e == entry}
+        for no, category, phrase in lexicon.phrases():
+            for t in lemma:
+                if all(lemma.get(t + k) == x for k, x in enumerate(phrase)):
+                    expected.add((entry, no, category, t, t + len(phrase)))
+    df = spark.createDataFrame(rows, "entry_id bigint, sent_no int, tok_no int, lemma string")
+    df = {"sorted": df.coalesce(1), "scattered": df.repartition(7), "one row each": df.repartition(64, "tok_no")}[split]
+    got = match_phrases(df, lexicon).collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
 
 
 def test_top_terms_are_limited_before_the_shuffle(stored):
@@ -101,14 +138,24 @@ def test_top_terms_are_limited_before_the_shuffle(stored):
     assert "ReadSchema: struct<persona:string,keywords:string>" in text
 
 
-def test_numbers_are_given_by_range_and_never_in_one_task(spark):
-    rows = documents(spark, SF_DIR)
-    text = plan(day_number(rows.select("entry_id", "persona")))
-    assert "SinglePartition" not in text
-    assert re.search(r"hashpartitioning\(persona#\d+, _range", text)
-    grid = rows.selectExpr("entry_id AS grid_no", "text")
-    windows = re.findall(r"Window \[row_number.*?\], \[(.*?)\]", plan(assign_ids(grid)))
-    assert windows and all("_range" in w for w in windows)
+@pytest.mark.parametrize("ranges", [8, 5000])
+def test_numbers_take_one_scan_and_one_exchange_of_the_rows(spark, ranges):
+    rows = documents(spark, SF_DIR).select("entry_id", "persona")
+    assert jobs(spark, lambda: running_number(rows, "n", "entry_id", ["persona"], ranges)) == 0
+    text = executed_plan(running_number(rows, "n", "entry_id", ["persona"], 8 if ranges == 8 else 64))
+    assert text.count("Scan parquet") == 1 and text.count("- Exchange rangepartitioning(persona") == 1
+    assert "ReusedExchange" in text and "CASE WHEN (entry_id" not in text
+    grid = rows.selectExpr("entry_id AS grid_no", "persona AS text")
+    assert jobs(spark, lambda: assign_ids(grid)) == 0
+    assert executed_plan(assign_ids(grid)).count("- Exchange rangepartitioning(grid_no") == 1
+
+
+def executed_plan(df) -> str:
+    """The adaptive plan after a run, its final part only."""
+    rows = df._jdf.queryExecution()
+    rows.executedPlan().execute().count()
+    text = rows.executedPlan().toString()
+    return text.split("== Initial Plan ==")[0]
 
 
 def jobs(spark, build) -> int:
@@ -128,10 +175,26 @@ def test_clauses_run_no_job_while_they_are_planned(spark, tokens):
     assert jobs(spark, lambda: enrich(entries, tokens, ids, fx.COLUMN_SCORER, fx.LABELS, fx.LEXICON)) == 0
 
 
-def test_enrich_reads_the_tokens_twice(spark, tokens):
+def test_records_read_the_tokens_once(spark, tokens):
     ids = fx.token_ids(F.col("text"))
-    text = plan(enrich(documents(spark, SF_DIR), tokens, ids, fx.COLUMN_SCORER, fx.LABELS, fx.LEXICON))
-    assert text.count("plan-tokens") == 2
+    entries = documents(spark, SF_DIR)
+    for df in (
+        enrich(entries, tokens, ids, fx.COLUMN_SCORER, fx.LABELS, fx.LEXICON),
+        enrich(entries, tokens, ids, fx.batch_scorer(), fx.LABELS, fx.LEXICON),
+        extract_records(entries, tokens, fx.LEXICON),
+    ):
+        assert plan(df).count("plan-tokens") == 1
+
+
+def test_python_scorer_reads_and_tokenizes_once(spark):
+    ids = documents(spark, SF_DIR).withColumn("ids", fx.token_ids(F.col("text")))
+    for df in (
+        osc.classify(ids.select("entry_id", "ids"), fx.batch_scorer(), fx.LABELS),
+        osc.classify_detailed(ids.select("entry_id", "ids"), fx.batch_scorer(), fx.LABELS),
+    ):
+        text = plan(df)
+        assert text.count("Scan parquet") == 1 and text.count("regexp_extract_all") == 1
+        assert text.count("Exchange") == 2
 
 
 def test_gold_and_lemmas_are_joined_without_a_probe(spark, stored, tmp_path):
@@ -149,3 +212,26 @@ def test_personas_are_counted_before_they_meet_the_gold(spark, stored):
     join = text.index("BroadcastHashJoin")
     assert "HashAggregate(keys=[persona" in text[join:]
     assert "LocalTableScan" in text
+
+
+def test_views_and_metrics_run_no_job_while_they_are_planned(spark, stored):
+    gold = gold_table(spark)
+    for build in (
+        lambda: evaluate(stored, gold),
+        lambda: evaluation_summary(stored, gold),
+        lambda: persona_views(stored),
+        lambda: persona_view_rows(stored),
+        lambda: timeline.record_for_day(stored, 3),
+    ):
+        assert jobs(spark, build) == 0
+    text = plan(evaluation_summary(stored, gold))
+    assert text.count("Scan parquet") == 1 and "Union" not in text
+
+
+def test_evaluation_tables_count_the_corpus_once_each(spark, tmp_path):
+    labels = ["POSITIVE", "NEGATIVE", "NEUTRAL"]
+    rows = [(i, f"Persona_{'ABCDE'[i % 5]}", *["t"] * 7, labels[i % 3], "k") for i in range(60)]
+    spark.createDataFrame(rows, PROCESSED).write.parquet(f"{tmp_path}/processed")
+    processed = corpus.read_processed(spark, f"{tmp_path}/processed")
+    for name, table in evaluate(processed, gold_table(spark)).items():
+        assert executed_plan(table).count("Scan parquet") == 1, name

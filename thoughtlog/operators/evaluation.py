@@ -131,7 +131,7 @@ def canonical_matrix(counts: DataFrame, canonical: Sequence[str] = CLASSES) -> D
     )
 
 
-def _ratio(part: Column, whole: Column) -> Column:
+def ratio(part: Column, whole: Column) -> Column:
     """Quotient as a double, 0 where the divisor is 0."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
@@ -140,7 +140,7 @@ def confusion_normalized(matrix: DataFrame) -> DataFrame:
     """Add ``share``, the part of the row total; a row without counts has shares of 0."""
     totals = matrix.groupBy("expected").agg(F.sum("n").alias("total"))
     return matrix.join(totals, "expected").select(
-        "expected", "predicted", "n", _ratio(F.col("n"), F.col("total")).alias("share")
+        "expected", "predicted", "n", ratio(F.col("n"), F.col("total")).alias("share")
     )
 
 
@@ -158,7 +158,7 @@ def matrix_cells(normalized: DataFrame) -> DataFrame:
 def accuracy(counts: DataFrame) -> DataFrame:
     """``accuracy``: the share of pairs with equal labels."""
     hits = F.sum(F.when(F.col("expected") == F.col("predicted"), F.col("n")).otherwise(0))
-    return counts.agg(_ratio(hits, F.sum("n")).alias("accuracy"))
+    return counts.agg(ratio(hits, F.sum("n")).alias("accuracy"))
 
 
 def per_class_report(counts: DataFrame) -> DataFrame:
@@ -186,9 +186,9 @@ def per_class_report(counts: DataFrame) -> DataFrame:
     )
     return totals.select(
         "label",
-        _ratio(F.col("hits"), F.col("predicted")).alias("precision"),
-        _ratio(F.col("hits"), F.col("support")).alias("recall"),
-        _ratio(F.col("hits") * 2, F.col("support") + F.col("predicted")).alias("f1"),
+        ratio(F.col("hits"), F.col("predicted")).alias("precision"),
+        ratio(F.col("hits"), F.col("support")).alias("recall"),
+        ratio(F.col("hits") * 2, F.col("support") + F.col("predicted")).alias("f1"),
         "support",
     )
 
@@ -201,7 +201,7 @@ def macro_metrics(report: DataFrame) -> DataFrame:
 def weighted_metrics(report: DataFrame) -> DataFrame:
     """``precision, recall, f1``: means over the classes weighted by support."""
     support = F.col("support")
-    return report.agg(*[_ratio(F.sum(F.col(m) * support), F.sum(support)).alias(m) for m in _METRICS])
+    return report.agg(*[ratio(F.sum(F.col(m) * support), F.sum(support)).alias(m) for m in _METRICS])
 
 
 def class_metric_bars(report: DataFrame, classes: Sequence[str] = CLASSES) -> DataFrame:

@@ -10,7 +10,6 @@ from thoughtlog.functions.scores import polarity_value
 from thoughtlog.functions.text import card_text, percent_text, translate_label
 from thoughtlog.operators.numbering import day_number
 from thoughtlog.schemas import NO_EMOTION
-from thoughtlog.sources.scratch import materialize
 
 _CARDS = ("situations", "emotions", "thoughts", "reactions")
 
@@ -91,13 +90,13 @@ def polarity_series(calendar: DataFrame, ordered: bool = True) -> DataFrame:
 def record_for_day(processed: DataFrame, day: int, persona: str | None = None) -> DataFrame:
     """The record of one monitored day, of one persona or of every persona.
 
-    Only ids are numbered and shuffled. The ids of the day, one per persona, are stored, so
-    that the join with the wide records is planned by their real size.
+    Only ids are numbered and shuffled. The ids of the day are one per persona; whether they are
+    sent to the wide records or shuffled with them is decided by their size when they are known.
     """
     if persona is not None:
         processed = processed.where(F.col("persona") == persona)
     days = day_number(processed.select("entry_id", "persona"))
-    wanted = materialize(days.where(F.col("day_no") == day).drop("persona"), "day")
+    wanted = days.where(F.col("day_no") == day).drop("persona")
     return processed.join(wanted, "entry_id").select(
         "persona",
         "day_no",

@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thoughtlog.functions.binding import bind
 from thoughtlog.operators import evaluation as ev
-from thoughtlog.sources.scratch import materialize
 
+METRICS = ("precision", "recall", "f1")
 
-def evaluate(processed: DataFrame, gold: DataFrame, key: str = "persona") -> dict[str, DataFrame]:
-    """Metric tables by name. The counted pairs are stored once; every table derives from
-    them. ``gold`` holds ``expected`` per persona or, with ``key='entry_id'``, per entry."""
+
+def packed_counts(processed: DataFrame, gold: DataFrame, key: str = "persona") -> DataFrame:
+    """One row with ``pairs``, an array of ``(expected, predicted, n)``: at most the square of the
+    number of classes, and the only thing that is gathered of the corpus."""
     if key == "persona":
         counts = ev.persona_pair_counts(processed, gold)
     else:
         counts = ev.pair_counts(ev.valid_pairs(ev.attach_gold(processed, gold, key)))
-    counts = materialize(counts, "pair-counts")
-    report = ev.per_class_report(counts)
+    return counts.agg(F.array_sort(F.collect_list(F.struct("expected", "predicted", "n"))).alias("pairs"))
+
+
+def _sum(rows: Column, value) -> Column:
+    return F.aggregate(rows, F.lit(0).cast("long"), lambda total, row: total + value(row))
+
+
+def _total(rows: Column, value) -> Column:
+    return F.aggregate(rows, F.lit(0.0), lambda total, row: total + value(row))
+
+
+def class_report(pairs: Column) -> Column:
+    """Array of ``(label, precision, recall, f1, support)`` of a row's pairs, sorted by label."""
+    labels = F.array_sort(F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.array(p["expected"], p["predicted"])))))
+
+    def of_label(label: Column) -> Column:
+        support = _sum(F.filter(pairs, lambda p: p["expected"] == label), lambda p: p["n"])
+        predicted = _sum(F.filter(pairs, lambda p: p["predicted"] == label), lambda p: p["n"])
+        both = F.filter(pairs, lambda p: (p["expected"] == label) & (p["predicted"] == label))
+        sums = F.struct(support.alias("support"), predicted.alias("predicted"), _sum(both, lambda p: p["n"]).alias("hits"))
+        return bind(
+            sums,
+            lambda s: F.struct(
+                label.alias("label"),
+                ev.ratio(s["hits"], s["predicted"]).alias("precision"),
+                ev.ratio(s["hits"], s["support"]).alias("recall"),
+                ev.ratio(s["hits"] * 2, s["support"] + s["predicted"]).alias("f1"),
+                s["support"].alias("support"),
+            ),
+        )
+
+    return F.transform(labels, of_label)
+
+
+def evaluate(processed: DataFrame, gold: DataFrame, key: str = "persona") -> dict[str, DataFrame]:
+    """Metric tables by name. Every table derives from one row of counted pairs; no job runs and
+    nothing is stored while they are built. ``gold`` holds ``expected`` per persona or, with
+    ``key='entry_id'``, per entry."""
+    packed = packed_counts(processed, gold, key)
+    counts = packed.select(F.inline("pairs"))
+    report = packed.select(F.inline(class_report(F.col("pairs"))))
     normalized = ev.confusion_normalized(ev.confusion_matrix(counts))
     return {
         "counts": counts,
@@ -32,23 +73,28 @@ def evaluate(processed: DataFrame, gold: DataFrame, key: str = "persona") -> dic
     }
 
 
+def summary_of(pairs: Column) -> Column:
+    """Array of ``(scope, label, metric, value)``: all metrics of a row's pairs."""
+
+    def row(scope: str, label: Column, metric: str, value: Column) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), label.alias("label"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+
+    def of_report(report: Column) -> Column:
+        every = F.lit("all")
+        hits = _sum(F.filter(pairs, lambda p: p["expected"] == p["predicted"]), lambda p: p["n"])
+        support = _total(report, lambda r: r["support"])
+        means = [row("macro", every, m, F.try_divide(_total(report, lambda r, m=m: r[m]), F.size(report))) for m in METRICS]
+        weighted = [row("weighted", every, m, ev.ratio(_total(report, lambda r, m=m: r[m] * r["support"]), support)) for m in METRICS]
+        classes = F.flatten(F.transform(report, lambda r: F.array(*[row("class", r["label"], m, r[m]) for m in (*METRICS, "support")])))
+        overall = row("overall", every, "accuracy", ev.ratio(hits, _sum(pairs, lambda p: p["n"])))
+        return F.concat(F.array(overall, *means, *weighted), classes)
+
+    return bind(class_report(pairs), of_report)
+
+
 def evaluation_summary(
     processed: DataFrame, gold: DataFrame, key: str = "persona"
 ) -> DataFrame:
-    """``scope, label, metric, value``: overall, macro, weighted and per-class metrics."""
-    tables = evaluate(processed, gold, key)
-
-    def long(name: str, scope: str, label_column: str | None = None) -> DataFrame:
-        table = tables[name]
-        metrics = [c for c in table.columns if c != label_column]
-        label = F.col(label_column) if label_column else F.lit("all")
-        values = [F.col(m).cast("double").alias(m) for m in metrics]
-        wide = table.select(F.lit(scope).alias("scope"), label.alias("label"), *values)
-        return wide.unpivot(["scope", "label"], metrics, "metric", "value")
-
-    return (
-        long("accuracy", "overall")
-        .unionByName(long("macro", "macro"))
-        .unionByName(long("weighted", "weighted"))
-        .unionByName(long("report", "class", "label"))
-    )
+    """``scope, label, metric, value``: overall, macro, weighted and per-class metrics, all from
+    one row of counted pairs."""
+    return packed_counts(processed, gold, key).select(F.inline(summary_of(F.col("pairs"))))

@@ -1,9 +1,14 @@
-"""Run queries beside their SQL and compare rows: ``python -m workload.compare [dir] [name ...]``."""
+"""Run queries beside their SQL and compare rows: ``python -m workload.compare [dir] [name ...]``.
+
+``COMPARE_FOLDER`` names the folder for tables that queries store.
+"""
 
 from __future__ import annotations
 
 import math
+import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -19,9 +24,14 @@ TABLES = (
 ).split()
 
 
-def session(cpus: int = 8) -> SparkSession:
+def session(cpus: int = 8, folder: str | None = None) -> SparkSession:
+    """A local session. Tables that queries store go to ``folder``, else to a new temporary one,
+    which this one machine shares with itself; a site's own ``spark.checkpoint.dir`` stays."""
+    builder = SparkSession.builder
+    if folder is not None or "spark.checkpoint.dir" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        builder = builder.config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="thoughtlog-"))
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("thoughtlog")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "12g")
@@ -82,7 +92,7 @@ def check(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str, name
 
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark, con = session(), database(sf_dir)
+    spark, con = session(folder=os.environ.get("COMPARE_FOLDER")), database(sf_dir)
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0
     for name in sys.argv[2:] or QUERIES:
