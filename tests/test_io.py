@@ -72,11 +72,6 @@ def test_shared_folder_is_the_sessions(spark):
     assert stored.count() == 5 and folder in stored.inputFiles()[0]
 
 
-def test_materialize_counted(spark):
-    stored, n = scratch.materialize_counted(spark.range(10), "test", F.col("id") > 6)
-    assert n == 3 and stored.count() == 10
-
-
 def test_literal_tables(spark):
     table = literal_table(spark, [(1, "a"), (2, None)], n=pa.int32(), s=pa.string())
     assert sorted(map(str, table.collect())) == ["Row(n=1, s='a')", "Row(n=2, s=None)"]

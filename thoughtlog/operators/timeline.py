@@ -59,6 +59,30 @@ def polarity_summary(processed: DataFrame) -> DataFrame:
         count("NEGATIVE").alias("n_negative"),
         count("NEUTRAL").alias("n_neutral"),
     )
+    return _with_shares(counts)
+
+
+def polarity_counts(processed: DataFrame) -> DataFrame:
+    """``persona, polarity, n``: counts that can be added to those of other entries."""
+    return processed.groupBy("persona", "polarity").agg(F.count("*").alias("n"))
+
+
+def summary_of_counts(counts: DataFrame) -> DataFrame:
+    """As :func:`polarity_summary`, from ``persona, polarity, n`` in any number of parts."""
+
+    def count(label: str) -> Column:
+        return F.sum(F.when(F.col("polarity") == label, F.col("n")).otherwise(0))
+
+    sums = counts.groupBy("persona").agg(
+        F.sum("n").alias("total"),
+        count("POSITIVE").alias("n_positive"),
+        count("NEGATIVE").alias("n_negative"),
+        count("NEUTRAL").alias("n_neutral"),
+    )
+    return _with_shares(sums)
+
+
+def _with_shares(counts: DataFrame) -> DataFrame:
     names = ("positive", "negative", "neutral")
     shares = {f"share_{n}": F.col(f"n_{n}") / F.col("total") for n in names}
     texts = {f"text_{n}": percent_text(F.col(f"share_{n}")) for n in names}

@@ -29,7 +29,11 @@ def persona_views(
 
 def persona_view_rows(processed: DataFrame, k: int = TOP_TERMS) -> DataFrame:
     """``persona, view, item, value``: the numbers of all views as one long table."""
-    views = persona_views(processed, k, ordered=False)
+    return long_rows(persona_views(processed, k, ordered=False))
+
+
+def long_rows(views: dict[str, DataFrame]) -> DataFrame:
+    """View tables as one long table: ``persona, view, item, value``."""
     counts = ["total", "n_positive", "n_negative", "n_neutral"]
     summary = views["summary"].select("persona", *counts).unpivot(
         ["persona"], counts, "item", "value"

@@ -7,8 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _LEFT: list[tuple[SparkSession, str]] = []
@@ -34,6 +33,12 @@ def fresh_path(spark: SparkSession, name: str, folder: str | None = None) -> str
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, wherever its store is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a stored table, wherever the shared folder is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,14 +57,6 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_counted(df: DataFrame, name: str, counted: Column) -> tuple[DataFrame, int]:
-    """As :func:`materialize`, with the number of rows that satisfy a condition, counted as
-    they are written."""
-    seen = Observation()
-    stored = materialize(df.observe(seen, F.count_if(counted).alias("n")), name)
-    return stored, seen.get["n"]
-
-
 class Scratch:
     """Stored tables of one job, removed together."""
 

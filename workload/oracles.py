@@ -520,4 +520,5 @@ ORACLES |= {
     "mean_logits_in_place": ORACLES["mean_logits"],
     "classify_python": ORACLES["classify"],
     "enriched_corpus_python": ORACLES["enriched_corpus"],
+    "persona_views_grown": ORACLES["persona_views"],
 }

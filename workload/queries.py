@@ -29,7 +29,8 @@ from thoughtlog.operators import tokens as ot
 from thoughtlog.operators.windows import token_windows
 from thoughtlog.plans.enrich import attach_results, enrich, extract_records
 from thoughtlog.plans.evaluate import evaluate, evaluation_summary
-from thoughtlog.plans.persona_views import persona_view_rows
+from thoughtlog.plans.growing_views import add_batch, read_views
+from thoughtlog.plans.persona_views import long_rows, persona_view_rows
 from thoughtlog.sources import corpus
 from thoughtlog.sources.gold import gold_table
 from thoughtlog.sources.lexicons import lexicon_tables
@@ -790,6 +791,22 @@ def persona_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persona_view_rows(materialize(processed(spark, sf_dir), "processed"))
 
 
+@_query
+def persona_views_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views after the last third of the entries was added to those of the first two, in two
+    batches of its own."""
+    whole = materialize(processed(spark, sf_dir), "processed")
+    path = fresh_path(spark, "views")
+    third = whole.agg(F.max("entry_id")).first()[0] * 2 // 3
+    for batch, rows in {
+        "first": whole.where(F.col("entry_id") <= third),
+        "second": whole.where((F.col("entry_id") > third) & (F.col("entry_id") <= third + third // 4)),
+        "third": whole.where(F.col("entry_id") > third + third // 4),
+    }.items():
+        add_batch(rows, path, batch)
+    return long_rows(read_views(spark, path, ordered=False))
+
+
 @_query
 def polarity_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: texts to ids, windows, scores, labels, and label shares per persona."""
