@@ -21,12 +21,12 @@ _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 _PLAIN = re.compile(rb"(" + _LETTERS + rb")([!-&(-/:-@\[-`{-~]*)")
 
 
-def _visible() -> list[str]:
+def _visible() -> dict[int, int]:
     """The character that stands for each byte inside a byte-level vocabulary: printable Latin-1
     for itself, the others in order from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = iter(range(256, 512))
-    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
 
 
 class WordIds:
@@ -36,14 +36,17 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self._visible = _visible()
+        self._merge = self.tokenizer.model.tokenize
+        self._packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _encode(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        shown = "".join([self._visible[b] for b in unit.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
+        shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self._visible)
+        packed = self._packed
+        return b"".join([packed[t.id] for t in self._merge(shown)])
 
     def _remembered(self, unit: str) -> bytes:
         key = unit.encode()
