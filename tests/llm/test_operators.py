@@ -9,6 +9,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from tokenizers import Tokenizer
 
 from thoughtlog.llm import (
     backoff,
+    chunks,
     decontaminate,
     language_id,
     line_dedup,
@@ -31,6 +34,7 @@ from thoughtlog.llm.huffman import STEP, Coder, code_lengths
 from thoughtlog.llm.perfect_hash import PerfectHash, build
 from thoughtlog.llm.token_ids import WordIds
 from thoughtlog.llm.words import BETWEEN_SPACES, Words
+from thoughtlog.sources.scratch import Scratch
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -570,16 +574,75 @@ def test_substring_dedup(odd, docs, empty):
 
 
 def test_spans_know_their_paths(docs):
-    spans, _ = substring_dedup.repeated_spans(docs)
-    rows = spans.collect()
+    tables = Scratch(docs.sparkSession)
+    packs = tables.store(chunks.pack_documents(docs, 4000), "chunks")
+    assert packs.count() > 3
+    rows = substring_dedup.repeated_spans(packs, 35, tables).collect()
     assert rows and any(r.path_offset > 0 for r in rows) and any(r.copies > 1 for r in rows)
     # places on one path ascend with the places in a document
     by = defaultdict(list)
     for r in rows:
-        by[r.doc_id, r.path].append((r.start, r.path_offset))
+        by[r.chunk, r.doc, r.path].append((r.start, r.path_offset))
     assert any(len(v) > 1 and sorted(v)[0][1] < sorted(v)[-1][1] for v in by.values())
 
 
+def _edges_found(texts, window):
+    """Words that go from chunks of one text each, with the functions of the tasks alone."""
+    packs = [pa.RecordBatch.from_pylist([{"chunk": i, "doc_ids": [i], "ends": np.array([len(t)], "<i8").tobytes(), "size": len(t), "data": pa.compress(t, "zstd", asbytes=True)}], chunks._PACKED_ARROW) for i, t in enumerate(texts)]
+    sent = pa.Table.from_batches(list(substring_dedup._send(window, 1)(iter(packs))))
+    answers = substring_dedup._merge((pa.scalar(0),), sent)
+    found = {}
+    for i, pack in enumerate(packs):
+        own = answers.filter(pc.equal(answers.column("chunk"), i))
+        pieces = substring_dedup._cut(window)(pa.Table.from_batches([pack]), own)
+        found[i] = sorted(zip(pieces.column("start").to_pylist(), pieces.column("edges").to_pylist()))
+    return found
+
+
+def test_unlike_windows_with_one_hash_stay(monkeypatch):
+    """Two windows are given the same 64-bit key; the print keeps them apart, and true copies go."""
+    real = substring_dedup.edge_hashes
+    a, b = " ".join(f"a{i}" for i in range(8)), " ".join(f"b{i}" for i in range(8))
+    words = Words([a.encode(), b.encode()], BETWEEN_SPACES)
+    keys = real(words, 5)[1]
+
+    def forced(words, window):
+        starts, own, prints = real(words, window)
+        own[np.isin(own, keys)] = np.uint64(77 << 32)
+        return starts, own, prints
+
+    assert _edges_found([a.encode(), b.encode()], 5) == {0: [], 1: []}
+    monkeypatch.setattr(substring_dedup, "edge_hashes", forced)
+    assert _edges_found([a.encode(), b.encode()], 5) == {0: [], 1: []}
+    copies = _edges_found([a.encode(), b.encode(), ("x " + a + " y").encode(), a.encode()], 5)
+    assert sum(n for _, n in copies[0]) == sum(n for _, n in copies[2]) == 4 and copies[1] == []
+
+
+def test_equal_rows_do_not_fill_one_chunk(spark):
+    r = np.random.default_rng(6)
+    own = [" ".join(map(str, r.integers(0, 10**6, 80))) for _ in range(601)]
+    rows = [(7, own[600])] * 600 + [(i, own[i]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2, F.xxhash64(F.monotonically_increasing_id()))
+    sizes = [r.size for r in chunks.pack_documents(docs, 20_000).collect()]
+    assert len(sizes) > 15 and max(sizes) <= 20_000
+    got = substring_dedup.remove_repeated(docs, digest=True).collect()
+    assert sum(r.n_words == r.n_removed for r in got) == 600 and len(got) == 1200
+
+
+def test_long_text_and_its_memory():
+    """Hashing a text takes little more memory than its words and windows do."""
+    import tracemalloc
+
+    text = (" ".join(f"w{i % 99991}" for i in range(700_000))).encode()  # about 4.6 MB
+    Words([text[:1000]], BETWEEN_SPACES).windows(35)  # the tables of powers that stay
+    tracemalloc.start()
+    words = Words([text], BETWEEN_SPACES)
+    substring_dedup.edge_hashes(words, 35)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20, peak
+
+
 def test_word_hashes_do_not_depend_on_place():
     texts = [b"one two three", b"", b"two three", b" one  two\nthree "]
     words = Words(texts, BETWEEN_SPACES)

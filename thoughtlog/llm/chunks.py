@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +46,11 @@ def parts(total_bytes: int, each: int) -> int:
     return max(1, -(-total_bytes // each))
 
 
-def by_shard(hashes: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that groups sorted hashes by shard, and the bounds of every shard in it.
-
-    The shard is the hash scaled to the number of shards, so sorted hashes are in shard order.
-    """
+def by_shard(hashes: np.ndarray, n_shards: int) -> np.ndarray:
+    """Shard of every hash: the hash scaled to the number of shards, so sorted hashes are in shard
+    order."""
     top = (hashes >> np.uint64(32)).astype(np.uint64)
-    shard = (top * np.uint64(n_shards)) >> np.uint64(32)
-    return shard.astype(np.int64), np.searchsorted(shard, np.arange(n_shards + 1))
+    return ((top * np.uint64(n_shards)) >> np.uint64(32)).astype(np.int64)
 
 
 def packed(
@@ -60,11 +58,10 @@ def packed(
 ) -> Iterator[dict[str, object]]:
     """Rows (shard, chunk, keys, values ...) from sorted distinct hashes of one chunk; the values
     are still arrays."""
-    _, bounds = by_shard(hashes, n_shards)
-    for shard in range(n_shards):
-        a, b = int(bounds[shard]), int(bounds[shard + 1])
-        if a < b:
-            yield {"shard": shard, "chunk": chunk, "keys": squeezed(hashes[a:b])} | {k: v[a:b] for k, v in values.items()}
+    shards = by_shard(hashes, n_shards)
+    first = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else shards
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(shards)]):
+        yield {"shard": int(shards[a]), "chunk": chunk, "keys": squeezed(hashes[a:b])} | {k: v[a:b] for k, v in values.items()}
 
 
 def squeezed(keys: np.ndarray) -> bytes:
@@ -112,3 +109,54 @@ def batched(tables: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+PACKED = "chunk bigint, doc_ids array<bigint>, ends binary, size bigint, data binary"
+_PACKED_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.binary()), ("size", pa.int64()), ("data", pa.binary())])
+
+
+def _pack(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids: list[int | None] = []
+        texts: list[bytes] = []
+        held = 0
+
+        def row() -> pa.RecordBatch:
+            data = b"".join(texts)
+            ends = np.cumsum([len(t) for t in texts]).astype("<i8").tobytes()
+            packed = pa.compress(data, "zstd", asbytes=True)
+            return pa.RecordBatch.from_pylist([{"chunk": number, "doc_ids": ids, "ends": ends, "size": len(data), "data": packed}], _PACKED_ARROW)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text"))):
+                if texts and held + len(text) > most:
+                    yield row()
+                    number, ids, texts, held = number + 1, [], [], 0
+                ids.append(doc_id)
+                texts.append(text)
+                held += len(text)
+        if texts:
+            yield row()
+
+    return run
+
+
+def pack_documents(docs: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of about so many bytes of text, compressed, in the order in which documents are read.
+
+    A longer text is a row of its own. Rows do not depend on what documents hold, so copies of a
+    row never gather in one chunk; and later steps shuffle the compressed form. Store the result:
+    the numbers of chunks are those of one run.
+    """
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return slim.mapInArrow(_pack(most), PACKED)
+
+
+def unpacked(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, pa.Array, list[bytes]]]:
+    """(chunk, doc_ids, texts) of packed rows, one at a time."""
+    for i in range(table.num_rows):
+        size = table.column("size")[i].as_py()
+        data = pa.decompress(table.column("data")[i].as_py(), size, "zstd", asbytes=True)
+        ends = np.frombuffer(table.column("ends")[i].as_py(), "<i8").tolist()
+        yield table.column("chunk")[i].as_py(), table.column("doc_ids")[i].values, [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]

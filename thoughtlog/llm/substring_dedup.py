@@ -1,94 +1,128 @@
 """Repeated word passages, by compaction of a de Bruijn graph of word k-mers.
 
 1. Edges: every run of ``window`` words is an edge between the runs of ``window - 1`` words at its
-   ends. Chunks send their distinct edges to the shards of the key space and learn which edges
-   occur more than once in the corpus.
+   ends. Chunks of documents send their distinct edges, by two independent hashes of their words,
+   to the shards of the key space and learn which edges occur more than once in the corpus. An edge
+   is verified where it stands: both hashes, 96 bits, must be the same at two source coordinates.
 2. Inside a document, neighbouring repeated edges make a run. It is cut at its ends and at nodes
    picked by their content, so that equal passages are cut alike; each piece is one row with its
    source coordinate (document, first word), its end nodes and two hashes of its words.
-3. Pieces between the same two nodes with equal hashes are one edge of the compacted graph. Where
-   a node has one piece in and one out, the pieces follow each other without a branch: joins by
-   pointer doubling give each piece its path and its place there.
+3. Pieces between the same two nodes with equal hashes (128 bits) are one edge of the compacted
+   graph. Where a node has one piece in and one out, the pieces follow each other without a branch:
+   joins by pointer doubling give each piece its path and its place there.
 4. A span of a document is a piece together with its path; the source coordinates say which words
-   it covers. The union of a document's spans is removed. What is removed follows from the repeated
-   edges alone, by one 64-bit hash each; paths and words are not compared.
+   it covers. The union of a document's spans is removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thoughtlog.llm import chunks
-from thoughtlog.llm.words import BETWEEN_SPACES, Words, mix, sequence_hashes
+from thoughtlog.llm.words import BETWEEN_SPACES, Words, mix, second_hashes, sequence_hashes
 from thoughtlog.sources.scratch import Scratch
 
 KEPT_NODES = np.uint64(16)  # one node in so many is kept as an end of pieces
 
-_EDGES = "shard bigint, chunk bigint, keys binary, many binary"
-_EDGES_ARROW = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())])
-_ANSWER = "chunk bigint, keys binary"
-_ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("keys", pa.binary())])
-_PIECES = "chunk bigint, text_key bigint, doc_id bigint, start bigint, edges bigint, from_node bigint, to_node bigint, piece bigint, again bigint"
+_EDGES = "shard bigint, chunk bigint, keys binary, prints binary, many binary"
+_EDGES_ARROW = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("prints", pa.binary()), ("many", pa.binary())])
+_ANSWER = "chunk bigint, keys binary, prints binary"
+_ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("prints", pa.binary())])
+_PIECES = "chunk bigint, doc bigint, doc_id bigint, start bigint, edges bigint, from_node bigint, to_node bigint, piece bigint, again bigint"
 _PIECES_ARROW = pa.schema([(n.split()[0], pa.int64()) for n in _PIECES.split(", ")])
 
 
+def edge_hashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, keys, prints) of all edges: a 64-bit hash and 32 bits of another one."""
+    starts, keys = words.windows(window)
+    prints = (second_hashes(words.hashes, starts, starts + window) >> np.uint64(32)).astype(np.uint32)
+    return starts, keys, prints
+
+
+def _sorted_edges(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key and print, and the first places of equal pairs in it.
+
+    Only keys that stand next to themselves need their prints in order.
+    """
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    mixed = np.flatnonzero(same & (prints[order[1:]] != prints[order[:-1]]))
+    if len(mixed):  # different edges with one key
+        order = np.lexsort((prints, keys))
+        same = keys[order[1:]] == keys[order[:-1]]
+    changed = ~same | (prints[order[1:]] != prints[order[:-1]])
+    return order, np.flatnonzero(np.concatenate([[True], changed]))
+
+
 def _send(window: int, n_shards: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        hashes = Words(chunks.encoded(table.column("text")), BETWEEN_SPACES).windows(window)[1]
-        if not len(hashes):
-            return _EDGES_ARROW.empty_table()
-        hashes.sort()
-        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        many = np.diff(np.concatenate([first, [len(hashes)]])) > 1
-        rows = [row | {"many": row["many"].tobytes()} for row in chunks.packed(key[0].as_py(), hashes[first], n_shards, many=many)]
-        return pa.Table.from_pylist(rows, _EDGES_ARROW)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, _, texts in chunks.unpacked(batch):
+                _, keys, prints = edge_hashes(Words(texts, BETWEEN_SPACES), window)
+                if not len(keys):
+                    continue
+                order, first = _sorted_edges(keys, prints)
+                many = np.diff(np.concatenate([first, [len(keys)]])) > 1
+                rows = chunks.packed(chunk, keys[order[first]], n_shards, prints=prints[order[first]], many=many)
+                rows = [row | {"prints": row["prints"].tobytes(), "many": np.packbits(row["many"]).tobytes()} for row in rows]
+                yield pa.RecordBatch.from_pylist(rows, _EDGES_ARROW)
 
     return run
 
 
 def _merge(key: tuple, table: pa.Table) -> pa.Table:
-    """Repeated keys of each chunk: sent by two chunks, or seen twice in one."""
+    """Repeated edges of each chunk: sent by two chunks, or seen twice in one."""
     sent = [chunks.unsqueezed(k) for k in table.column("keys").to_pylist()]
-    many = np.frombuffer(b"".join(table.column("many").to_pylist()), bool)
-    every = np.concatenate(sent)
-    inside = every[many]
-    every.sort()
-    repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], inside]))
+    prints = [np.frombuffer(p, "<u4") for p in table.column("prints").to_pylist()]
+    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(table.column("many").to_pylist(), sent)])
+    ends = np.cumsum([len(k) for k in sent]).tolist()
+    every, all_prints = np.concatenate(sent), np.concatenate(prints)
+    order, first = _sorted_edges(every, all_prints)
+    sizes = np.diff(np.concatenate([first, [len(every)]]))
+    twice = (sizes > 1) | (np.add.reduceat(many[order].astype(np.int64), first) > 0)
+    repeated = np.empty(len(every), bool)
+    repeated[order] = np.repeat(twice, sizes)
     rows = []
-    for chunk, keys in zip(table.column("chunk").to_pylist(), sent):
-        own = keys[_among(keys, repeated)]
-        if len(own):
-            rows.append({"chunk": chunk, "keys": chunks.squeezed(own)})
+    for chunk, a, b in zip(table.column("chunk").to_pylist(), [0, *ends[:-1]], ends):
+        own = repeated[a:b]
+        if own.any():
+            rows.append({"chunk": chunk, "keys": chunks.squeezed(every[a:b][own]), "prints": all_prints[a:b][own].tobytes()})
     return pa.Table.from_pylist(rows, _ANSWER_ARROW)
 
 
-def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-    return ordered[at] == values
-
-
-def _text_key(text: bytes) -> int:
-    """Texts of a chunk are told apart by a hash; equal texts have equal spans."""
-    return xxhash.xxh3_64_intdigest(text) - 2**63
+def _among(keys: np.ndarray, prints: np.ndarray, known: np.ndarray, known_prints: np.ndarray) -> np.ndarray:
+    """Whether each (key, print) is one of the known pairs, which are sorted by key."""
+    found = np.zeros(len(keys), bool)
+    if not len(known):
+        return found
+    at = np.searchsorted(known, keys)
+    left = np.flatnonzero(at < len(known))
+    while len(left):  # one round, but for different edges with one key
+        left = left[known[at[left]] == keys[left]]
+        found[left] |= known_prints[at[left]] == prints[left]
+        at[left] += 1
+        left = left[~found[left] & (at[left] < len(known))]
+    return found
 
 
 def _cut(window: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not docs.num_rows:
             return _PIECES_ARROW.empty_table()
-        texts = chunks.encoded(docs.column("text"))
+        chunk, doc_ids, texts = next(chunks.unpacked(docs))
         words = Words(texts, BETWEEN_SPACES)
-        starts, hashes = words.windows(window)
-        repeated = np.sort(np.concatenate([chunks.unsqueezed(k) for k in answers.column("keys").to_pylist()]))
-        edge = starts[_among(hashes, repeated)]  # first words of repeated edges, over all texts
+        starts, keys, prints = edge_hashes(words, window)
+        known = np.concatenate([chunks.unsqueezed(k) for k in answers.column("keys").to_pylist()])
+        known_prints = np.concatenate([np.frombuffer(p, "<u4") for p in answers.column("prints").to_pylist()])
+        order = np.argsort(known, kind="stable")
+        edge = starts[_among(keys, prints, known[order], known_prints[order])]  # first words of repeated edges
+        del starts, keys, prints
         if not len(edge):
             return _PIECES_ARROW.empty_table()
         text = np.searchsorted(words.first, edge, "right") - 1
@@ -100,32 +134,29 @@ def _cut(window: int):
         last = edge[np.concatenate([first[1:], [len(edge)]]) - 1]
         end = last + window  # one past the last word
         owner = text[first]
-        check = Words(texts, BETWEEN_SPACES, seed=1).hashes
         columns = {
-            "chunk": np.full(len(first), docs.column("chunk")[0].as_py()),
-            "text_key": np.array([_text_key(t) for t in texts], np.int64)[owner],
+            "chunk": np.full(len(first), chunk),
+            "doc": owner,
             "start": start - words.first[owner],
             "edges": last - start + 1,
             "from_node": node[first].view(np.int64),
             "to_node": sequence_hashes(words.hashes, end - window + 1, end).view(np.int64),
             "piece": sequence_hashes(words.hashes, start, end).view(np.int64),
-            "again": sequence_hashes(check, start, end).view(np.int64),
+            "again": second_hashes(words.hashes, start, end).view(np.int64),
         }
-        table = pa.table(columns).append_column("doc_id", docs.column("doc_id").cast(pa.int64()).take(pa.array(owner)))
+        table = pa.table(columns).append_column("doc_id", doc_ids.cast(pa.int64()).take(pa.array(owner)))
         return table.select(_PIECES_ARROW.names).cast(_PIECES_ARROW)
 
     return run
 
 
-def repeated_pieces(docs: DataFrame, window: int, tables: Scratch) -> tuple[DataFrame, int]:
-    """Pieces of all documents (doc_id, text) in the chunks of the returned number."""
-    total = chunks.text_bytes(docs)
-    n_chunks, n_shards = chunks.parts(total, chunks.CHUNK_BYTES), chunks.parts(total, chunks.SHARD_BYTES)
-    whole = chunks.chunked(docs.select("doc_id", "text"), "chunk", n_chunks, ("doc_id", "text"))
-    sent = whole.groupBy("chunk").applyInArrow(_send(window, n_shards), _EDGES)
+def repeated_pieces(packs: DataFrame, window: int, tables: Scratch) -> DataFrame:
+    """Pieces of all documents of stored chunks."""
+    total = packs.agg(F.sum("size")).first()[0] or 0
+    sent = packs.mapInArrow(_send(window, chunks.parts(total, chunks.SHARD_BYTES)), _EDGES)
     answers = sent.groupBy("shard").applyInArrow(_merge, _ANSWER)
-    pieces = whole.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(window), _PIECES)
-    return tables.store(pieces, "pieces"), n_chunks
+    pieces = packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(window), _PIECES)
+    return tables.store(pieces, "pieces")
 
 
 def compact(pieces: DataFrame, tables: Scratch) -> DataFrame:
@@ -161,26 +192,27 @@ def compact(pieces: DataFrame, tables: Scratch) -> DataFrame:
     return steps.select(F.col("at.piece").alias("piece"), F.col("at.again").alias("again"), path.alias("path"), F.when(F.col("done"), F.col("back")).otherwise(0).alias("path_offset"), "copies")
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, tables: Scratch | None = None) -> tuple[DataFrame, int]:
-    """(chunk, text_key, doc_id, start, n_words, path, path_offset, copies) and the chunk count."""
-    tables = tables or Scratch(docs.sparkSession)
-    pieces, n_chunks = repeated_pieces(docs, window, tables)
+def repeated_spans(packs: DataFrame, window: int, tables: Scratch) -> DataFrame:
+    """(chunk, doc, doc_id, start, n_words, path, path_offset, copies) of stored chunks of documents;
+    ``doc`` counts the documents of a chunk."""
+    pieces = repeated_pieces(packs, window, tables)
     spans = pieces.join(compact(pieces, tables), ["piece", "again"])
     n_words = F.col("edges") + F.lit(window - 1)
-    return spans.select("chunk", "text_key", "doc_id", "start", n_words.alias("n_words"), "path", "path_offset", "copies"), n_chunks
+    return spans.select("chunk", "doc", "doc_id", "start", n_words.alias("n_words"), "path", "path_offset", "copies")
 
 
 def _remove(digest: bool):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         cuts: dict[int, list[tuple[int, int]]] = {}
         if spans.num_rows:
-            for key, start, n in zip(*(spans.column(c).to_pylist() for c in ("text_key", "start", "n_words"))):
-                cuts.setdefault(key, []).append((start, start + n))
+            for doc, start, n in zip(*(spans.column(c).to_pylist() for c in ("doc", "start", "n_words"))):
+                cuts.setdefault(doc, []).append((start, start + n))
         n_words, n_removed, kept = [], [], []
-        for text in chunks.encoded(docs.column("text")):
+        _, doc_ids, texts = next(chunks.unpacked(docs))
+        for i, text in enumerate(texts):
             words = text.split()
             total = len(words)
-            if cuts and (own := cuts.get(_text_key(text))):
+            if own := cuts.get(i):
                 left, at = [], 0
                 for a, b in sorted(own):
                     left += words[at:a] if a > at else []
@@ -190,7 +222,7 @@ def _remove(digest: bool):
             n_removed.append(total - len(words))
             joined = b" ".join(words)
             kept.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode())
-        columns = {"doc_id": docs.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+        columns = {"doc_id": doc_ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
         return pa.table(columns | {"kept_sha256" if digest else "kept": pa.array(kept, pa.string())})
 
     return run
@@ -205,9 +237,9 @@ def remove_repeated(docs: DataFrame, window: int = 35, digest: bool = False, tab
     given as ``kept_sha256`` instead. A null text has no words; repeated rows are documents like
     others, so they repeat each other. Columns other than doc_id and text are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    spans, n_chunks = repeated_spans(docs, window, tables)
-    whole = chunks.chunked(docs, "chunk", n_chunks, ("doc_id", "text"))
+    tables = tables or Scratch(docs.sparkSession)
+    packs = tables.store(chunks.pack_documents(docs), "chunks", "none")
+    spans = repeated_spans(packs, window, tables)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, " + ("kept_sha256 string" if digest else "kept string")
-    wanted = spans.select("chunk", "text_key", "start", "n_words").groupBy("chunk")
-    return whole.groupBy("chunk").cogroup(wanted).applyInArrow(_remove(digest), schema)
+    wanted = spans.select("chunk", "doc", "start", "n_words").groupBy("chunk")
+    return packs.groupBy("chunk").cogroup(wanted).applyInArrow(_remove(digest), schema)

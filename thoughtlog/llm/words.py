@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE, _SEQUENCE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that powers have inverses
+_BASE, _SEQUENCE, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93  # odd, so that powers have inverses
 _VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS: dict[int, np.ndarray] = {}
 SLICE = 1 << 17  # values hashed at once
@@ -114,5 +114,10 @@ def inside_starts(first: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
+def second_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Other hashes of the same sequences: words that agree in the first ones need not agree here."""
+    return _spans(mix(hashes ^ np.uint64(_BASE)), _SECOND, starts, ends)
+
+
 def sequence_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return _spans(hashes, _SEQUENCE, starts, ends)
