@@ -22,11 +22,9 @@ from pyspark.sql import functions as F
 
 from thoughtlog.llm import chunks
 from thoughtlog.llm.words import BETWEEN_SPACES, Words
+from thoughtlog.sources.scratch import Scratch
 
 ORDER, ALPHA = 3, 0.4
-# N-grams are known by 56 bits of their hash: among 200 million different ones about one pair is
-# taken for the same, and a byte less of each is shuffled.
-_KEY = ~np.uint64(0xFF)
 
 _SENT = "shard bigint, chunk bigint, keys binary, n binary"
 _SENT_ARROW = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
@@ -36,13 +34,13 @@ _SCORES = "doc_id bigint, n_words bigint, log_score double, mean_log_score doubl
 _SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64()), ("n_backed_off", pa.int64())])
 
 
-def _words(table: pa.Table) -> Words:
-    return Words([t.lower() for t in chunks.encoded(table.column("text"))], BETWEEN_SPACES)
+def _words(texts: list[bytes]) -> Words:
+    return Words([t.lower() for t in texts], BETWEEN_SPACES)
 
 
 def _grams(words: Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(starts, hashes) for every length; lengths have hashes of their own."""
-    return [(starts, hashes & _KEY) for starts, hashes in map(words.windows, range(1, order + 1))]
+    return [words.windows(n) for n in range(1, order + 1)]
 
 
 def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,13 +50,15 @@ def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send(order: int, n_shards: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        words = _words(table)
-        if not len(words.hashes):
-            return _SENT_ARROW.empty_table()
-        keys, n = _distinct(np.concatenate([h for _, h in _grams(words, order)]))
-        rows = [row | {"n": chunks.planes(row["n"])} for row in chunks.packed(key[0].as_py(), keys, n_shards, n=n)]
-        return pa.Table.from_pylist(rows, _SENT_ARROW)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, _, texts in chunks.unpacked(batch):
+                words = _words(texts)
+                if not len(words.hashes):
+                    continue
+                keys, n = _distinct(np.concatenate([h for _, h in _grams(words, order)]))
+                rows = [row | {"n": chunks.planes(row["n"])} for row in chunks.packed(chunk, keys, n_shards, n=n)]
+                yield pa.RecordBatch.from_pylist(rows, _SENT_ARROW)
 
     return run
 
@@ -83,7 +83,8 @@ def _score(order: int, alpha: float, total: int):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _SCORES_ARROW.empty_table()
-        words = _words(docs)
+        _, doc_ids, texts = next(chunks.unpacked(docs))
+        words = _words(texts)
         n_words = words.counts()
         sums, backed = np.zeros(len(n_words)), np.zeros(len(n_words), np.int64)
         if len(words.hashes):
@@ -116,7 +117,7 @@ def _score(order: int, alpha: float, total: int):
             sums = np.bincount(owner, value, len(n_words))
             backed = np.bincount(owner, cut > 0, len(n_words)).astype(np.int64)
         mean = np.divide(sums, n_words, out=np.zeros(len(sums)), where=n_words > 0)
-        columns = [docs.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(sums), pa.array(mean), pa.array(backed, pa.int64())]
+        columns = [doc_ids, pa.array(n_words, pa.int64()), pa.array(sums), pa.array(mean), pa.array(backed, pa.int64())]
         return pa.table(columns, schema=_SCORES_ARROW)
 
     return run
@@ -124,11 +125,11 @@ def _score(order: int, alpha: float, total: int):
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = sum(len(t.split()) for t in chunks.encoded(batch.column("text")))
+        n = sum(len(t.split()) for _, _, texts in chunks.unpacked(batch) for t in texts)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, tables: Scratch | None = None) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score, n_backed_off): one row per document.
 
     Words stand between ASCII white space, A-Z lower-cased; histories do not cross documents. The
@@ -136,11 +137,10 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
     repeated row is scored by its twin. Counts are of all documents. Columns
     other than doc_id and text are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    size = chunks.text_bytes(docs)
-    n_chunks, n_shards = chunks.parts(size, chunks.CHUNK_BYTES), chunks.parts(size, chunks.SHARD_BYTES)
-    total = docs.select("text").mapInArrow(_count_words, "n bigint").agg(F.sum("n")).first()[0] or 0
-    whole = chunks.chunked(docs, "chunk", n_chunks, ("doc_id", "text"))
-    sent = whole.groupBy("chunk").applyInArrow(_send(order, n_shards), _SENT)
+    tables = tables or Scratch(docs.sparkSession)
+    packs = tables.store(chunks.pack_documents(docs), "chunks", "none")
+    size = packs.agg(F.sum("size")).first()[0] or 0
+    total = packs.mapInArrow(_count_words, "n bigint").agg(F.sum("n")).first()[0] or 0
+    sent = packs.mapInArrow(_send(order, chunks.parts(size, chunks.SHARD_BYTES)), _SENT)
     totals = sent.groupBy("shard").applyInArrow(_add_up, _TOTALS)
-    return whole.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_score(order, alpha, total), _SCORES)
+    return packs.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_score(order, alpha, total), _SCORES)
