@@ -1,13 +1,19 @@
 """Secrets in texts: fixed patterns, and words that pass a battery of randomness tests.
 
 Only DataFrame functions. A candidate is a long run of the characters that encoded keys use. Its
-encoding is inferred from the characters it has; under that encoding's alphabet three statistics
+encoding is inferred from the characters it has; under that encoding's alphabet four statistics
 are computed from its letters' numbers: the chi-squared distance from a uniform alphabet, the
-number of runs above and below the middle, and the lag-one serial correlation. Each gives a
-probability under "drawn at random"; ordinary words, paths and counters score low. The least of
-the three, times three, is the candidate's p-value. Within each class of lengths (long ones have
-more power to be told from chance) the Benjamini-Hochberg rule finds, over the whole corpus, the
-candidates that are *not* random at the wanted rate; the others are reported as secrets.
+same for digits against letters (where one case of letters is used; it tells words without a digit
+from base 32 and 36), the number of runs above and below the middle, and the lag-one serial
+correlation. Each gives a probability under "drawn at random"; ordinary words, paths and counters
+score low. The least of the four, times four, is the candidate's p-value.
+
+What is controlled is the share of ordinary words among the *reported* ones, over the whole corpus
+and within each class of lengths, as long words are told from chance more surely. P-values of
+words drawn at random are spread over all of 0 to 1, those of ordinary words crowd at 0; so the
+candidates above ``RANDOM_ABOVE`` say how many random ones there are, and thus how many of those
+above any limit are. Reported is what lies above the least limit at which the others, in excess
+of them, are at most the wanted share.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ WORD = "[A-Za-z0-9+/_=-]+"
 WORD_LEAST = 24
 FALSE_DISCOVERY = 0.05
 LENGTH_CLASSES = (32, 48, 64, 96)
+RANDOM_ABOVE = 0.1  # hardly any ordinary word has a p-value above this, 0.9 of the random ones do
 _BINS = 400  # of log10 p, in steps of 0.05
 
 #: Letters of each encoding in the order of their numbers.
@@ -47,25 +54,33 @@ def spans(text: Column, pattern: str, kind: str, place: int, fits: Column | None
     """Leftmost non-overlapping matches as (start, place, kind, end, word), code points, end
     exclusive; matches whose group is shorter than ``least`` are dropped after matching.
 
-    Starts are running sums over what lies between the matches, so no position is searched for.
+    Ends are running sums over matches and what lies between them, so no position is searched
+    for; the work grows with the matches times their logarithm.
     """
     between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
     inner = F.regexp_extract_all(text, F.lit(f"({pattern})"), group + 1) if group else whole
-    lengths = F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m")))
-    lengths = F.zip_with(lengths, inner, lambda x, i: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), F.length(i).alias("n")))
-    empty = F.array().cast(_SPAN)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    steps = F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda b, m: F.length(b) + F.length(m))
+    found = F.zip_with(whole, inner, lambda m, i: F.struct(m.alias("m"), F.length(i).alias("n")))
 
-    def step(state: Column, x: Column) -> Column:
-        a = state["at"] + x["gap"]
-        b = a + F.length(x["m"])
-        row = F.struct(a.alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), b.alias("end"), x["m"].alias("word"))
-        kept = F.when(x["n"] >= least, F.concat(state["found"], F.array(row))).otherwise(state["found"])
-        return F.struct(b.alias("at"), kept.alias("found"))
+    def row(end: Column, x: Column) -> Column:
+        start = end - F.length(x["m"])
+        span = F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("word"))
+        return F.when(x["n"] >= least, span)
 
-    found = F.aggregate(lengths, start, step, lambda s: s["found"])
-    return F.when(text.rlike(fits if fits is not None else pattern), found).otherwise(empty)
+    rows = F.filter(F.zip_with(running_sums(steps), found, row), lambda x: x.isNotNull())
+    return F.when(text.rlike(fits if fits is not None else pattern), rows).otherwise(F.array().cast(_SPAN))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of all numbers up to each place, by adding an array to itself shifted by 1, 2, 4 ..."""
+    rounds = F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)).cast("double"))).cast("int")
+
+    def double(sums: Column, k: Column) -> Column:
+        far = F.pow(F.lit(2.0), k.cast("double")).cast("int")
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - far), F.lit(0)))
+
+    return F.when(F.size(numbers) < 2, numbers).otherwise(F.aggregate(F.sequence(F.lit(0), rounds - 1), numbers, double))
 
 
 def base_spans(text: Column) -> Column:
@@ -115,7 +130,7 @@ def _two_sided(z: Column) -> Column:
 
 
 def battery(candidates: DataFrame, word: str = "word", kind: str = "encoding") -> DataFrame:
-    """Add p_uniform, p_runs, p_serial and p_value to rows with a word and its encoding."""
+    """Add p_uniform, p_digits, p_runs, p_serial and p_value to rows with a word and its encoding."""
     signed = F.translate(F.translate(F.regexp_replace(word, "=+$", ""), "-", "+"), "_", "/")
     letters = F.when(F.col(kind) == "base64", signed).otherwise(_unsigned(F.col(word)))
     size = _by_encoding(F.col(kind), lambda a: F.lit(float(len(a))))
@@ -132,6 +147,10 @@ def battery(candidates: DataFrame, word: str = "word", kind: str = "encoding") -
     chi, df = squares * F.col("_size") / n - n, F.col("_size") - 1
     third = 2 / (9 * df)
     uniform = _two_sided((F.pow(F.greatest(chi, F.lit(0.0)) / df, 1 / 3) - (1 - third)) / F.sqrt(third))
+    # Digits against letters, one degree of freedom; base64 mixes cases, which words seldom do.
+    part = _by_encoding(F.col(kind), lambda a: F.lit(sum(c.isdigit() for c in a) / len(a)))
+    digits_seen = F.length(F.regexp_replace("_letters", "[^0-9]", "")).cast("double")
+    digits = F.when(F.col(kind) == "base64", 1.0).otherwise(_two_sided((digits_seen - n * part) / F.sqrt(n * part * (1 - part))))
     # Runs above and below the middle of the alphabet.
     sides = F.transform("_x", lambda x: (x >= F.col("_size") / 2).cast("int"))
     high = F.aggregate(sides, F.lit(0), lambda a, x: a + x).cast("double")
@@ -147,8 +166,8 @@ def battery(candidates: DataFrame, word: str = "word", kind: str = "encoding") -
     variance = F.aggregate(moved, F.lit(0.0), lambda a, x: a + x * x)
     product = F.aggregate(F.zip_with(F.slice(moved, 2, F.size(moved)), moved, lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     serial = F.when(variance == 0, 0.0).otherwise(_two_sided((product / variance + 1 / n) * F.sqrt(n)))
-    rows = rows.withColumns({"p_uniform": uniform, "p_runs": runs, "p_serial": serial})
-    least = F.least(F.lit(1.0), 3 * F.least("p_uniform", "p_runs", "p_serial"))
+    rows = rows.withColumns({"p_uniform": uniform, "p_digits": digits, "p_runs": runs, "p_serial": serial})
+    least = F.least(F.lit(1.0), 4 * F.least("p_uniform", "p_digits", "p_runs", "p_serial"))
     return rows.withColumn("p_value", least).drop("_letters", "_size", "_alphabet", "_x")
 
 
@@ -156,18 +175,46 @@ def length_class(word: str = "word") -> Column:
     return reduce(lambda a, b: a + b, [(F.length(word) >= n).cast("int") for n in LENGTH_CLASSES])
 
 
-def structured_limits(tested: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
-    """(length_class, limit): candidates with a p-value up to the limit are not random, by the
-    Benjamini-Hochberg rule at the rate. P-values are counted in fixed steps of their logarithm,
-    so the rule reads a few hundred counts for each class, whatever the size of the corpus."""
+def clear_of(words: Column, base: Column) -> Column:
+    """The words, which follow one another, that overlap no base span.
+
+    A word is clear if as many base spans end up to its start as begin before its end. Both numbers
+    come from running sums over the sorted places, so the work is not words times spans.
+    """
+
+    def counted(words_at: str, base_at: str, base_first: bool) -> Column:
+        """For each word, how many base places are before its own."""
+        marks = F.transform(base, lambda b: F.struct(b[base_at].alias("at"), F.lit(0 if base_first else 1).alias("turn"), F.lit(1).alias("n")))
+        asked = F.transform(words, lambda w: F.struct(w[words_at].alias("at"), F.lit(1 if base_first else 0).alias("turn"), F.lit(0).alias("n")))
+        events = F.array_sort(F.concat(marks, asked))
+        sums = running_sums(F.transform(events, lambda e: e["n"]))
+        seen = F.zip_with(events, sums, lambda e, s: F.when(e["n"] == 0, s))
+        return F.filter(seen, lambda s: s.isNotNull())
+
+    begun, ended = counted("end", "start", False), counted("start", "end", True)
+    clear = F.zip_with(begun, ended, lambda a, b: a == b)
+    return F.filter(F.zip_with(words, clear, lambda w, c: F.when(c, w)), lambda w: w.isNotNull())
+
+
+def random_limits(tested: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
+    """(length_class, limit): of the candidates with a p-value above the limit, at most this share
+    is not random, as far as the number of random ones can be told.
+
+    P-values are counted in fixed steps of their logarithm, so the rule reads a few hundred
+    counts for each class, whatever the size of the corpus. A class without a limit has nothing
+    to report.
+    """
     step = F.greatest(F.floor(F.log10(F.greatest("p_value", F.lit(1e-20))) * 20), F.lit(-_BINS)).alias("step")
-    counts = tested.groupBy("length_class", step).count()
+    surely = F.count_if(F.col("p_value") > RANDOM_ABOVE).alias("surely")
+    counts = tested.groupBy("length_class", step).agg(F.count(F.lit(1)).alias("n"), surely)
     each = Window.partitionBy("length_class")
-    upto = each.orderBy("step").rangeBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select("length_class", "step", F.sum("count").over(upto).alias("below"), F.sum("count").over(each).alias("m"))
-    limit = F.pow(F.lit(10.0), (F.col("step") + 1) / 20)
-    passed = ranked.where(limit <= F.col("below") / F.col("m") * rate)
-    return passed.groupBy("length_class").agg(F.max(limit).alias("limit"))
+    onward = each.orderBy("step").rangeBetween(0, Window.unboundedFollowing)
+    # a candidate of a step has a p-value from this limit on
+    limit = F.when(F.col("step") <= -_BINS, 0.0).otherwise(F.pow(F.lit(10.0), F.col("step") / 20))
+    ranked = counts.select("length_class", limit.alias("limit"), F.sum("n").over(onward).alias("above"), F.sum("surely").over(each).alias("surely"))
+    random = F.col("surely") / (1 - RANDOM_ABOVE) * (1 - F.least("limit", F.lit(RANDOM_ABOVE)))
+    kept = ranked.where(F.col("above") - random <= rate * F.col("above"))
+    return kept.groupBy("length_class").agg(F.min("limit").alias("limit"))
 
 
 def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY, tables: Scratch | None = None) -> DataFrame:
@@ -183,12 +230,12 @@ def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY, tables: Scratch | None
     words = spans(text, WORD, "random", 4, fits=f"[A-Za-z0-9+/_=-]{{{WORD_LEAST}}}", least=WORD_LEAST)
     marked = docs.select("doc_id", F.xxhash64("text").alias("text_key"), base_spans(text).alias("base"), words.alias("words"))
     marked = tables.store(marked, "spans")  # the texts are scanned once
-    free = F.filter("words", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    free = F.when(F.size("base") > 0, clear_of(F.col("words"), F.col("base"))).otherwise(F.col("words"))
     each = marked.where(F.size("words") > 0).select("doc_id", "text_key", F.explode(free).alias("span")).distinct()
     each = each.withColumn("word", F.col("span.word")).withColumn("encoding", encoding(F.col("word")))
     tested = tables.store(battery(each).withColumn("length_class", length_class()), "candidates")
-    limits = structured_limits(tested, rate)
-    random = tested.join(F.broadcast(limits), "length_class", "left").where("limit IS NULL OR p_value > limit")
+    # a limit for each of a few classes of lengths
+    random = tested.join(F.broadcast(random_limits(tested, rate)), "length_class").where("p_value >= limit")
     extra = random.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("span")).alias("extra"))
     extra = extra.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     joined = marked.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
