@@ -43,16 +43,27 @@ class Lexicon:
 PORTUGUESE = Lexicon(
     time_words=TIME_WORDS_PT,
     context_nouns=frozenset(
-        "trabalho casa rua mercado reunião chefe escola faculdade ônibus carro projeto parque "
-        "amiga amigo esposa".split()
+        (
+            "trabalho", "casa", "rua", "mercado", "reunião", "chefe", "escola", "faculdade",
+            "ônibus", "carro", "projeto", "parque", "amiga", "amigo", "esposa",
+        )
     ),
     cognitive_verbs=frozenset(
-        "pensar achar imaginar acreditar concluir ter saber sentir".split()
+        (
+            "pensar", "achar", "imaginar", "acreditar", "concluir", "ter", "saber", "sentir",
+        )
     ),
     action_verbs=frozenset(
-        "fazer ir parar cancelar sair trancar bater evitar chorar voltar".split()
+        (
+            "fazer", "ir", "parar", "cancelar", "sair", "trancar", "bater", "evitar", "chorar",
+            "voltar",
+        )
+    ),
+    stopwords=frozenset(
+        (
+            "hoje", "dia", "mesmo", "hora", "coisa", "vez", "pouco", "nada", "tudo", "ano",
+        )
     ),
-    stopwords=frozenset("hoje dia mesmo hora coisa vez pouco nada tudo ano".split()),
     emotion_phrases={
         "Ansiedade": (
             "nó no estômago",
