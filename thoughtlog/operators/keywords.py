@@ -45,14 +45,15 @@ def keywords(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     )
 
 
+def _terms(processed: DataFrame) -> DataFrame:
+    """``persona, term``, a row per occurrence."""
+    terms = processed.select("persona", F.explode(F.split("keywords", " ")).alias("term"))
+    return terms.where(F.col("term") != "")
+
+
 def term_frequency(processed: DataFrame) -> DataFrame:
     """``persona, term, n`` over the keyword strings; null strings count nothing."""
-    terms = processed.select("persona", F.explode(F.split("keywords", " ")).alias("term"))
-    return (
-        terms.where(F.col("term") != "")
-        .groupBy("persona", "term")
-        .agg(F.count("*").alias("n"))
-    )
+    return _terms(processed).groupBy("persona", "term").agg(F.count("*").alias("n"))
 
 
 def top_terms(frequencies: DataFrame, k: int = TOP_TERMS) -> DataFrame:
@@ -65,3 +66,30 @@ def top_terms(frequencies: DataFrame, k: int = TOP_TERMS) -> DataFrame:
     return frequencies.withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= k
     )
+
+
+def frequent_terms(
+    processed: DataFrame, k: int = TOP_TERMS, part: int = 16, buckets: int = 1 << 18, personas: int = 100_000
+) -> DataFrame:
+    """As :func:`top_terms` of all terms, for corpora in which most (persona, term) pairs are rare.
+
+    Two bounds are found first. A term is at least as frequent as in one of ``part`` parts of the
+    entries, so the k-th count there is one that the k-th count over all reaches too. And it is at
+    most as frequent as all pairs that share its bucket of a hash, which is a sketch of one number
+    per bucket. Pairs whose bucket does not reach their persona's bound are left out before the
+    counts are shuffled; the others are counted exactly, so the rows are the same, ties included.
+
+    Bounds are kept for the personas with the ``personas`` greatest ones; all pairs of others are
+    counted. Both tables have a stated size, so they are sent to the tasks. ``processed`` needs
+    ``entry_id`` and is read three times.
+    """
+    in_part = F.pmod(F.xxhash64("entry_id"), F.lit(part)) == 0
+    ranked = top_terms(term_frequency(processed.where(in_part)), k)
+    bounds = ranked.where((F.col("rank") == k) & (F.col("n") > 1) & F.col("persona").isNotNull())
+    bounds = bounds.orderBy(F.desc("n"), "persona").limit(personas).select("persona", F.col("n").alias("_least"))
+    bucket = F.pmod(F.xxhash64("persona", "term"), F.lit(buckets)).alias("_bucket")
+    terms = _terms(processed).select("persona", "term", bucket)
+    sketch = terms.groupBy("_bucket").agg(F.count("*").alias("_most"))
+    known = terms.join(F.broadcast(bounds), "persona", "left").join(F.broadcast(sketch), "_bucket")
+    kept = known.where(F.col("_least").isNull() | (F.col("_most") >= F.col("_least")))
+    return top_terms(kept.groupBy("persona", "term").agg(F.count("*").alias("n")), k)

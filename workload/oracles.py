@@ -521,4 +521,5 @@ ORACLES |= {
     "classify_python": ORACLES["classify"],
     "enriched_corpus_python": ORACLES["enriched_corpus"],
     "persona_views_grown": ORACLES["persona_views"],
+    "top_terms_by_bounds": ORACLES["top_terms"],
 }

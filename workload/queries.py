@@ -728,6 +728,12 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ok.top_terms(ok.term_frequency(keywords_of(spark, sf_dir)))
 
 
+@_query
+def top_terms_by_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with rare pairs left out before counts are shuffled."""
+    return ok.frequent_terms(materialize(keywords_of(spark, sf_dir), "keywords"))
+
+
 @_query
 def persona_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.persona_list(documents(spark, sf_dir))
