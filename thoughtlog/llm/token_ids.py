@@ -4,7 +4,8 @@ The vocabulary's rules never join characters across ASCII white space, so a text
 of its words one after another. Words seen before are looked up. A new word that is only letters,
 or letters and then signs, is one or two units of the vocabulary's own rules, which go straight to
 the library's merge model; any other word, and any text with a special token, goes through the
-library whole. The memory of a task is bounded: when it is full it starts anew.
+library whole. The memory of a worker is bounded: it has two generations, and when the young one is
+full, the old one goes and the young one takes its place; words that are met again move on.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-REMEMBERED = 600_000
+REMEMBERED = 500_000  # words of each of two generations
 # Letters of ASCII and Latin-1: each is one composed character with one lower-case form.
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 # ASCII signs but the apostrophe, which the rules join to some letters.
@@ -35,6 +36,7 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self._visible = _visible()
         self._merge = self.tokenizer.model.tokenize
         self._packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -50,16 +52,17 @@ class WordIds:
 
     def _remembered(self, unit: str) -> bytes:
         key = unit.encode()
-        ids = self.known.get(key)
-        if ids is None:
-            ids = self.known[key] = self._unit(unit)
+        ids = self.known.get(key) or self.older.get(key) or self._unit(unit)
+        self.known[key] = ids
         return ids
 
     def _new(self, word: bytes) -> bytes:
-        if parts := _PLAIN.fullmatch(word):
-            ids = self._remembered(parts[1].decode().lower()) + (self._remembered(parts[2].decode()) if parts[2] else b"")
-        else:
-            ids = self._encode(word)
+        ids = self.older.get(word)
+        if ids is None:
+            if parts := _PLAIN.fullmatch(word):
+                ids = self._remembered(parts[1].decode().lower()) + (self._remembered(parts[2].decode()) if parts[2] else b"")
+            else:
+                ids = self._encode(word)
         self.known[word] = ids
         return ids
 
@@ -68,7 +71,7 @@ class WordIds:
         if b"<|" in text:  # special tokens are found before anything else is split
             return self._encode(text)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         words = text.split()
         ids = list(map(self.known.get, words))
         if None in ids:
