@@ -128,7 +128,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, t
     """Encode every whole text, append the end id, and write the data set at ``path``.
 
     Documents are in ascending doc_id, null first, rows of equal id in the order of their bits.
-    Text is tokenized once; coded documents, not texts or ids, are shuffled into their order.
+    Text is tokenized once; coded documents, not texts or ids, are shuffled into their order. A null
+    or empty text is the end id alone; repeated rows are documents each; an empty table gives a
+    data set without blocks. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
     tables = tables or Scratch(spark)
@@ -185,7 +187,9 @@ def _decode(shared):
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): documents of a data set, ``start`` the ids before each.
 
-    ``ids`` are little-endian unsigned 32-bit integers. Blocks are decoded where they are read.
+    ``ids`` are little-endian unsigned 32-bit integers. Blocks are decoded where they are read. There
+    is a row for each row that was written, with its id, null ids first; a data set without blocks
+    gives no row.
     """
     codes = spark.read.parquet(f"{path}/codes").collect()  # one row for each id of the vocabulary
     lengths = np.zeros(max([r.id for r in codes], default=0) + 1, np.int64)
