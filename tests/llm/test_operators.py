@@ -666,3 +666,34 @@ def test_recall_of_near_copies_at_the_threshold(spark):
     kept = {x.doc_id for x in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string"), groups).collect()}
     assert {2 * i for i in range(150)} <= kept
     assert 150 - sum(2 * i + 1 in kept for i in range(150)) >= 143
+
+
+def test_unlike_copies_do_not_meet_each_other(spark):
+    """Many copies of one text, edited in places of their own: those too far from it leave by their
+    own shingles, and the groups are the brute-force ones."""
+    r = np.random.default_rng(14)
+    base = [f"w{x}" for x in r.integers(0, 10**9, 120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        words = list(base)
+        for at in r.choice(120, 1 + i % 6, replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    group = {i: i for i, _ in rows}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                group[b] = a
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    wrong = [i for i in sets if got[i] != top(i)]
+    assert len(wrong) <= 4 and len(set(got.values())) > 20, wrong
+    links = spark.createDataFrame([(1, 5, 0, 9, 1, 10, 6), (1, 6, 0, 9, 1, 10, 9), (1, 7, 1, 9, 1, 12, 12)], "key int, node int, root int, key2 int, degree int, size int, common int")
+    assert {x.node for x in simhash._hopeful(links, 0.8).collect()} == {6, 7}

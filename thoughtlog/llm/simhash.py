@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -228,6 +228,34 @@ def _undecided(rows: DataFrame) -> DataFrame:
     return rows.join(several.groupBy("n", "mark_0", "mark_1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
+def _measured(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of key sets with ``size``, the shingles of the node, and ``common``, those that any other
+    node of these rows has too."""
+    own = sets.join(rows.select("node").distinct(), "node", "left_semi")
+    holders = own.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("top"))
+    alone = holders.where("node = top").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = own.select("node", F.size("shingles").alias("size")).join(alone, "node", "left")
+    return rows.join(sizes.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "node")
+
+
+def _at_most(common: Column, size: Column, other: Column) -> Column:
+    """Greatest Jaccard index of a set that shares so many of its items with others at best, and a
+    set of the other size."""
+    return common / (size + F.greatest(other, common) - common)
+
+
+def _hopeful(rows: DataFrame, similarity: float) -> DataFrame:
+    """Rows of key sets without the nodes that are too unlike every node there.
+
+    A node's own shingles, which nobody else has, bound its similarity to all others: two copies
+    that were edited in different places share no more than what neither edit touched. Such a node
+    can be in no link of the set, so none is lost, and a large group of copies does not meet it.
+    """
+    least = rows.groupBy("key").agg(F.min("size").alias("least"))
+    bounded = rows.join(least, "key").where(_at_most(F.col("common"), F.col("size"), F.col("least")) >= similarity)
+    return bounded.select(*rows.columns)
+
+
 def _pivots(rows: DataFrame, most: int) -> DataFrame:
     """(key, pivot, pivot_root): in each key set the node with the most links, which brings the
     most others together, and ``most`` nodes from outside its largest component."""
@@ -249,9 +277,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
     """(doc_id, component_id): groups of documents linked by a similarity of their word shingles.
 
     In each set of nodes that share a key, all are verified against the least one. Then those of
-    different components meet again, against more pivots each round. A node leaves a set only as
-    its pivot, when it was verified against every node there outside its component, so every pair
-    that shares a key is verified or in one component. Texts with the same words are one node;
+    different components meet again, against more pivots each round. A node leaves a set if its own
+    shingles keep it below the similarity to every node there, or as its pivot, when it was verified
+    against every node there outside its component. So every pair that shares a key is verified, or
+    in one component, or known to be unlike. Texts with the same words are one node;
     texts without words are one group. Null ids and repeated rows as in
     :func:`near_duplicate_groups`.
     """
@@ -274,8 +303,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
     left = met.select("node", "key").join(roots, "node", "left").join(_degrees(links), "node", "left")
     left = left.select("node", "key", F.coalesce("root", "node").alias("root"), F.coalesce("more", F.lit(0)).alias("degree"))
     most = PIVOTS
+    left = tables.store(_undecided(left), "left")
+    left = _measured(left, sets)
     while True:
-        left = tables.store(_undecided(left), "left")
+        left = tables.store(_undecided(_hopeful(left, similarity)), "left")
         if left.isEmpty():
             break
         pivots = tables.store(_pivots(left, most), "pivots")
@@ -289,7 +320,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
             links = links.union(alike.select("node", "pivot"))
             tops = components(spark, alike.select("root", "pivot_root"), tables).toDF("root", "top")
             left = left.join(tops, "root", "left").join(_degrees(alike), "node", "left")
-            left = left.select("node", "key", F.coalesce("top", "root").alias("root"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree"))
+            degree = (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")
+            left = left.select("node", "key", F.coalesce("top", "root").alias("root"), degree, "size", "common")
             roots = None
         most *= 4
     if roots is None:  # links of later rounds join components of the first
