@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, name):
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(names, con.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op13_spelling_variants"}))  # its rows are words
 def test_query_has_a_row_for_each_document(spark, name):
     df = QUERIES[name](spark, SF_DIR)
     ids = {r.doc_id for r in df.select("doc_id").collect()}
