@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
+LEVEL = 6  # of the compression of chunks, which are stored once and shuffled twice
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -125,7 +126,7 @@ def _pack(most: int):
         def row() -> pa.RecordBatch:
             data = b"".join(texts)
             ends = np.cumsum([len(t) for t in texts]).astype("<i8").tobytes()
-            packed = pa.compress(data, "zstd", asbytes=True)
+            packed = pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
             return pa.RecordBatch.from_pylist([{"chunk": number, "doc_ids": ids, "ends": ends, "size": len(data), "data": packed}], _PACKED_ARROW)
 
         for batch in batches:

@@ -3,7 +3,7 @@
 1. Edges: every run of ``window`` words is an edge between the runs of ``window - 1`` words at its
    ends. Chunks of documents send their distinct edges, by two independent hashes of their words,
    to the shards of the key space and learn which edges occur more than once in the corpus. An edge
-   is verified where it stands: both hashes, 96 bits, must be the same at two source coordinates.
+   is verified where it stands: both hashes, 80 bits, must be the same at two source coordinates.
 2. Inside a document, neighbouring repeated edges make a run. It is cut at its ends and at nodes
    picked by their content, so that equal passages are cut alike; each piece is one row with its
    source coordinate (document, first word), its end nodes and two hashes of its words.
@@ -39,9 +39,9 @@ _PIECES_ARROW = pa.schema([(n.split()[0], pa.int64()) for n in _PIECES.split(",
 
 
 def edge_hashes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, keys, prints) of all edges: a 64-bit hash and 32 bits of another one."""
+    """(starts, keys, prints) of all edges: a 64-bit hash and 16 bits of another one."""
     starts, keys = words.windows(window)
-    prints = (second_hashes(words.hashes, starts, starts + window) >> np.uint64(32)).astype(np.uint32)
+    prints = (second_hashes(words.hashes, starts, starts + window) >> np.uint64(48)).astype(np.uint16)
     return starts, keys, prints
 
 
@@ -79,7 +79,7 @@ def _send(window: int, n_shards: int):
 def _merge(key: tuple, table: pa.Table) -> pa.Table:
     """Repeated edges of each chunk: sent by two chunks, or seen twice in one."""
     sent = [chunks.unsqueezed(k) for k in table.column("keys").to_pylist()]
-    prints = [np.frombuffer(p, "<u4") for p in table.column("prints").to_pylist()]
+    prints = [np.frombuffer(p, "<u2") for p in table.column("prints").to_pylist()]
     many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(table.column("many").to_pylist(), sent)])
     ends = np.cumsum([len(k) for k in sent]).tolist()
     every, all_prints = np.concatenate(sent), np.concatenate(prints)
@@ -119,7 +119,7 @@ def _cut(window: int):
         words = Words(texts, BETWEEN_SPACES)
         starts, keys, prints = edge_hashes(words, window)
         known = np.concatenate([chunks.unsqueezed(k) for k in answers.column("keys").to_pylist()])
-        known_prints = np.concatenate([np.frombuffer(p, "<u4") for p in answers.column("prints").to_pylist()])
+        known_prints = np.concatenate([np.frombuffer(p, "<u2") for p in answers.column("prints").to_pylist()])
         order = np.argsort(known, kind="stable")
         edge = starts[_among(keys, prints, known[order], known_prints[order])]  # first words of repeated edges
         del starts, keys, prints
