@@ -25,6 +25,7 @@ from thoughtlog.llm.words import BETWEEN_SPACES, Words
 from thoughtlog.sources.scratch import Scratch
 
 ORDER, ALPHA = 3, 0.4
+CHUNK_BYTES = 8 << 20  # larger chunks have fewer distinct n-grams for a byte of text
 
 _SENT = "shard bigint, chunk bigint, keys binary, n binary"
 _SENT_ARROW = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
@@ -57,7 +58,7 @@ def _send(order: int, n_shards: int):
                 if not len(words.hashes):
                     continue
                 keys, n = _distinct(np.concatenate([h for _, h in _grams(words, order)]))
-                rows = [row | {"n": chunks.planes(row["n"])} for row in chunks.packed(chunk, keys, n_shards, n=n)]
+                rows = [row | {"keys": chunks.tight(row["keys"]), "n": chunks.tight(chunks.planes(row["n"]))} for row in chunks.packed(chunk, keys, n_shards, n=n)]
                 yield pa.RecordBatch.from_pylist(rows, _SENT_ARROW)
 
     return run
@@ -65,8 +66,8 @@ def _send(order: int, n_shards: int):
 
 def _add_up(key: tuple, table: pa.Table) -> pa.Table:
     """Counts of each chunk's keys in all other chunks, in the order of its keys."""
-    sent = [chunks.unsqueezed(k) for k in table.column("keys").to_pylist()]
-    counts = [chunks.unplaned(n) for n in table.column("n").to_pylist()]
+    sent = [chunks.unsqueezed(chunks.loose(k)) for k in table.column("keys").to_pylist()]
+    counts = [chunks.unplaned(chunks.loose(n)) for n in table.column("n").to_pylist()]
     every = np.concatenate(sent)
     order = np.argsort(every, kind="stable")
     ordered, running = every[order], np.cumsum(np.concatenate(counts)[order])
@@ -75,7 +76,7 @@ def _add_up(key: tuple, table: pa.Table) -> pa.Table:
     rows = []
     for chunk, own, n in zip(table.column("chunk").to_pylist(), sent, counts):
         elsewhere = totals[np.searchsorted(keys, own)] - n
-        rows.append({"shard": key[0].as_py(), "chunk": chunk, "elsewhere": chunks.planes(elsewhere)})
+        rows.append({"shard": key[0].as_py(), "chunk": chunk, "elsewhere": chunks.tight(chunks.planes(elsewhere))})
     return pa.Table.from_pylist(rows, _TOTALS_ARROW)
 
 
@@ -91,7 +92,7 @@ def _score(order: int, alpha: float, total: int):
             grams = _grams(words, order)
             keys, n = _distinct(np.concatenate([h for _, h in grams]))
             answers = totals.sort_by("shard").column("elsewhere").to_pylist()
-            count = n + np.concatenate([chunks.unplaned(a) for a in answers])
+            count = n + np.concatenate([chunks.unplaned(chunks.loose(a)) for a in answers])
             owner = np.repeat(np.arange(len(n_words)), n_words)
             # others[k][i]: how often other documents have the k + 1 words from word i on
             others = []
@@ -138,7 +139,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, tables: Scr
     other than doc_id and text are not read.
     """
     tables = tables or Scratch(docs.sparkSession)
-    packs = tables.store(chunks.pack_documents(docs), "chunks", "none")
+    packs = tables.store(chunks.pack_documents(docs, CHUNK_BYTES), "chunks", "none")
     size = packs.agg(F.sum("size")).first()[0] or 0
     total = packs.mapInArrow(_count_words, "n bigint").agg(F.sum("n")).first()[0] or 0
     sent = packs.mapInArrow(_send(order, chunks.parts(size, chunks.SHARD_BYTES)), _SENT)
