@@ -23,14 +23,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thoughtlog.functions.binding import bind
 from thoughtlog.sources.scratch import Scratch
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind, pattern, least length of what the pattern must give
 ACCESS, ACCESS_LEAST = "AKIA[A-Z0-9]+", 20
-HEX, HEX_LEAST = "[0-9a-f]+", 24
+HEX, HEX_LEAST = "[0-9a-f]", 24  # a run of characters: shorter ones need not be matched
 ASSIGN_LEAST = 6
-WORD = "[A-Za-z0-9+/_=-]+"
+WORD = "[A-Za-z0-9+/_=-]"
 WORD_LEAST = 24
 FALSE_DISCOVERY = 0.05
 LENGTH_CLASSES = (32, 48, 64, 96)
@@ -74,13 +75,16 @@ def spans(text: Column, pattern: str, kind: str, place: int, fits: Column | None
 
 def running_sums(numbers: Column) -> Column:
     """Sums of all numbers up to each place, by adding an array to itself shifted by 1, 2, 4 ..."""
-    rounds = F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)).cast("double"))).cast("int")
 
     def double(sums: Column, k: Column) -> Column:
         far = F.pow(F.lit(2.0), k.cast("double")).cast("int")
         return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - far), F.lit(0)))
 
-    return F.when(F.size(numbers) < 2, numbers).otherwise(F.aggregate(F.sequence(F.lit(0), rounds - 1), numbers, double))
+    def of(known: Column) -> Column:
+        rounds = F.ceil(F.log2(F.greatest(F.size(known), F.lit(1)).cast("double"))).cast("int")
+        return F.when(F.size(known) < 2, known).otherwise(F.aggregate(F.sequence(F.lit(0), rounds - 1), known, double))
+
+    return bind(numbers, of)
 
 
 def base_spans(text: Column) -> Column:
@@ -88,7 +92,7 @@ def base_spans(text: Column) -> Column:
         F.concat(
             spans(text, ASSIGN, "assign", 1, least=ASSIGN_LEAST, group=1),
             spans(text, ACCESS, "access", 2, fits=f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4}}}", least=ACCESS_LEAST),
-            spans(text, HEX, "hex", 3, fits=f"[0-9a-f]{{{HEX_LEAST}}}", least=HEX_LEAST),
+            spans(text, f"{HEX}{{{HEX_LEAST},}}", "hex", 3),
         )
     )
 
@@ -227,7 +231,7 @@ def scan(docs: DataFrame, rate: float = FALSE_DISCOVERY, tables: Scratch | None
     """
     tables = tables or Scratch(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    words = spans(text, WORD, "random", 4, fits=f"[A-Za-z0-9+/_=-]{{{WORD_LEAST}}}", least=WORD_LEAST)
+    words = spans(text, f"{WORD}{{{WORD_LEAST},}}", "random", 4)
     marked = docs.select("doc_id", F.xxhash64("text").alias("text_key"), base_spans(text).alias("base"), words.alias("words"))
     marked = tables.store(marked, "spans")  # the texts are scanned once
     free = F.when(F.size("base") > 0, clear_of(F.col("words"), F.col("base"))).otherwise(F.col("words"))
