@@ -309,8 +309,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
         left = tables.store(_undecided(_hopeful(left, similarity)), "left")
         if left.isEmpty():
             break
-        pivots = tables.store(_pivots(left, most), "pivots")
-        met = left.join(pivots, "key").where("root != pivot_root")
+        known = left.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size"), F.col("common").alias("pivot_common")).distinct()
+        pivots = tables.store(_pivots(left, most).join(known, "pivot"), "pivots")
+        shared = F.least("common", "pivot_common")  # the most that the two can have in common
+        alike = shared / (F.col("size") + F.col("pivot_size") - shared) >= similarity
+        met = left.join(pivots.withColumnRenamed("key", "pivot_key"), (F.col("key") == F.col("pivot_key")) & (F.col("root") != F.col("pivot_root")) & alike)
         upper = F.col("node") > F.col("pivot")
         ends = [F.when(upper, F.col(a)).otherwise(F.col(b)) for a, b in (("node", "pivot"), ("pivot", "node"), ("root", "pivot_root"), ("pivot_root", "root"))]
         pairs = tables.store(met.select(*[e.alias(n) for e, n in zip(ends, ("node", "pivot", "root", "pivot_root"))]).distinct(), "pairs")
