@@ -89,3 +89,17 @@ def test_percent_texts_equal_python(spark, seed):
     ).collect()
     assert [r[0] for r in rows] == [f"{n / t:.0%}" for n, t in shares]
     assert [r[1] for r in rows] == [f"{n}\n({n / t * 100:.1f}%)" for n, t in shares]
+
+
+def test_words_and_ends_of_texts_of_any_character(spark):
+    texts = [f"{chr(c)}a{chr(c)}{chr(c)}b{chr(c)}" for c in (*range(0xD800), *range(0xE000, 0x10FFFF, 97))]
+    texts += ["", " ", "\t\u3000 \n", "\x1c\x1d x \x00 \x1f", "\U0001f600 \U0001f600\n\r\n", "é\x85\u2028è\u200b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    for row in df.select("t", ft.strip(F.col("t")).alias("s"), ft.word_count(F.col("t")).alias("n")).collect():
+        assert (row.s, row.n) == ((row.t.strip(), len(row.t.split())) if row.t is not None else (None, None))
+
+
+def test_ends_are_stripped_without_a_pattern(spark):
+    """A pattern is tried at every character of a text."""
+    df = spark.createDataFrame([("a",)], "t string").select(ft.strip(F.col("t")))
+    assert "regexp" not in df._jdf.queryExecution().toString()

@@ -14,6 +14,12 @@ from thoughtlog.schemas import NO_TIME_ANCHOR
 WHITESPACE = (
     r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+_WHITESPACE_CHARS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+# A run of anything else. Printable ASCII and the control characters are told apart first: Java walks
+# through the parts of a class one by one for every character.
+_WORD = rf"[!-~\x00-\x08\x0e-\x1b[\x7f-\x{{10ffff}}&&[^{WHITESPACE[1:-1]}]]]+"
 
 # Portuguese time words, and the two clock forms.
 TIME_WORDS_PT = ("hoje", "ontem", "amanhã", "manhã", "tarde", "noite", "madrugada")
@@ -24,7 +30,7 @@ DISPLAY_LABELS_PT = {"POSITIVE": "Positivo", "NEUTRAL": "Neutro", "NEGATIVE": "N
 
 def strip(col: Column) -> Column:
     """Remove whitespace of any kind, not only spaces, at both ends."""
-    return F.regexp_replace(col, rf"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(col, F.lit(_WHITESPACE_CHARS))
 
 
 def capitalize(col: Column) -> Column:
@@ -40,7 +46,7 @@ def capitalize(col: Column) -> Column:
 
 def word_count(col: Column) -> Column:
     """Number of whitespace-separated words; null for a null text."""
-    return F.regexp_count(col, F.lit(f"[^{WHITESPACE[1:-1]}]+"))
+    return F.regexp_count(col, F.lit(_WORD))
 
 
 def min_words(col: Column, more_than: int) -> Column:
