@@ -100,14 +100,19 @@ def write_tokens(tokens: DataFrame, path: str, mode: str = "errorifexists") -> N
     tokens.select(TOKEN.names).write.mode(mode).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, mode: str = "errorifexists") -> None:
+def write_bucketed(
+    df: DataFrame, table: str, buckets: int, mode: str = "errorifexists", dealt: bool = False, path: str | None = None
+) -> None:
     """Save a table in buckets of ``entry_id``, sorted inside them.
 
     Entries and tokens saved with one number of buckets are joined and grouped by entry without
-    a shuffle. The rows are brought to their buckets first, so that each bucket is one file.
+    a shuffle. The rows are brought to their buckets first, so that each bucket is one file;
+    ``dealt`` says that they lie so already, as tokens do that were made where their texts had been
+    brought by ``repartition(buckets, "entry_id")``. The files go to ``path``, if given.
     """
-    dealt = df.repartition(buckets, "entry_id")
-    dealt.write.mode(mode).format("parquet").bucketBy(buckets, "entry_id").sortBy("entry_id").saveAsTable(table)
+    rows = df if dealt else df.repartition(buckets, "entry_id")
+    writer = rows.write.mode(mode).format("parquet").bucketBy(buckets, "entry_id").sortBy("entry_id")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
 def read_bucketed(spark: SparkSession, table: str) -> DataFrame:

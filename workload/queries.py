@@ -35,7 +35,7 @@ from thoughtlog.sources import corpus
 from thoughtlog.sources.gold import gold_table
 from thoughtlog.sources.lexicons import lexicon_tables
 from thoughtlog.sources.scratch import fresh_path, materialize
-from thoughtlog.sources.spread import spread_if_few
+from thoughtlog.sources.spread import parts, spread_if_few
 from thoughtlog.testing import fixture_pack as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,14 +84,24 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_if_few(documents(spark, sf_dir), "entry_id")
 
 
+def dealt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents dealt by entry. Their tokens are many times larger and, made where the texts
+    lie, need no shuffle to be grouped by sentence or entry."""
+    rows = documents(spark, sf_dir)
+    return rows.repartition(parts(rows), "entry_id")
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.annotate(texts(spark, sf_dir))
 
 
 def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token table, stored in buckets of entries."""
+    rows = fx.annotate(dealt_texts(spark, sf_dir))
     path = fresh_path(spark, "tokens")
-    tokens(spark, sf_dir).write.parquet(path)
-    return corpus.read_tokens(spark, path)
+    table = f"tokens_{path[-32:]}"
+    corpus.write_bucketed(rows, table, parts(documents(spark, sf_dir)), dealt=True, path=path)
+    return corpus.read_bucketed(spark, table)
 
 
 def with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +165,7 @@ def keywords_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(
-        texts(spark, sf_dir),
+        dealt_texts(spark, sf_dir),
         stored_tokens(spark, sf_dir),
         fx.token_ids(F.col("text")),
         fx.COLUMN_SCORER,
@@ -210,7 +220,9 @@ def gold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def read_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_tokens(spark, sf_dir)
+    path = fresh_path(spark, "tokens")
+    tokens(spark, sf_dir).write.parquet(path)
+    return corpus.read_tokens(spark, path)
 
 
 @_query
@@ -269,7 +281,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def sentence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ot.sentence_texts(tokens(spark, sf_dir))
+    return ot.sentence_texts(fx.annotate(dealt_texts(spark, sf_dir)))
 
 
 @_query
@@ -760,7 +772,7 @@ def present_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_records(
-        texts(spark, sf_dir), stored_tokens(spark, sf_dir), fx.LEXICON
+        dealt_texts(spark, sf_dir), stored_tokens(spark, sf_dir), fx.LEXICON
     )
 
 
@@ -772,7 +784,7 @@ def enriched_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def enriched_corpus_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(
-        texts(spark, sf_dir),
+        dealt_texts(spark, sf_dir),
         stored_tokens(spark, sf_dir),
         fx.token_ids(F.col("text")),
         fx.batch_scorer(),
