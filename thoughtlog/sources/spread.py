@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 
 #: Bytes of stored texts whose tokens a task groups by sentence in memory.
-PART_BYTES = 2 << 20
+PART_BYTES = 4 << 20
 
 
 def parts(df: DataFrame) -> int:
