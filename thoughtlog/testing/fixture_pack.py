@@ -74,26 +74,52 @@ def batch_annotator() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
     names = TOKEN.names
     tags, relations = _POS, _DEP
 
-    def rows_of(entry_id: int, text: str) -> Iterator[tuple]:
-        import regex
+    def frame(entry_ids: list, n_sentences: list[int], sentences: list[list[str]]) -> pd.DataFrame:
+        import numpy as np
 
-        tok_no = 0
-        for sent_no, sentence in enumerate(regex.findall(r"[^.!?\n]+[.!?]*", text), 1):
-            for place, word in enumerate(regex.findall(r"[\p{L}\p{N}]+", sentence), 1):
-                tok_no += 1
-                head = tok_no - place + place // 2 if place > 1 else 0
-                named = place > 1 and word[0] != word[0].lower()
-                entity = (tok_no, "PER") if named else (None, None)
-                yield (
-                    *(entry_id, sent_no, tok_no, head, word, " ", word.lower()),
-                    *(tags[len(word) % 5], relations[place % 4], *entity, False),
-                )
+        def counted(sizes: np.ndarray) -> np.ndarray:
+            return np.arange(1, sizes.sum() + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+        words = [word for sentence in sentences for word in sentence]
+        sizes = np.array([len(sentence) for sentence in sentences], np.int64)
+        of_entry = np.repeat(np.arange(len(entry_ids)), n_sentences)
+        n_words = np.bincount(of_entry, sizes, len(entry_ids)).astype(np.int64)
+        place, tok_no = counted(sizes), counted(n_words)
+        named = (place > 1) & np.array([word[0] != word[0].lower() for word in words], bool)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        columns = (
+            pd.Series(entry_ids).repeat(n_words).to_numpy(),
+            np.repeat(counted(np.array(n_sentences, np.int64)), sizes),
+            tok_no,
+            np.where(place > 1, tok_no - place + place // 2, 0),
+            words,
+            " ",
+            [word.lower() for word in words],
+            np.array(tags, object)[length % 5],
+            np.array(relations, object)[place % 4],
+            pd.arrays.IntegerArray(tok_no.astype(np.int32), ~named),
+            np.where(named, "PER", None),
+            False,
+        )
+        return pd.DataFrame(dict(zip(names, columns)))
 
     def annotate_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import regex
+
+        sentence, word = regex.compile(r"[^.!?\n]+[.!?]*"), regex.compile(r"[\p{L}\p{N}]+")
         for batch in batches:
+            entry_ids, n_sentences, sentences, n_words = [], [], [], 0
             for entry_id, text in zip(batch["entry_id"], batch["text"]):
-                rows = pd.DataFrame(rows_of(entry_id, text), columns=names)
-                yield rows.astype({"ent_id": "Int32"})
+                found = [word.findall(part) for part in sentence.findall(text)]
+                entry_ids.append(entry_id)
+                n_sentences.append(len(found))
+                sentences += found
+                n_words += sum(map(len, found))
+                if n_words > 50_000:
+                    yield frame(entry_ids, n_sentences, sentences)
+                    entry_ids, n_sentences, sentences, n_words = [], [], [], 0
+            if n_words:
+                yield frame(entry_ids, n_sentences, sentences)
 
     return annotate_batches
 
