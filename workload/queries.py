@@ -164,9 +164,10 @@ def keywords_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = dealt_texts(spark, sf_dir)
     return enrich(
-        dealt_texts(spark, sf_dir),
-        stored_tokens(spark, sf_dir),
+        entries,
+        fx.annotate(entries),
         fx.token_ids(F.col("text")),
         fx.COLUMN_SCORER,
         fx.LABELS,
@@ -771,9 +772,8 @@ def present_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_records(
-        dealt_texts(spark, sf_dir), stored_tokens(spark, sf_dir), fx.LEXICON
-    )
+    entries = dealt_texts(spark, sf_dir)
+    return extract_records(entries, fx.annotate(entries), fx.LEXICON)
 
 
 @_query
@@ -783,9 +783,10 @@ def enriched_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def enriched_corpus_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = dealt_texts(spark, sf_dir)
     return enrich(
-        dealt_texts(spark, sf_dir),
-        stored_tokens(spark, sf_dir),
+        entries,
+        fx.annotate(entries),
         fx.token_ids(F.col("text")),
         fx.batch_scorer(),
         fx.LABELS,
