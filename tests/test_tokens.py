@@ -151,3 +151,14 @@ def test_keywords(make_tokens, spark):
     }
     top = [(r.persona, r.term, r["rank"]) for r in top_terms(tf, 2).orderBy("persona", "rank").collect()]
     assert top == [("p", "a", 1), ("p", "b", 2), ("q", "z", 1)]
+
+
+def test_lemma_forms_meet_in_one_reading(spark, tmp_path):
+    """Forms and their stems come from one pass over the texts, and are those of a join of the two."""
+    from workload.queries import singular_forms
+
+    words = ["cat", "cats", "dogs", "s", "ss", "sss", "is", "i", "é", "és", "bus"]
+    spark.createDataFrame([(w,) for w in words], "form string").write.parquet(f"{tmp_path}/forms")
+    found = singular_forms(spark.read.parquet(f"{tmp_path}/forms").distinct())
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    assert sorted(map(tuple, found.collect())) == sorted((w + "s", w) for w in words if w + "s" in words)

@@ -250,13 +250,22 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def singular_forms(forms: DataFrame) -> DataFrame:
+    """``form, lemma`` of the forms that end in s and have a twin without it. Forms and their stems
+    meet in one grouping, so that the texts behind the forms are read once."""
+    form = F.col("form")
+    stem = F.when(form.endswith("s"), F.struct(F.expr("left(form, length(form) - 1)").alias("lemma"), F.lit(True).alias("cut")))
+    both = F.array_compact(F.array(F.struct(form.alias("lemma"), F.lit(False).alias("cut")), stem))
+    met = forms.select(F.inline(both)).groupBy("lemma").agg(F.min("cut").alias("own"), F.max("cut").alias("longer"))
+    return met.where(~F.col("own") & F.col("longer")).select(F.concat("lemma", F.lit("s")).alias("form"), "lemma")
+
+
 @_query
 def tokenize_with_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lemma table made from the corpus: a form that ends in s and has a twin without it."""
     forms = ot.tokenize(texts(spark, sf_dir)).select(F.col("lemma").alias("form")).distinct()
-    singular = forms.select(F.col("form").alias("lemma"), F.concat("form", F.lit("s")).alias("form"))
-    lemmas = materialize(singular.join(forms, "form", "left_semi").select("form", "lemma"), "lemmas")
-    rows = ot.tokenize(texts(spark, sf_dir), lemmas)
+    lemmas = materialize(singular_forms(forms), "lemmas")
+    rows = ot.tokenize(dealt_texts(spark, sf_dir), lemmas)
     return rows.groupBy("entry_id", "lemma").agg(F.count("*").alias("n"))
 
 
