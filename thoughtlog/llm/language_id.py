@@ -25,6 +25,7 @@ SAMPLE_DOCS = 400  # expected documents learned from for each language
 MAX_LANGUAGES = 1 << 12
 UNKNOWN = "und"
 _BLOCK = 1 << 20
+_SCORED = 1 << 16  # bytes whose costs are held at once: a row of doubles for each
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -76,7 +77,7 @@ class ContextModel:
         for language, length, key, n in rows:
             counts.setdefault((length, key >> 8), {})[language, key & 255] = n
         seen = sorted({byte for cell in counts.get((0, 0), {}) for byte in cell[1:]} | {0})
-        self.classes = np.full(256, len(seen), np.int64)  # bytes never seen are one class
+        self.classes = np.full(256, len(seen), np.int32)  # bytes never seen are one class
         self.classes[seen] = np.arange(len(seen))
         self.size = size = len(seen) + 1
         nodes = sorted(counts)
@@ -109,8 +110,8 @@ class ContextModel:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         data = self.classes[np.frombuffer(b"".join(b"\0" * self.order + t for t in texts), np.uint8)]
         ends = np.cumsum(lengths + self.order)
-        for begin in range(self.order, len(data), _BLOCK):
-            stop = min(len(data), begin + _BLOCK)
+        for begin in range(self.order, len(data), _SCORED):
+            stop = min(len(data), begin + _SCORED)
             node = np.zeros(stop - begin, np.int64)
             for length, step in enumerate(self.steps, 1):
                 node = step[node * self.size + data[begin - length : stop - length]]
