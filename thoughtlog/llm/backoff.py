@@ -25,6 +25,7 @@ from thoughtlog.llm.words import BETWEEN_SPACES, Words
 from thoughtlog.sources.scratch import Scratch
 
 ORDER, ALPHA = 3, 0.4
+MAX_BUCKETS = 100_000  # what Spark allows by default
 CHUNK_BYTES = 8 << 20  # larger chunks have fewer distinct n-grams for a byte of text
 
 _SENT = "shard bigint, chunk bigint, keys binary, n binary"
@@ -139,7 +140,10 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, tables: Scr
     other than doc_id and text are not read.
     """
     tables = tables or Scratch(docs.sparkSession)
-    packs = tables.store(chunks.pack_documents(docs, CHUNK_BYTES), "chunks", "none")
+    n_chunks = chunks.parts(chunks.text_bytes(docs), CHUNK_BYTES)
+    buckets = min(max(n_chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MAX_BUCKETS)
+    # in buckets of chunks, so that the answers come to the texts and these are not shuffled
+    packs = tables.store_bucketed(chunks.pack_documents(docs, CHUNK_BYTES), "chunks", "chunk", buckets, "none")
     size = packs.agg(F.sum("size")).first()[0] or 0
     total = packs.mapInArrow(_count_words, "n bigint").agg(F.sum("n")).first()[0] or 0
     sent = packs.mapInArrow(_send(order, chunks.parts(size, chunks.SHARD_BYTES)), _SENT)
