@@ -15,7 +15,7 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-REMEMBERED = 500_000  # words of each of two generations
+REMEMBERED = 500_000  # words and units of each of two generations
 # Letters of ASCII and Latin-1: each is one composed character with one lower-case form.
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 # ASCII signs but the apostrophe, which the rules join to some letters.
@@ -30,16 +30,34 @@ def _visible() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
+class _Memory(dict):
+    """Answers that were asked for before, with those of the generation before as long as they wait."""
+
+    def __init__(self, make, older: dict):
+        self.make, self.older = make, older
+
+    def __missing__(self, key):
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        self[key] = ids
+        return ids
+
+    def young(self) -> "_Memory":
+        """A new generation; the one before this one goes."""
+        self.older = {}
+        return _Memory(self.make, self)
+
+
 class WordIds:
     """Ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self._visible = _visible()
         self._merge = self.tokenizer.model.tokenize
         self._packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.known, self.units = _Memory(self._word, {}), _Memory(self._unit, {})
 
     def _encode(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
@@ -50,33 +68,21 @@ class WordIds:
         packed = self._packed
         return b"".join([packed[t.id] for t in self._merge(shown)])
 
-    def _remembered(self, unit: str) -> bytes:
-        key = unit.encode()
-        ids = self.known.get(key) or self.older.get(key) or self._unit(unit)
-        self.known[key] = ids
-        return ids
-
-    def _new(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            if parts := _PLAIN.fullmatch(word):
-                ids = self._remembered(parts[1].decode().lower()) + (self._remembered(parts[2].decode()) if parts[2] else b"")
-            else:
-                ids = self._encode(word)
-        self.known[word] = ids
-        return ids
+    def _word(self, word: bytes) -> bytes:
+        parts = _PLAIN.fullmatch(word)
+        if parts is None:
+            return self._encode(word)
+        letters, signs = parts.groups()
+        ids = self.units[letters.decode().lower()]
+        return ids + self.units[signs.decode()] if signs else ids
 
     def of(self, text: bytes) -> bytes:
         """Ids of a whole text."""
         if b"<|" in text:  # special tokens are found before anything else is split
             return self._encode(text)
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        words = text.split()
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            ids = [self.known.get(w) or self._new(w) if i is None else i for w, i in zip(words, ids)]
-        return b"".join(ids)
+        if len(self.known) + len(self.units) > REMEMBERED:
+            self.known, self.units = self.known.young(), self.units.young()
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 _OPEN: dict[str, WordIds] = {}
