@@ -30,23 +30,27 @@ def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     return moved.where(F.col("high") != F.col("low")).distinct()
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every node is the lower end of its links or has one link, as its upper end."""
+    ends = pairs.select(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(pairs.select(F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.where("up + down > 1 AND up > 0").isEmpty()
+
+
 def components(spark: SparkSession, links: DataFrame, tables: Scratch) -> DataFrame:
     """(node, root) for every node with a link; the root is the least node it can reach.
 
     ``links`` has two BIGINT columns. Each round writes the links to the shared folder, so a lost
-    executor repeats one round at most; rounds grow with the logarithm of the longest chain. The
-    number of links never grows, and no task gathers the links of a node.
+    executor repeats one round at most; rounds grow with the logarithm of the longest chain and end
+    when every node hangs on its root. The number of links never grows, and no task gathers the
+    links of a node.
     """
     a, b = links.columns
     pairs = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct()
     pairs = tables.store(pairs, "links")
-    mark = None
-    while True:
+    while not _settled(pairs):
         pairs = tables.store(_stars(_stars(pairs, True), False), "links")
-        seen = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)")).alias("h")).first()
-        if (seen.n, seen.h) == mark:
-            break
-        mark = (seen.n, seen.h)
         for path in tables.paths[-2:-1]:
             tables.drop(path)
     return pairs.select(F.col("high").alias("node"), F.col("low").alias("root")).union(

@@ -143,12 +143,15 @@ def one_of_each_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id"
 # changed differs in about one bit in seven, too many for one fingerprint's ball. So several short
 # fingerprints are used, each inside the documents that share two least shingle hashes: two texts
 # of similarity s agree on those with chance s * s, and unrelated texts nearly never do, however
-# large the corpus is. Pairs that meet are verified by their shingles.
+# large the corpus is. Two texts meet if they share such a key and their short fingerprints there
+# have a variant in common, that is, differ in at most two bits. Pairs that meet are verified by their
+# shingles, after a sketch of these has shown that they can be alike.
 
 KEYS, KEY_BITS = 8, 16
-PIVOTS = 16
+PIVOTS = 64
 _ODD = mix(np.arange(1, 2 * KEYS + 1, dtype=np.uint64)) | np.uint64(1)
-_FLIPS = np.concatenate([[0], 1 << np.arange(KEY_BITS)]).astype(np.uint64)
+SKETCH_BITS = 512
+_SKETCH = [f"sketch_{i}" for i in range(SKETCH_BITS // 64)]
 
 
 def _flat(per_text: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,17 +164,27 @@ def _node(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(text.lower().split())) - 2**63
 
 
-def ball_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Per text, KEYS rows of hashed (least hashes, variant of a short fingerprint)."""
+def short_fingerprints(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text, KEYS keys (of two least hashes) and the short fingerprint that counts there."""
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
     lanes = [bit_majorities(flat if i == 0 else mix(flat ^ _ODD[i]), counts) for i in range(-(-KEYS * KEY_BITS // 64))]
-    out = np.empty((len(counts), KEYS, len(_FLIPS)), np.uint64)
+    keys, shorts = np.empty((len(counts), KEYS), np.uint64), np.empty((len(counts), KEYS), np.int32)
     for k in range(KEYS):
         least = [np.minimum.reduceat(flat * _ODD[2 * k + i] >> np.uint64(1), first) for i in (0, 1)]
-        place = mix(least[0] ^ mix(least[1] + np.uint64(k)))
-        short = lanes[k * KEY_BITS // 64] >> np.uint64(k * KEY_BITS % 64) & np.uint64(2**KEY_BITS - 1)
-        out[:, k, :] = mix(place[:, None] ^ mix((short[:, None] ^ _FLIPS) + np.uint64(k << 32)))
-    return out.reshape(len(counts), -1)
+        keys[:, k] = mix(mix(least[0] ^ mix(least[1] + np.uint64(k))) + np.uint64(k))
+        shorts[:, k] = lanes[k * KEY_BITS // 64] >> np.uint64(k * KEY_BITS % 64) & np.uint64(2**KEY_BITS - 1)
+    return keys, shorts
+
+
+def odd_sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per set of hashes, SKETCH_BITS bits: whether an odd number of them falls on the bit.
+
+    What two sets share cancels out, so two sketches differ in no more bits than the sets do in
+    items, whatever the sets' size.
+    """
+    at = np.repeat(np.arange(len(counts)) * SKETCH_BITS, counts) + (flat % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(counts) * SKETCH_BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).reshape(len(counts), len(_SKETCH))
 
 
 def _keyed(words: int):
@@ -180,11 +193,10 @@ def _keyed(words: int):
             for part in chunks.batched(iter([batch]), "text", _SLICE):
                 texts = chunks.encoded(part.column("text"))
                 # distinct ones, as verification takes them: a repeated passage must not part two texts
-                flat, counts = _flat([list(set(shingle_hashes(t, words))) or [0] for t in texts])
-                keys = ball_keys(flat, counts).view(np.int64)
-                offsets = pa.array(np.arange(len(texts) + 1) * keys.shape[1], pa.int32())
-                columns = [part.column("doc_id"), pa.array([_node(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "keys"])
+                keys, shorts = short_fingerprints(*_flat([list(set(shingle_hashes(t, words))) or [0] for t in texts]))
+                offsets = pa.array(np.arange(len(texts) + 1) * KEYS, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (keys.view(np.int64), shorts)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_node(t) for t in texts], pa.int64()), *lists], ["doc_id", "node", "keys", "shorts"])
 
     return run
 
@@ -194,24 +206,44 @@ def _shingled(words: int):
         for batch in batches:
             for part in chunks.batched(iter([batch]), "text", _SLICE):
                 texts = chunks.encoded(part.column("text"))
-                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in texts], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts]
+                counts = np.fromiter(map(len, sets), np.int64, len(sets))
+                sketches = odd_sketches(np.concatenate([np.empty(0, np.uint64), *sets]), counts)
+                columns = [pa.array([_node(t) for t in texts], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(counts.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(x)) for x in sketches.T], ["node", "shingles", "size", *_SKETCH])
 
     return run
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the nodes in pairs, from one document each; from the rows without an
-    id for those that have none."""
-    wanted = pairs.select(F.col("node")).union(pairs.select("pivot")).distinct()
+def _sets(docs: DataFrame, nodes: DataFrame, met: DataFrame, words: int) -> DataFrame:
+    """(node, shingles, size, sketch_0, ...) of the nodes that met, from one document each; from the
+    rows without an id for those that have none."""
+    wanted = met.select("node").union(met.select("pivot")).distinct()
     known = nodes.join(wanted, "node", "left_semi")
-    schema = "node bigint, shingles array<bigint>"
+    schema = "node bigint, shingles array<bigint>, size int, " + ", ".join(f"{c} bigint" for c in _SKETCH)
     sets = docs.join(known.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingled(words), schema)
     unnamed = docs.where("doc_id IS NULL").mapInArrow(_shingled(words), schema)
     sets = sets.union(unnamed.join(known.where("least IS NULL").select("node"), "node", "left_semi"))
     return sets.dropDuplicates(["node"])
 
 
+def _meet(short: str, other: str) -> Column:
+    """Whether two short fingerprints have a variant in common."""
+    return F.bit_count(F.col(short).bitwiseXOR(F.col(other))) <= 2
+
+
+def _can_be_alike(similarity: float, prefix: str = "pivot_") -> Column:
+    """Whether the sketches leave two sets a Jaccard index of at least the similarity: they differ in
+    as many items as the sketches in bits, or more."""
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(prefix + c))) for c in _SKETCH), F.lit(0))
+    both = F.col("size") + F.col(prefix + "size")
+    return (both - apart) / (both + apart) >= similarity
+
+
+def _of_pivot(*names: str) -> list[Column]:
+    return [F.col(n).alias(f"pivot_{n}") for n in names]
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose shingle sets have the wanted Jaccard index, with all their columns."""
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("others")), "pivot")
@@ -221,21 +253,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _undecided(rows: DataFrame) -> DataFrame:
-    """Rows of the key sets that hold nodes of several components; equal sets stay once."""
-    ends = [F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")]
-    mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark_{i}") for i in (0, 1)]
-    several = rows.groupBy("key").agg(*ends, *mark).where("a < b")
-    return rows.join(several.groupBy("n", "mark_0", "mark_1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    """Rows of the key sets that hold nodes of several components."""
+    several = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    return rows.join(several.select("key"), "key", "left_semi")
 
 
 def _measured(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of key sets with ``size``, the shingles of the node, and ``common``, those that any other
-    node of these rows has too."""
+    """Rows of key sets with ``size``, the shingles of the node, ``common``, those that any other
+    node of these rows has too, and the sketch."""
     own = sets.join(rows.select("node").distinct(), "node", "left_semi")
     holders = own.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("top"))
     alone = holders.where("node = top").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    sizes = own.select("node", F.size("shingles").alias("size")).join(alone, "node", "left")
-    return rows.join(sizes.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "node")
+    sizes = own.select("node", "size", *_SKETCH).join(alone, "node", "left")
+    return rows.join(sizes.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"), *_SKETCH), "node")
 
 
 def _at_most(common: Column, size: Column, other: Column) -> Column:
@@ -276,60 +306,64 @@ def _degrees(links: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", tables: Scratch | None = None) -> DataFrame:
     """(doc_id, component_id): groups of documents linked by a similarity of their word shingles.
 
-    In each set of nodes that share a key, all are verified against the least one. Then those of
-    different components meet again, against more pivots each round. A node leaves a set if its own
-    shingles keep it below the similarity to every node there, or as its pivot, when it was verified
-    against every node there outside its component. So every pair that shares a key is verified, or
-    in one component, or known to be unlike. Texts with the same words are one node;
-    texts without words are one group. Null ids and repeated rows as in
-    :func:`near_duplicate_groups`.
+    In each set of nodes that share a key, all that meet the least one are verified against it. Then
+    those of different components meet again, against more pivots each round. A node leaves a set if
+    its own shingles keep it below the similarity to every node there, or as its pivot, when it was
+    verified against every node there that it meets outside its component. So every pair that meets is
+    verified, or in one component, or known to be unlike, by its shingles or by their sketches.
+    Texts with the same words are one node; texts without words are one group. Null ids and repeated
+    rows as in :func:`near_duplicate_groups`.
     """
     spark = docs.sparkSession
     tables = tables or Scratch(spark)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = source.mapInArrow(_keyed(words), "doc_id bigint, node bigint, keys array<bigint>")
+    marked = source.mapInArrow(_keyed(words), "doc_id bigint, node bigint, keys array<bigint>, shorts array<int>")
     marked = tables.store(marked, "keys", compression="zstd")
     nodes = tables.store(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    keyed = marked.select("node", "keys").dropDuplicates(["node"])
-    rows = keyed.select("node", F.explode("keys").alias("key"))
-    pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top")
-    met = tables.store(rows.join(pivots.select("key", "pivot"), "key").where("node > pivot"), "met")
-    pairs = tables.store(met.select("node", "pivot").distinct(), "pairs")
-    if pairs.isEmpty():
+    keyed = marked.select("node", "keys", "shorts").dropDuplicates(["node"])
+    rows = keyed.select("node", F.explode(F.arrays_zip("keys", "shorts")).alias("at"))
+    rows = rows.select("node", F.col("at.keys").alias("key"), F.col("at.shorts").alias("short"))
+    pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.min_by("short", "node").alias("pivot_short"))
+    met = tables.store(rows.join(pivots.where("pivot < top").drop("top"), "key").where("node > pivot"), "met")
+    if met.isEmpty():
         return marked.join(nodes.withColumnRenamed("least", "component_id"), "node").select("doc_id", "component_id")
-    sets = tables.store(_sets(source, nodes, pairs, words), "shingles")  # later rounds meet among these nodes
+    sets = tables.store(_sets(source, nodes, met, words), "shingles")  # later rounds meet among these nodes
+    seen = sets.select("node", "size", *_SKETCH)
+    pairs = met.where(_meet("short", "pivot_short")).select("node", "pivot").distinct()
+    pairs = pairs.join(seen, "node").join(seen.select(F.col("node").alias("pivot"), *_of_pivot("size", *_SKETCH)), "pivot")
+    pairs = tables.store(pairs.where(_can_be_alike(similarity)).select("node", "pivot"), "pairs")
     links = tables.store(_verified(pairs, sets, similarity), "alike")
-    roots = first = components(spark, links, tables)
-    left = met.select("node", "key").join(roots, "node", "left").join(_degrees(links), "node", "left")
-    left = left.select("node", "key", F.coalesce("root", "node").alias("root"), F.coalesce("more", F.lit(0)).alias("degree"))
+    roots = components(spark, links, tables)
+    known = roots.join(_degrees(links), "node")
+    left = met.select("node", "key", "short").join(known, "node", "left")
+    left = left.select("node", "key", "short", F.coalesce("root", "node").alias("root"), F.coalesce("more", F.lit(0)).alias("degree"))
     most = PIVOTS
     left = tables.store(_undecided(left), "left")
-    left = _measured(left, sets)
+    left = tables.store(_measured(left, sets), "measured")
     while True:
         left = tables.store(_undecided(_hopeful(left, similarity)), "left")
         if left.isEmpty():
             break
-        known = left.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size"), F.col("common").alias("pivot_common")).distinct()
-        pivots = tables.store(_pivots(left, most).join(known, "pivot"), "pivots")
+        known = left.select("key", F.col("node").alias("pivot"), *_of_pivot("short", "size", "common", *_SKETCH))
+        pivots = tables.store(_pivots(left, most).join(known, ["key", "pivot"]), "pivots")
         shared = F.least("common", "pivot_common")  # the most that the two can have in common
-        alike = shared / (F.col("size") + F.col("pivot_size") - shared) >= similarity
-        met = left.join(pivots.withColumnRenamed("key", "pivot_key"), (F.col("key") == F.col("pivot_key")) & (F.col("root") != F.col("pivot_root")) & alike)
+        alike = (shared / (F.col("size") + F.col("pivot_size") - shared) >= similarity) & _can_be_alike(similarity)
+        meet = (F.col("key") == F.col("pivot_key")) & (F.col("root") != F.col("pivot_root")) & _meet("short", "pivot_short")
+        met = left.join(pivots.withColumnRenamed("key", "pivot_key"), meet & alike)
         upper = F.col("node") > F.col("pivot")
         ends = [F.when(upper, F.col(a)).otherwise(F.col(b)) for a, b in (("node", "pivot"), ("pivot", "node"), ("root", "pivot_root"), ("pivot_root", "root"))]
         pairs = tables.store(met.select(*[e.alias(n) for e, n in zip(ends, ("node", "pivot", "root", "pivot_root"))]).distinct(), "pairs")
         alike = tables.store(_verified(pairs, sets, similarity), "alike")
         left = left.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
         if not alike.isEmpty():
-            links = links.union(alike.select("node", "pivot"))
             tops = components(spark, alike.select("root", "pivot_root"), tables).toDF("root", "top")
+            moved = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            alone = tops.join(roots.select(F.col("node").alias("root")), "root", "left_anti").toDF("node", "root")
+            roots = tables.store(moved.union(alone), "roots")
             left = left.join(tops, "root", "left").join(_degrees(alike), "node", "left")
             degree = (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")
-            left = left.select("node", "key", F.coalesce("top", "root").alias("root"), degree, "size", "common")
-            roots = None
-        most *= 4
-    if roots is None:  # links of later rounds join components of the first
-        more = first.toDF("node", "pivot").union(links)
-        roots = components(spark, more, tables)
+            left = left.select("node", "key", "short", F.coalesce("top", "root").alias("root"), degree, "size", "common", *_SKETCH)
+        most *= 8
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.select("node", "root").join(named, "root").select("node", "component_id")
