@@ -159,3 +159,25 @@ def test_intervals_hold_all_at_or_below():
         heads = [None if u < 0 or u == i else u for i, u in enumerate(up)]
         for i in range(n):
             assert set(order[first[i] : last[i]]) == below(heads, i)
+
+
+def test_seeds_and_subtrees_of_long_entries_and_odd_rows(spark):
+    """Look-ups cross their blocks of 512 numbers; rows that come twice match twice, null matches nothing."""
+    verb, child = "acho achar VERB root".split(), "vai ir VERB ccomp".split()
+
+    def token(entry_id, sent_no, tok_no, head, word):
+        return (entry_id, sent_no, tok_no, head, word[0], " ", *word[1:], None, None, False)
+
+    rows = [token(1, s, 2 * s + k, 2 * s, (verb, child)[k]) for s in range(-3, 1200) for k in (0, 1)]
+    rows += [token(2, 7, 1, 0, verb)] * 2 + [token(2, 7, 2, 1, child)] * 3 + [token(2, 8, 3, 1, child)]
+    rows += [token(None, 1, 1, 0, verb), token(None, 1, 2, 1, child), token(3, None, 1, 0, verb), token(3, None, 2, 1, child), token(4, 1, None, 0, verb), token(4, 1, 2, None, child)]
+    tokens = spark.createDataFrame(rows, TOKEN).repartition(3)
+    seeds = oc.clause_seeds(tokens)
+    assert seeds.columns == ["entry_id", "sent_no", "seed", "kind", "verb_tok", "verb_text"]
+    want = [(1, s, 2 * s + 1, "thought", 2 * s, "acho") for s in range(-3, 1200)] + [(2, 7, 2, "thought", 1, "acho")] * 6
+    assert sorted(map(tuple, seeds.collect())) == want
+    texts = sorted(map(tuple, oc.subtree_text(tokens, seeds.withColumn("sent_no", seeds.sent_no.cast("bigint"))).collect()))
+    assert texts[:-3] == [(1, s, 2 * s + 1, "vai") for s in range(-3, 1200)]
+    assert {t[:3] for t in texts[-3:]} == {(2, 7, 2)}
+    gone = spark.createDataFrame([(None, 1, 1), (3, None, 1), (9, 1, 1), (1, 5, None), (1, 5000, 2)], "entry_id bigint, sent_no int, seed int")
+    assert oc.subtree_text(tokens, gone).count() == 0

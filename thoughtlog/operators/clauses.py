@@ -22,11 +22,33 @@ REACTION_WORDS = 1
 _SENTENCE = ["entry_id", "sent_no"]
 
 
+def _block(number: Column) -> Column:
+    return F.shiftright(number.cast("bigint"), 9)
+
+
+def _by_entry(rows: DataFrame, number: str, value: Column) -> DataFrame:
+    """``entry_id, held``: the values of an entry's rows by a number, in maps by blocks of 512
+    numbers, so that a look-up stays short in a long entry.
+
+    What meets its entry's row needs no other key than the entry, so a token table in buckets of
+    entries is not shuffled for it. Null entries and numbers meet nothing, as in a join.
+    """
+    known = rows.dropna(subset=["entry_id", number]).groupBy("entry_id", number).agg(value.alias("value"))
+    block = F.map_from_entries(F.collect_list(F.struct(F.col(number).cast("bigint"), "value")))
+    blocks = known.groupBy("entry_id", _block(F.col(number)).alias("block")).agg(block.alias("of_block"))
+    return blocks.groupBy("entry_id").agg(F.map_from_entries(F.collect_list(F.struct("block", "of_block"))).alias("held"))
+
+
+def _held(number: Column) -> Column:
+    """Value of a number in a row of :func:`_by_entry`, null if there is none."""
+    return F.try_element_at(F.try_element_at("held", _block(number)), number.cast("bigint"))
+
+
 def clause_seeds(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     """``entry_id, sent_no, seed, kind, verb_tok, verb_text``: complements of listed verbs.
 
-    Both sides of the parent-child join are filtered first, so only listed verbs and
-    tokens with a wanted relation are shuffled.
+    Both sides of the parent-child join are filtered first; children look their verbs up among
+    those of their entry (:func:`_by_entry`), so only listed verbs are brought together.
     """
     lemma = F.lower("lemma")
     kind = F.when(lemma.isin(sorted(lexicon.cognitive_verbs)), "thought").when(
@@ -34,12 +56,7 @@ def clause_seeds(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
     )
     verbs = (
         tokens.where(F.col("pos").isin(*VERBS))
-        .select(
-            *_SENTENCE,
-            F.col("tok_no").alias("verb_tok"),
-            F.col("text").alias("verb_text"),
-            kind.alias("kind"),
-        )
+        .select("entry_id", "sent_no", "tok_no", F.col("text").alias("verb_text"), kind.alias("kind"))
         .where(F.col("kind").isNotNull())
     )
     deps = sorted(lexicon.thought_deps | lexicon.reaction_deps)
@@ -47,25 +64,30 @@ def clause_seeds(tokens: DataFrame, lexicon: Lexicon = PORTUGUESE) -> DataFrame:
         *_SENTENCE, F.col("tok_no").alias("seed"), F.col("head").alias("verb_tok"), "dep"
     )
     wanted = F.when(
-        F.col("kind") == "thought", F.col("dep").isin(sorted(lexicon.thought_deps))
+        F.col("verb.kind") == "thought", F.col("dep").isin(sorted(lexicon.thought_deps))
     ).otherwise(F.col("dep").isin(sorted(lexicon.reaction_deps)))
+    heads = _by_entry(verbs, "tok_no", F.collect_list(F.struct("sent_no", "kind", "verb_text")))
+    met = children.join(heads, "entry_id").withColumn("verbs", _held(F.col("verb_tok")))
     return (
-        children.join(verbs, [*_SENTENCE, "verb_tok"])
-        .where(wanted)
-        .select(*_SENTENCE, "seed", "kind", "verb_tok", "verb_text")
+        met.where(F.col("verbs").isNotNull())
+        .select(*_SENTENCE, "seed", "verb_tok", "dep", F.explode("verbs").alias("verb"))
+        .where((F.col("sent_no") == F.col("verb.sent_no")) & wanted)
+        .select(*_SENTENCE, "seed", "verb.kind", "verb_tok", "verb.verb_text")
     )
 
 
+def _word(**tags: Column) -> Column:
+    piece = F.concat(F.col("text"), F.coalesce(F.col("ws"), F.lit("")))
+    return F.struct("tok_no", "head", piece.alias("piece"), *[value.alias(name) for name, value in tags.items()])
+
+
 def sentence_rows(tokens: DataFrame, **tags: Column) -> DataFrame:
     """One row per sentence with ``words``: an array of ``(tok_no, head, piece, ...)`` in text
     order, where a piece is a word with its own space and ``tags`` are further fields.
 
     The token table is read and shuffled once; a sentence is the largest unit put together.
     """
-    piece = F.concat(F.col("text"), F.coalesce(F.col("ws"), F.lit("")))
-    fields = [value.alias(name) for name, value in tags.items()]
-    word = F.struct("tok_no", "head", piece.alias("piece"), *fields)
-    rows = tokens.select(*_SENTENCE, word.alias("word")).groupBy(*_SENTENCE)
+    rows = tokens.select(*_SENTENCE, _word(**tags).alias("word")).groupBy(*_SENTENCE)
     return rows.agg(F.array_sort(F.collect_list("word")).alias("words"))
 
 
@@ -160,9 +182,15 @@ def subtree_of(words: Column, tree: Column, i: Column) -> Column:
 
 
 def _seeded(tokens: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Sentence rows that hold given seeds, with their ``tree`` and the ``seeds``' array indexes."""
-    wanted = seeds.groupBy(*_SENTENCE).agg(F.collect_set("seed").alias("seed_toks"))
-    rows = sentence_rows(tokens).join(wanted, _SENTENCE)
+    """Sentence rows that hold given seeds, with their ``tree`` and the ``seeds``' array indexes.
+
+    Tokens of other sentences are left out before sentences are put together.
+    """
+    wanted = _by_entry(seeds, "sent_no", F.collect_set("seed"))
+    held = tokens.join(wanted, "entry_id").select(*_SENTENCE, _word().alias("word"), _held(F.col("sent_no")).alias("toks"))
+    rows = held.where(F.col("toks").isNotNull()).groupBy(*_SENTENCE).agg(
+        F.array_sort(F.collect_list("word")).alias("words"), F.first("toks").alias("seed_toks")
+    )
     places = F.filter(
         F.transform("words", lambda w, i: F.when(F.array_contains("seed_toks", w["tok_no"]), i)),
         lambda i: i.isNotNull(),
