@@ -64,3 +64,19 @@ def test_short_texts_keep_their_likeness(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = [x.near_edited for x in QUERIES["op3_winnowing"](spark, str(tmp_path)).collect()]
     assert len(found) == len(texts) and min(found) > 0.1, sorted(found)
+
+
+def test_fingerprints_are_whole_in_fewer_digits(spark, docs, tmp_path):
+    from base64 import b64decode
+
+    from thoughtlog.llm import winnowing
+
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r.doc_id: r for r in winnowing.compare_edited(docs, winnowing.DENSE_GRAM, winnowing.DENSE_WINDOW).collect()}
+    got = QUERIES["op3_winnowing"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(want)
+    for r in got:
+        for name in ("fingerprint", "edited_fingerprint"):
+            assert b64decode(r[name], validate=True).hex() == want[r.doc_id][name]
+            assert len(r[name]) <= 2 / 3 * len(want[r.doc_id][name]) + 3
+        assert [r[c] for c in ("positions", "near_edited", "near_next")] == [want[r.doc_id][c] for c in ("positions", "near_edited", "near_next")]
