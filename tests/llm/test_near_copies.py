@@ -113,3 +113,22 @@ def test_links_that_are_stars_take_no_round(spark, tmp_path):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
     assert {x.root for x in components(spark, chain, Scratch(spark, str(tmp_path))).collect()} == {0}
     assert components(spark, links.where("false"), Scratch(spark, str(tmp_path))).count() == 0
+
+
+def test_no_pair_of_the_wanted_similarity_is_left_out(spark, tmp_path):
+    """Pairs of different texts just at the similarity, and texts that are only like a few of a large
+    group: all have the groups that a comparison of all pairs gives."""
+    r = np.random.default_rng(31)
+    rows = []
+    for pair in range(400):  # 104 words, 100 shingles; edits in 2 places at least 5 words apart make 90 of 110
+        words = [f"p{pair}w{i}" for i in range(104)]
+        other = list(words)
+        for at in (10 + int(r.integers(0, 30)), 60 + int(r.integers(0, 30))):
+            other[at] = f"x{pair}y{at}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other[:-1] if pair % 2 else other))]
+    assert {len(a & b) / len(a | b) >= 0.8 for a, b in zip(*[[set(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows[k::2]] for k in (0, 1)])} == {True}
+    rows += [(10_000 + i, t) for i, t in _edited(400, 32)]
+    want = _brute(rows[800:]) | {i: i - i % 2 for i, _ in rows[:800]}
+    groups = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), tables=Scratch(spark, str(tmp_path)))
+    got = {x.doc_id: x.component_id for x in groups.collect()}
+    assert got == want, sum(got[i] != want[i] for i in want)

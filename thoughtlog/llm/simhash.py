@@ -25,7 +25,7 @@ from thoughtlog.llm.words import SPACES, mix
 from thoughtlog.sources.scratch import Scratch
 
 SEED = 42
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> list[int]:
@@ -143,11 +143,13 @@ def one_of_each_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id"
 # changed differs in about one bit in seven, too many for one fingerprint's ball. So several short
 # fingerprints are used, each inside the documents that share two least shingle hashes: two texts
 # of similarity s agree on those with chance s * s, and unrelated texts nearly never do, however
-# large the corpus is. Two texts meet if they share such a key and their short fingerprints there
-# have a variant in common, that is, differ in at most two bits. Pairs that meet are verified by their
-# shingles, after a sketch of these has shown that they can be alike.
+# large the corpus is. Two texts meet first if they share such a key and their short fingerprints there
+# have a variant in common, that is, differ in at most two bits; what these balls part, a third to a
+# half of the keys of two texts at similarity 0.8, meets in the later rounds by the key alone. No key
+# of KEYS is shared with chance (1 - s * s) ** KEYS, at 0.8 two in 10 ** 11. Pairs that meet are verified
+# by their shingles, after a sketch of these has shown that they can be alike.
 
-KEYS, KEY_BITS = 8, 16
+KEYS, SHORTS, KEY_BITS = 24, 8, 16
 PIVOTS = 64
 _ODD = mix(np.arange(1, 2 * KEYS + 1, dtype=np.uint64)) | np.uint64(1)
 SKETCH_BITS = 512
@@ -165,14 +167,16 @@ def _node(text: bytes) -> int:
 
 
 def short_fingerprints(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text, KEYS keys (of two least hashes) and the short fingerprint that counts there."""
+    """Per text, KEYS keys (of two least hashes) and the short fingerprint that counts there, one of
+    SHORTS in turn."""
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    lanes = [bit_majorities(flat if i == 0 else mix(flat ^ _ODD[i]), counts) for i in range(-(-KEYS * KEY_BITS // 64))]
+    lanes = [bit_majorities(flat if i == 0 else mix(flat ^ _ODD[i]), counts) for i in range(-(-SHORTS * KEY_BITS // 64))]
     keys, shorts = np.empty((len(counts), KEYS), np.uint64), np.empty((len(counts), KEYS), np.int32)
     for k in range(KEYS):
         least = [np.minimum.reduceat(flat * _ODD[2 * k + i] >> np.uint64(1), first) for i in (0, 1)]
         keys[:, k] = mix(mix(least[0] ^ mix(least[1] + np.uint64(k))) + np.uint64(k))
-        shorts[:, k] = lanes[k * KEY_BITS // 64] >> np.uint64(k * KEY_BITS % 64) & np.uint64(2**KEY_BITS - 1)
+        bit = k % SHORTS * KEY_BITS
+        shorts[:, k] = lanes[bit // 64] >> np.uint64(bit % 64) & np.uint64(2**KEY_BITS - 1)
     return keys, shorts
 
 
@@ -218,7 +222,7 @@ def _shingled(words: int):
 def _sets(docs: DataFrame, nodes: DataFrame, met: DataFrame, words: int) -> DataFrame:
     """(node, shingles, size, sketch_0, ...) of the nodes that met, from one document each; from the
     rows without an id for those that have none."""
-    wanted = met.select("node").union(met.select("pivot")).distinct()
+    wanted = met.select("node").distinct()
     known = nodes.join(wanted, "node", "left_semi")
     schema = "node bigint, shingles array<bigint>, size int, " + ", ".join(f"{c} bigint" for c in _SKETCH)
     sets = docs.join(known.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingled(words), schema)
@@ -306,13 +310,13 @@ def _degrees(links: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", tables: Scratch | None = None) -> DataFrame:
     """(doc_id, component_id): groups of documents linked by a similarity of their word shingles.
 
-    In each set of nodes that share a key, all that meet the least one are verified against it. Then
-    those of different components meet again, against more pivots each round. A node leaves a set if
-    its own shingles keep it below the similarity to every node there, or as its pivot, when it was
-    verified against every node there that it meets outside its component. So every pair that meets is
-    verified, or in one component, or known to be unlike, by its shingles or by their sketches.
-    Texts with the same words are one node; texts without words are one group. Null ids and repeated
-    rows as in :func:`near_duplicate_groups`.
+    In each set of nodes that share a key, all whose short fingerprints meet that of the least one are
+    verified against it. Then those of different components meet, whatever their fingerprints are,
+    against more pivots each round. A node leaves a set if its own shingles keep it below the
+    similarity to every node there, or as its pivot, when it was verified against every node there
+    outside its component. So every pair that shares a key is verified, or in one component, or known
+    to be unlike, by its shingles or by their sketches. Texts with the same words are one node; texts
+    without words are one group. Null ids and repeated rows as in :func:`near_duplicate_groups`.
     """
     spark = docs.sparkSession
     tables = tables or Scratch(spark)
@@ -321,22 +325,22 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
     marked = tables.store(marked, "keys", compression="zstd")
     nodes = tables.store(marked.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
     keyed = marked.select("node", "keys", "shorts").dropDuplicates(["node"])
-    rows = keyed.select("node", F.explode(F.arrays_zip("keys", "shorts")).alias("at"))
-    rows = rows.select("node", F.col("at.keys").alias("key"), F.col("at.shorts").alias("short"))
+    rows = keyed.select("node", "shorts", F.posexplode("keys").alias("at", "key"))
+    rows = rows.select("node", "key", F.col("shorts")[F.col("at")].alias("short"))
     pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.min_by("short", "node").alias("pivot_short"))
-    met = tables.store(rows.join(pivots.where("pivot < top").drop("top"), "key").where("node > pivot"), "met")
+    met = tables.store(rows.join(pivots.where("pivot < top").drop("top"), "key"), "met")
     if met.isEmpty():
         return marked.join(nodes.withColumnRenamed("least", "component_id"), "node").select("doc_id", "component_id")
     sets = tables.store(_sets(source, nodes, met, words), "shingles")  # later rounds meet among these nodes
     seen = sets.select("node", "size", *_SKETCH)
-    pairs = met.where(_meet("short", "pivot_short")).select("node", "pivot").distinct()
+    pairs = met.where((F.col("node") > F.col("pivot")) & _meet("short", "pivot_short")).select("node", "pivot").distinct()
     pairs = pairs.join(seen, "node").join(seen.select(F.col("node").alias("pivot"), *_of_pivot("size", *_SKETCH)), "pivot")
     pairs = tables.store(pairs.where(_can_be_alike(similarity)).select("node", "pivot"), "pairs")
     links = tables.store(_verified(pairs, sets, similarity), "alike")
     roots = components(spark, links, tables)
     known = roots.join(_degrees(links), "node")
-    left = met.select("node", "key", "short").join(known, "node", "left")
-    left = left.select("node", "key", "short", F.coalesce("root", "node").alias("root"), F.coalesce("more", F.lit(0)).alias("degree"))
+    left = met.select("node", "key").join(known, "node", "left")
+    left = left.select("node", "key", F.coalesce("root", "node").alias("root"), F.coalesce("more", F.lit(0)).alias("degree"))
     most = PIVOTS
     left = tables.store(_undecided(left), "left")
     left = tables.store(_measured(left, sets), "measured")
@@ -344,11 +348,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
         left = tables.store(_undecided(_hopeful(left, similarity)), "left")
         if left.isEmpty():
             break
-        known = left.select("key", F.col("node").alias("pivot"), *_of_pivot("short", "size", "common", *_SKETCH))
+        known = left.select("key", F.col("node").alias("pivot"), *_of_pivot("size", "common", *_SKETCH))
         pivots = tables.store(_pivots(left, most).join(known, ["key", "pivot"]), "pivots")
         shared = F.least("common", "pivot_common")  # the most that the two can have in common
         alike = (shared / (F.col("size") + F.col("pivot_size") - shared) >= similarity) & _can_be_alike(similarity)
-        meet = (F.col("key") == F.col("pivot_key")) & (F.col("root") != F.col("pivot_root")) & _meet("short", "pivot_short")
+        meet = (F.col("key") == F.col("pivot_key")) & (F.col("root") != F.col("pivot_root"))
         met = left.join(pivots.withColumnRenamed("key", "pivot_key"), meet & alike)
         upper = F.col("node") > F.col("pivot")
         ends = [F.when(upper, F.col(a)).otherwise(F.col(b)) for a, b in (("node", "pivot"), ("pivot", "node"), ("root", "pivot_root"), ("pivot_root", "root"))]
@@ -362,7 +366,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
             roots = tables.store(moved.union(alone), "roots")
             left = left.join(tops, "root", "left").join(_degrees(alike), "node", "left")
             degree = (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")
-            left = left.select("node", "key", "short", F.coalesce("top", "root").alias("root"), degree, "size", "common", *_SKETCH)
+            left = left.select("node", "key", F.coalesce("top", "root").alias("root"), degree, "size", "common", *_SKETCH)
         most *= 8
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
